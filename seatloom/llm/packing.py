@@ -151,7 +151,7 @@ def best_pattern(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[
     return value[capacity], pattern
 
 
-def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 5e-4, rounds: int = 4000) -> list[tuple[np.ndarray, int]]:
+def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-3, rounds: int = 4000) -> list[tuple[np.ndarray, int]]:
     """Patterns and how often each is used, so that together they have a slot for every demanded item.
 
     sizes: ascending integers from 1 to capacity. The linear program min sum(x), A x >= demand starts
@@ -166,9 +166,9 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: flo
     columns = np.diag((capacity // sizes).astype(float))
     cost, inverse = np.ones(m), np.diag(1 / np.diag(columns))
     stock = demand + 1e-3 * (1 + np.arange(m) % 97 / 97)
-    x = inverse @ stock
-    for step in range(rounds):
-        prices = cost @ inverse
+    x = inverse.diagonal() * stock
+    for _ in range(rounds):
+        prices = np.einsum('i,ij->j', cost, inverse)
         worst = int(prices.argmin())
         if prices[worst] < -1e-9:  # a surplus column
             column, price = np.zeros(m), 0.0
@@ -178,7 +178,7 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: flo
             price = 1.0
             if best <= 1 + gap:  # value / best bounds the optimum from below
                 break
-        u = inverse @ column
+        u = np.einsum('ij,j->i', inverse, column)
         up = u > 1e-9
         if not up.any():
             break
@@ -188,9 +188,9 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: flo
         pivot = inverse[out] / u[out]
         inverse -= np.outer(u, pivot)
         inverse[out] = pivot
-        if step % 200 == 199:
-            inverse = np.linalg.inv(columns)
-        x = np.maximum(inverse @ stock, 0)
+        moved = x[out] / u[out]
+        x = np.maximum(x - moved * u, 0)
+        x[out] = moved
     used = [(columns[:, k].astype(np.int64), int(np.floor(x[k]))) for k in range(m) if cost[k] == 1]
     used = [(p, n) for p, n in used if n > 0]
     left = demand.astype(np.int64) - sum((p * n for p, n in used), np.zeros(m, np.int64))
