@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, map_arrow
+from .common import column, map_arrow, slices
 from .learning import class_weights, fit_sigmoid, held_out_column, labelled_sample, sigmoid
 
 #: The bound of the sample that is learned from: rows of each class.
@@ -143,3 +144,15 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
 
     out = map_arrow(docs.select(column(docs, id_col, "doc_id", "long"), column(docs, text_col, "text", "string")), make, "doc_id long, score double")
     return out.select("doc_id", held_out_column(F.col("doc_id"), *HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
+    """The whole rows whose text scores THRESHOLD or more. Rows pass through as they are, without a shuffle."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            margins = np.array([model.margin(features(x)) for x in part.column(at).cast(pa.string()).to_pylist()])
+            yield part.filter(pa.array(sigmoid(model.a * margins + model.b) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, media, packing, pieces, quality, simhash, toxicity, warc
+from . import language, lines, media, packing, pieces, quality, rules, simhash, toxicity, warc
 from .common import documents
 
 #: Folder of the public tokenizers' vocabulary files; the same on the driver and the executors.
 TOKENIZERS = "/opt/tokenizers"
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(documents(spark, sf_dir)).drop("lang", "source")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     out = toxicity.score(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -53,7 +57,11 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_texts(documents(spark, sf_dir), f"{TOKENIZERS}/piece_bpe_32k.model", digests=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_warc_segments, op4_media_columns, op5_quality, op6_simhash, op7_packing, op8_language, op9_sentencepiece)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_deleted", "text")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_warc_segments, op4_media_columns, op5_quality, op6_simhash, op7_packing, op8_language, op9_sentencepiece, op10_line_dedup)}
 
 OP3 = """
 WITH p AS (
@@ -65,4 +73,63 @@ SELECT p.page_id, p.n::BIGINT AS payload_bytes, p.d AS payload_digest,
 FROM p LEFT JOIN f ON p.d = f.d AND p.n >= 100
 """
 
-ORACLES: dict[str, str] = {"op3_warc_segments": OP3}
+def _op1() -> str:
+    fences = []
+    for m, (least, low, high) in rules.MEASURES.items():
+        spread = f"greatest(quantile_disc({m}, 0.75) - quantile_disc({m}, 0.25), {least}::DOUBLE) * {rules.FENCE}::DOUBLE"
+        fences.append(f"{f'quantile_disc({m}, 0.25) - {spread}' if low else 'NULL::DOUBLE'} AS {m}_low, {f'quantile_disc({m}, 0.75) + {spread}' if high else 'NULL::DOUBLE'} AS {m}_high")
+    fence = ", ".join(fences)
+    pick = lambda c: f"CASE WHEN s.n >= {rules.LEAST_ROWS} THEN s.{c} WHEN g.n >= {rules.LEAST_ROWS} THEN g.{c} ELSE a.{c} END"
+    inside = " AND ".join(f"coalesce(m.{m} >= {pick(f'{m}_low')}, true) AND coalesce(m.{m} <= {pick(f'{m}_high')}, true)" for m in rules.MEASURES)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+g AS (SELECT rid, i, array_to_string(w[i:i + 7], ' ') AS gram FROM w, unnest(generate_series(1, len(w) - 7)) AS u(i)),
+rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS n FROM g) WHERE n > 1),
+cov AS (SELECT rid, count(DISTINCT i + k) AS n FROM rep, generate_series(0, 7) AS u(k) GROUP BY rid),
+c AS (
+  SELECT w.rid, doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+    coalesce(cov.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines,
+    length(regexp_replace(t, '[^!?"''()\\[\\]{{}}=+/\\\\^~_@;:-]+', '', 'g')) AS n_marks, length(regexp_replace(t, '[^A-ZÀ-ÖØ-Þ]+', '', 'g')) AS n_upper
+  FROM w LEFT JOIN cov ON cov.rid = w.rid
+), m AS (
+  SELECT rid, doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    CASE WHEN n_words > 0 THEN n_symbols::DOUBLE / n_words ELSE 0 END AS symbols_per_word,
+    CASE WHEN n_words > 0 THEN word_chars::DOUBLE / n_words ELSE 0 END AS chars_per_word,
+    CASE WHEN n_lines > 0 THEN n_dup_lines::DOUBLE / n_lines ELSE 0 END AS dup_line_share,
+    CASE WHEN n_words > 0 THEN n_repeat_words::DOUBLE / n_words ELSE 0 END AS repeat_word_share,
+    CASE WHEN word_chars > 0 THEN n_marks::DOUBLE / word_chars ELSE 0 END AS mark_share,
+    CASE WHEN word_chars > 0 THEN n_upper::DOUBLE / word_chars ELSE 0 END AS upper_share
+  FROM c
+), p AS (SELECT * FROM m WHERE NOT base_failed),
+s AS (SELECT lang, source, count(*) AS n, {fence} FROM p GROUP BY lang, source),
+g2 AS (SELECT lang, count(*) AS n, {fence} FROM p GROUP BY lang),
+a AS (SELECT count(*) AS n, {fence} FROM p)
+SELECT m.doc_id, m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words, m.base_failed, {", ".join("m." + x for x in rules.MEASURES)},
+  NOT m.base_failed AND {inside} AS kept
+FROM m LEFT JOIN s ON m.lang IS NOT DISTINCT FROM s.lang AND m.source IS NOT DISTINCT FROM s.source
+LEFT JOIN g2 AS g ON m.lang IS NOT DISTINCT FROM g.lang CROSS JOIN a
+"""
+
+
+OP10 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i, ls[i] AS raw, regexp_replace(ls[i], '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS line FROM d, unnest(generate_series(1, len(ls))) AS u(i)),
+v AS (SELECT doc_id, i, line, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS q FROM l WHERE line <> ''),
+a AS (SELECT doc_id, list(line ORDER BY q) AS ls, list(w ORDER BY q) AS ws FROM v GROUP BY doc_id),
+f AS (SELECT v.doc_id, v.q, min(k) AS n FROM v JOIN a USING (doc_id), generate_series(1, {lines.MIN_WORDS}) AS u(k)
+      WHERE v.q + k - 1 <= len(ws) AND list_sum(ws[v.q:v.q + k - 1]) >= {lines.MIN_WORDS} GROUP BY ALL),
+b AS (SELECT v.doc_id, v.q - min(k) + 1 AS q, min(k) AS n FROM v JOIN a USING (doc_id), generate_series(1, {lines.MIN_WORDS}) AS u(k)
+      WHERE v.q - k + 1 >= 1 AND list_sum(ws[v.q - k + 1:v.q]) >= {lines.MIN_WORDS} GROUP BY v.doc_id, v.q),
+x AS (SELECT doc_id, q, n FROM f UNION SELECT doc_id, q, n FROM b),
+y AS (SELECT x.*, row_number() OVER (PARTITION BY array_to_string(ls[q:q + n - 1], chr(10)) ORDER BY doc_id, q) AS nth FROM x JOIN a USING (doc_id)),
+z AS (SELECT DISTINCT doc_id, q + k AS q FROM y, unnest(generate_series(0, n - 1)) AS u(k) WHERE nth > 1),
+r AS (SELECT l.doc_id, count(v.q) AS n_lines, count(z.q) AS n_deleted, string_agg(l.raw, chr(10) ORDER BY l.i) FILTER (WHERE z.q IS NULL) AS kept
+      FROM l LEFT JOIN v ON v.doc_id = l.doc_id AND v.i = l.i LEFT JOIN z ON z.doc_id = v.doc_id AND z.q = v.q GROUP BY l.doc_id)
+SELECT documents.doc_id, n_lines, n_deleted, CASE WHEN n_deleted = 0 THEN text WHEN n_deleted = n_lines THEN '' ELSE kept END AS text
+FROM documents JOIN r USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": _op1(), "op3_warc_segments": OP3, "op10_line_dedup": OP10}

@@ -159,3 +159,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = nodes.join(parts, nodes.node == parts.n, "left").select(F.col("fp").alias("f"), F.coalesce("component", "node").alias("component_id"))
     named = materialize(named, "components")
     return docs.join(named, docs.fp == named.f, "left").select("doc_id", "fp", "component_id")
+
+
+def keep_one(df: DataFrame) -> DataFrame:
+    """The whole rows of df but for near duplicates: of each group the row with the smallest doc_id.
+
+    Of rows that repeat that id one stays. Rows without an id can't name a group, and all stay.
+    """
+    kept = near_duplicates(df).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    named = df.where(F.col("doc_id").isNotNull())
+    return named.join(kept, named.doc_id == kept._kept, "left_semi").dropDuplicates(["doc_id"]).unionByName(df.where(F.col("doc_id").isNull()))
