@@ -197,7 +197,7 @@ def source_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 n AS (SELECT *, replace(party, 'Brand#', '')::INT AS k FROM p)
 SELECT CASE WHEN k % 4 <> 0 THEN k ELSE row_number() OVER (ORDER BY party) END::BIGINT AS list_number, party, CASE WHEN k % 4 <> 0 THEN 'Brand ' || k ELSE '' END AS label, votes,
   CASE WHEN k % 4 <> 0 AND k % 3 <> 0 THEN vb ELSE 0 END AS votes_b, CASE WHEN k % 4 <> 0 THEN vo ELSE 0 END AS votes_official, votes - previous AS difference,
-  CASE WHEN previous = 0 THEN '-' ELSE replace(printf('%.1f', (votes - previous) / previous::DOUBLE * 100), '.', ',') END AS change, round(CASE WHEN votes = 0 THEN 0 ELSE (votes - previous)::DOUBLE * 100 / votes END, 6) AS change_key FROM n""")
+  CASE WHEN previous = 0 THEN '-' ELSE replace(printf('%.1f', round((votes - previous) / previous::DOUBLE * 100, 1)), '.', ',') END AS change, round(CASE WHEN votes = 0 THEN 0 ELSE (votes - previous)::DOUBLE * 100 / votes END, 6) AS change_key FROM n""")
 def side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     of = lambda cond, name: F.sum(F.when(cond, F.col("l_quantity")).otherwise(0)).alias(name)
@@ -333,7 +333,7 @@ def ticker_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("place", "source", "name", F.unix_micros("ts").alias("ts_us"))
 
 
-@query(f"WITH {_TICKER} SELECT string_agg(source || '|' || user_id || '|' || epoch_ms(ts), '||' ORDER BY place) AS signature FROM tk")
+@query(f"WITH {_TICKER} SELECT string_agg(source || '|' || user_id || '|' || (epoch_us(ts) // 1000), '||' ORDER BY place) AS signature FROM tk")
 def ticker_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticker.signature(_ticker(spark, sf_dir))
 
@@ -382,7 +382,7 @@ def fmt_reltime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.user_events(spark, sf_dir).select("event_id", fn.relative_time("ts", as_of).alias("text"), fn.relative_time_signed("ts", as_of).alias("signed"))
 
 
-@query("SELECT o_orderkey, replace(format('{:,}', o_orderkey * 1001), ',', '.') AS number, CASE WHEN o_orderkey % 1000 = 0 THEN '' ELSE replace(printf('%.1f', (o_orderkey % 1000) / 10.0::DOUBLE), '.', ',') || '%' END AS permille, CASE WHEN o_custkey % 3 = 0 THEN '-' ELSE replace(printf('%.1f', (o_orderkey - o_custkey) / o_custkey::DOUBLE * 100), '.', ',') END AS change FROM orders")
+@query("SELECT o_orderkey, replace(format('{:,}', o_orderkey * 1001), ',', '.') AS number, CASE WHEN o_orderkey % 1000 = 0 THEN '' ELSE replace(printf('%.1f', (o_orderkey % 1000) / 10.0::DOUBLE), '.', ',') || '%' END AS permille, CASE WHEN o_custkey % 3 = 0 THEN '-' ELSE replace(printf('%.1f', round((o_orderkey - o_custkey) / o_custkey::DOUBLE * 100, 1)), '.', ',') END AS change FROM orders")
 def fmt_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = F.when(F.col("o_custkey") % 3 == 0, 0).otherwise(F.col("o_custkey"))
     return table(spark, sf_dir, "orders").select("o_orderkey", fn.format_int_nl(F.col("o_orderkey") * 1001).alias("number"), fn.format_permille(fn.blank_zero(F.col("o_orderkey") % 1000), "%").alias("permille"), fn.format_change(F.col("o_orderkey"), before).alias("change"))

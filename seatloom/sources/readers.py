@@ -37,7 +37,7 @@ def read_document(spark: SparkSession, path: str, schema: str, optional: bool =
 
 def read_map(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """A document that is one map, as rows (key, value) in document order: pos, key, value."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.posexplode(F.map_entries(F.from_json("value", kind))).alias("pos", "e")).select("pos", "e.key", "e.value")
 
 
