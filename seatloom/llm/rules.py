@@ -120,7 +120,7 @@ def apply_rules(rows: DataFrame) -> DataFrame:
     named = rows.withColumns({f"{k}_key": F.concat(F.when(F.col(k).isNull(), "-").otherwise("+"), F.coalesce(k, F.lit(""))) for k in keys})
     fine = materialize(sketches(named.where("not base_failed"), "lang_key", "source_key"), "sketches")
     coarse = merge_sketches(fine, "lang_key")
-    overall = _fences(merge_sketches(coarse)).first()  # one row: the driver needs the fences of all rows as constants
+    overall = _fences(merge_sketches(coarse).where("n > 0")).first()  # one row: the driver needs the fences of all rows as constants
     ends = overall.fences.asDict() if overall and overall.fences else {}
     last = F.struct(*(F.lit(ends.get(f"{m}_{side}")).cast("double").alias(f"{m}_{side}") for m in MEASURES for side in ("low", "high")))
     at_source = _fences(fine, "lang_key", "source_key").select(F.col("lang_key").alias("l"), "source_key", F.when(F.col("n") >= LEAST_ROWS, F.col("fences")).alias("f1"))
