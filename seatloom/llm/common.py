@@ -16,6 +16,7 @@ SLICE_ROWS = 512
 SLICE_BYTES = 8 << 20
 
 _own_dir: str | None = None
+_written: list[str] = []
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -30,7 +31,17 @@ def work_dir(spark: SparkSession) -> str:
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below work_dir()."""
-    return f"{work_dir(spark)}/seatloom/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/seatloom/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def remove_work(spark: SparkSession) -> None:
+    """Delete what this process has written to the shared folder. Call it once no result is read any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
