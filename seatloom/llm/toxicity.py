@@ -8,8 +8,9 @@ random text; normalised by it they are summed over a text and turned into a prob
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -131,10 +132,17 @@ class ToxicityModel:
         return [(a, b, self.rate * s - base) for a, b, s in segments(places, [score[words[k]] for k in places], DRIFT)]
 
     def statistic(self, text: str | None) -> float:
-        """Sum of the significant segments' normalised scores, on a root scale; without one, the best; without any, a floor."""
-        values = [v for _, _, v in self.passages(text)]
-        good = [v for v in values if v > 0]
-        return float(np.sqrt(sum(good))) if good else max([-5.0, *(v / 2 for v in values)])
+        """The sum statistic of a text's segments on a signed root scale; -5 without any.
+
+        Over random text r segments reach normalised scores v1, ..., vr with a chance of about
+        exp(-(v1 + ... + vr + ln r!)), so the r that maximises that sum tells most.
+        """
+        values = sorted((v for _, _, v in self.passages(text)), reverse=True)
+        best, total = -25.0, 0.0
+        for r, v in enumerate(values, 1):
+            total += v + math.log(r)
+            best = max(best, total)
+        return math.copysign(math.sqrt(abs(best)), best)
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ToxicityModel:
@@ -146,21 +154,25 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Tox
 
     def make():
         def run(part: pa.RecordBatch) -> dict:
-            tally = Counter()
+            seen = set()
             for text, label in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                tally.update((label, u) for u in {u for t in set(tokens(text)) for u in units(t)})
-            keys = list(tally)
-            return {"unit": [u for _, u in keys], "label": [k for k, _ in keys], "n": [tally[k] for k in keys]}
+                words = ["", *tokens(text), ""]
+                seen.update((t, label, zlib.crc32(f"{a} {b}".encode("utf-8", "replace"))) for a, t, b in zip(words, words[1:-1], words[2:]))
+            rows = list(seen)
+            return {"token": [t for t, _, _ in rows], "label": [k for _, k, _ in rows], "context": [c for _, _, c in rows]}
 
         return run
 
     model = ToxicityModel()
     per = lambda k: F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0))
-    # Documents count, not tokens. Units rarer than three toxic documents can't be significant: they go as one row for each length of prefix.
-    table = map_arrow(sample, make, "unit string, label int, n long").groupBy("unit").agg(per(1).alias("toxic"), per(0).alias("clean"))
+    # Different contexts of a token count, not its occurrences: copies of a text, however many, count once.
+    counts_of = map_arrow(sample, make, "token string, label int, context long").distinct().groupBy("token", "label").agg(F.count("*").alias("n"))
+    prefix = lambda k: F.when(F.length("token") > k, F.concat(F.substring("token", 1, k), F.lit("*")))
+    table = counts_of.select(F.explode(F.array_compact(F.array("token", *map(prefix, PREFIXES)))).alias("unit"), "label", "n").groupBy("unit").agg(per(1).alias("toxic"), per(0).alias("clean"))
+    # Units rarer than three toxic contexts can't be significant: they go as one row for each length of prefix.
     level = F.when(F.col("unit").endswith("*"), F.length("unit") - 1).otherwise(0)
     table = table.groupBy(level.alias("level"), F.when(F.col("toxic") >= 3, F.col("unit")).alias("unit")).agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    by_unit, words = {}, None
+    by_unit, words = {}, []
     rows = table.toArrow().sort_by([("level", "ascending"), ("unit", "ascending")]).to_pylist()
     for k in (*PREFIXES, 0):
         own = [row for row in rows if row["level"] == k]
@@ -169,7 +181,6 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Tox
             delta, z, rate = log_odds(toxic, clean)
             kept = [i for i, row in enumerate(own) if row["unit"] is not None and z[i] >= LEAST_Z and delta[i] >= LEAST_ODDS]
             by_unit |= {own[i]["unit"]: float(delta[i]) for i in kept}
-            words = words or []
             words += [(float(delta[i]), float(rate[i])) for i in kept]
     model.score = Scores(by_unit)
     if words:
@@ -198,7 +209,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
         def run(part: pa.RecordBatch) -> dict:
             texts = part.column(1).to_pylist()
             found = [[{"first": a, "last": b, "score": v} for a, b, v in model.passages(x) if v > 0] for x in texts]
-            values = np.array([model.statistic(x) if f or x else -5.0 for x, f in zip(texts, found, strict=True)])
+            values = np.array([model.statistic(x) for x in texts])
             return {"doc_id": part.column(0), "score": pa.array(sigmoid(model.a * values + model.b)), "passages": found}
 
         return run
