@@ -448,6 +448,85 @@ def route_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return route(years, official).withColumn("previous", reconcile.election_labels(F.col("election"))["previous"])
 
 
+def _polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exit polls as JSON texts: an election for each region, its nations as parties, two or three times each, one value that is no number."""
+    from ..sources.readers import exit_poll
+
+    k = F.col("n_nationkey").cast("string")
+    series = F.concat(F.lit('": {"21:45": '), k, F.lit(', "21:00": "'), (F.col("n_nationkey") + 1).cast("string"), F.lit('"'), F.when(F.col("n_nationkey") % 2 == 0, ', "22:30": "x"').otherwise(', "23:00": 7'), F.lit("}"))
+    entry = F.concat(F.lit('" '), F.lower("n_name"), series)
+    n = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", entry.alias("x")))).alias("s"))
+    maps = n.select(F.lit(0).alias("pos"), F.col("n_regionkey").cast("string").alias("key"), F.concat(F.lit("{"), F.array_join("s.x", ", "), F.lit("}")).alias("value"))
+    return exit_poll(maps)
+
+
+@query("SELECT n_regionkey::VARCHAR AS election, upper(n_name) AS name, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey + 1 ELSE 7 END::INT AS expected FROM nation")
+def poll_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.readers import latest_poll
+
+    return latest_poll(_polls(spark, sf_dir))
+
+
+@query("SELECT e::VARCHAR AS election, row_number() OVER (PARTITION BY e ORDER BY f)::BIGINT AS place, t AS time FROM (SELECT n_regionkey AS e, t, min(n_nationkey * 3 + p) AS f FROM nation, (VALUES ('21:45', 0), ('21:00', 1), ('23:00', 2)) AS x(t, p) WHERE p < 2 OR n_nationkey % 2 = 1 GROUP BY ALL)")
+def poll_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.readers import poll_times as times
+
+    return times(_polls(spark, sf_dir))
+
+
+@query("SELECT user_id::VARCHAR AS source, arg_max(event_id, (ts, event_id)) FILTER (WHERE event_type <> 'error') AS event_id FROM events GROUP BY user_id HAVING count(*) FILTER (WHERE event_type <> 'error') > 0")
+def last_good_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.readers import last_good
+
+    e = inputs.user_events(spark, sf_dir).select(F.col("user_id").cast("string").alias("source"), F.struct("ts", "event_id").alias("snapshot_ts"), F.when(F.col("event_type") != "error", F.col("event_id")).alias("body"))
+    return last_good(e).select("source", F.col("body").alias("event_id"))
+
+
+@query("SELECT event_id FROM events WHERE ts <= TIMESTAMP '2024-01-20 12:00:00' AND ts >= TIMESTAMP '2024-01-20 11:00:00'")
+def fresh_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.readers import fresh
+
+    e = inputs.user_events(spark, sf_dir).withColumnRenamed("ts", "snapshot_ts")
+    return fresh(e, "2024-01-20 12:00:00", 3600).select("event_id")
+
+
+@query("SELECT list_number::INT AS list_number, party, label_long, label_short FROM (SELECT *, row_number() OVER (PARTITION BY party ORDER BY list_number DESC) AS n FROM (SELECT n_nationkey + 1 AS list_number, 'p' || (n_nationkey % 20) AS party, CASE WHEN n_nationkey % 3 = 0 THEN substr(n_name, 1, 3) ELSE n_name END AS label_long, CASE WHEN n_nationkey % 4 = 1 AND n_nationkey % 3 <> 0 THEN n_name ELSE substr(n_name, 1, 3) END AS label_short FROM nation)) WHERE n = 1")
+def label_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.readers import labels
+
+    k = F.col("n_nationkey")
+    short = F.when((k % 4 == 1) & (k % 3 != 0), "").otherwise(F.substring("n_name", 1, 3))
+    item = F.struct(F.concat(F.lit("p"), (k % 20).cast("string")).alias("key"), F.lit(None).cast("string").alias("color"), F.when(k % 3 != 0, F.col("n_name")).alias("labelLong"), short.alias("labelShort"), F.lit(None).cast("string").alias("labelShortNOS"))
+    maps = table(spark, sf_dir, "nation").agg(F.array_sort(F.collect_list(F.struct(k, item.alias("x")))).alias("s")).select(F.lit("TK1").alias("key"), F.col("s.x").alias("value"))
+    return labels(maps).select("list_number", "party", "label_long", "label_short")
+
+
+@query("""WITH r AS (SELECT *, CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE ((n_nationkey + 7) % 30)::VARCHAR END AS parent FROM nation)
+SELECT r.n_name AS label, CASE r.n_nationkey % 4 WHEN 0 THEN 'Gemeente' WHEN 1 THEN 'Provincie' WHEN 2 THEN 'Land' ELSE '3' END AS type, CASE r.n_nationkey % 5 WHEN 0 THEN 'Nulstand' WHEN 2 THEN 'Tussenstand' WHEN 4 THEN 'Eindstand' ELSE (r.n_nationkey % 5)::VARCHAR END AS status,
+  CASE WHEN r.n_nationkey * 61 % 60 = 0 THEN strftime(make_timestamp(r.n_nationkey * 61000000), '%d-%m-%Y %H:%M') ELSE strftime(make_timestamp(r.n_nationkey * 61000000), '%d-%m-%Y %H:%M:%S') END AS updated_text, CASE WHEN r.parent IN ('', '0') THEN '' ELSE coalesce(p.n_name, r.parent) END AS parent_label, lower(r.n_name) || ', zz' AS top_current, '' AS top_previous
+FROM r LEFT JOIN nation p ON p.n_nationkey::VARCHAR = r.parent""")
+def region_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, k = table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    parent = F.when(k % 5 == 0, "").otherwise(((k + 7) % 30).cast("string"))
+    views = n.select(k.alias("pos"), k.cast("string").alias("key"), (k % 4).alias("type"), F.col("n_name").alias("label"), F.lit(1).alias("countParties"), (k % 5).alias("status"), (k * 61).cast("bigint").alias("updated"), parent.alias("parent"), F.array(k.cast("string"), F.lit("zz")).alias("topPartiesCurrent"), F.lit(None).cast("array<string>").alias("topPartiesPrevious"))
+    labels = n.select(k.cast("string").alias("party"), F.lower("n_name").alias("label_short"))
+    return status.region_rows(views, labels).select("label", "type", "status", "updated_text", "parent_label", "top_current", "top_previous")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 10 = 0 THEN '' ELSE (c_custkey % 10)::VARCHAR END AS shown FROM customer WHERE c_nationkey % 5 = 3")
+def zero_stand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_nationkey") % 5).cast("string").alias("election"), (F.col("c_custkey") % 10).alias("v"))
+    return changes.reject_late(rows, "3").select("c_custkey", reconcile.blank_at_zero(F.col("v").cast("string"), F.col("v"), F.col("c_custkey") % 2 == 0).alias("shown"))
+
+
+@query("WITH t AS (SELECT p_brand AS name, count(*) AS n, 0 AS is_total FROM part GROUP BY p_brand UNION ALL SELECT 'Totaal', count(*), 1 FROM part) SELECT name, n, row_number() OVER (ORDER BY is_total, try_cast(replace(name, 'Brand#', '') AS INT) DESC) AS place FROM t")
+def pinned_total_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    rows = part.groupBy(F.col("p_brand").alias("name")).agg(F.count("*").alias("n")).withColumn("is_total", F.lit(0))
+    rows = rows.unionByName(part.agg(F.lit("Totaal").alias("name"), F.count("*").alias("n"), F.lit(1).alias("is_total")))
+    return sorts.place(rows, [], F.col("is_total"), *(k.desc_nulls_last() for k in fn.natural_key("name"))).drop("is_total")
+
+
 @query()
 def streaming_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily snapshots of event counts through the streaming operator, read back from its sink."""

@@ -99,14 +99,14 @@ def official_votes(maps: DataFrame) -> DataFrame:
 
 
 def exit_poll(maps: DataFrame) -> DataFrame:
-    """read_map(EXIT_POLL) as rows: election, name (normalised), pos, time (null in the flat layout), seats. What isn't a number drops out."""
+    """read_map(EXIT_POLL) as rows: election, party_pos, name (normalised), pos, time (null in the flat layout), seats. What isn't a number drops out."""
     flat = F.from_json("value", "array<struct<party: string, seats: string>>")
     nested = F.from_json("value", "map<string, map<string, string>>")
     is_flat = F.ltrim("value").startswith("[")
-    one = maps.where(is_flat).select(F.col("key").alias("election"), F.posexplode(flat).alias("pos", "p")).select("election", F.col("p.party").alias("name"), "pos", F.lit(None).cast("string").alias("time"), F.col("p.seats").alias("seats"))
-    two = maps.where(~is_flat).select(F.col("key").alias("election"), F.explode(nested).alias("name", "series")).select("election", "name", F.posexplode(F.map_entries("series")).alias("pos", "e")).select("election", "name", "pos", F.col("e.key").alias("time"), F.col("e.value").alias("seats"))
+    one = maps.where(is_flat).select(F.col("key").alias("election"), F.posexplode(flat).alias("pos", "p")).select("election", F.col("pos").alias("party_pos"), F.col("p.party").alias("name"), "pos", F.lit(None).cast("string").alias("time"), F.col("p.seats").alias("seats"))
+    two = maps.where(~is_flat).select(F.col("key").alias("election"), F.posexplode(F.map_entries(nested)).alias("party_pos", "p")).select("election", "party_pos", F.col("p.key").alias("name"), F.posexplode(F.map_entries("p.value")).alias("pos", "e")).select("election", "party_pos", "name", "pos", F.col("e.key").alias("time"), F.col("e.value").alias("seats"))
     rows = one.unionByName(two)
-    return rows.select("election", normal_name("name").alias("name"), "pos", "time", F.col("seats").try_cast("int").alias("seats")).where("seats is not null")
+    return rows.select("election", "party_pos", normal_name("name").alias("name"), "pos", "time", F.col("seats").try_cast("int").alias("seats")).where("seats is not null")
 
 
 def latest_poll(polls: DataFrame) -> DataFrame:
@@ -114,6 +114,12 @@ def latest_poll(polls: DataFrame) -> DataFrame:
     return polls.groupBy("election", "name").agg(F.max_by("seats", "pos").alias("expected"))
 
 
+def poll_times(polls: DataFrame) -> DataFrame:
+    """Different poll times of all parties in order of first occurrence: election, place, time."""
+    firsts = polls.where("time is not null").groupBy("election", "time").agg(F.min(F.struct("party_pos", "pos")).alias("at"))
+    return firsts.select("election", F.row_number().over(Window.partitionBy("election").orderBy("at")).cast("bigint").alias("place"), "time")
+
+
 def elections(maps: DataFrame, plain: bool = False) -> DataFrame:
     """Years that a map has, ascending: of keys TKyyyy or yyyy, or with plain of yyyy only."""
     pattern = r"^\d{4}$" if plain else r"^(TK)?\d{4}$"
