@@ -92,6 +92,7 @@ def repeated_lines(sequences: DataFrame, min_words: int = MIN_WORDS) -> DataFram
         place = F.struct(F.col("doc").isNull().alias("none"), "doc", "h1", "h2", "q")
         ranked = materialize(ranked.select("len", "r1", "r2", place.alias("place")), "intervals")
         firsts = ranked.groupBy("len", "r1", "r2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("len").alias("l"), F.col("r1").alias("f1"), F.col("r2").alias("f2"), "first")
+        firsts = materialize(firsts, "firsts")  # so that both sides of the join are dealt out anew, and a crowded interval can be split
         later = ranked.join(firsts, (F.col("len") == F.col("l")) & (F.col("r1") == F.col("f1")) & (F.col("r2") == F.col("f2"))).where("place <> first")
         marked.append(later.select("place.doc", "place.h1", "place.h2", F.explode(F.expr("sequence(place.q, place.q + len - 1)")).alias("q")))
         if step * 2 <= min_words:
