@@ -24,8 +24,8 @@ SEQUENCE_TOKENS = 2048
 GRAIN = 8
 END_ID = 1
 CACHE_WORDS = 400_000
-#: Pieces that are ranked in one window at most, about.
-RANKED_ROWS = 2000
+#: Pieces that are ranked in one window, about.
+RANKED_ROWS = 500
 
 # Texts of these characters only are cut in words here; NFC leaves them alone and lower-casing is one to one.
 _PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*").fullmatch
@@ -227,15 +227,14 @@ def pack(pieces: DataFrame, most: int = SEQUENCE_TOKENS, grain: int = GRAIN) ->
         base += n
     plan = spark.createDataFrame(slots, "bin int, low long, high long, each long, base long")
     # Ranks within a bin: a hash deals its pieces to parts of bounded size, and the parts' counts give where each begins.
-    parts = max(1, -(-int(demand.max(initial=0)) // RANKED_ROWS))
-    part = F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts)).cast("int")
-    dealt = pieces.withColumn("part", part)
+    deal = spark.createDataFrame([(size, -(-n // RANKED_ROWS)) for size, n in zip(sizes.tolist(), demand.tolist(), strict=True)], "bin int, parts long")
+    dealt = pieces.join(F.broadcast(deal), "bin").withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.col("parts"))).drop("parts")
     begins = dealt.groupBy("bin", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("bin").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     begins = begins.select("bin", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
     within = Window.partitionBy("bin", "part").orderBy("doc_id", "start")
     ranked = dealt.withColumn("rank", F.row_number().over(within) - 1).join(begins, ["bin", "part"]).withColumn("rank", F.col("rank") + F.col("begin"))
-    # The plan's size depends on most and grain alone.
+    # This table's and the plan's size depend on most and grain alone.
     placed = ranked.join(F.broadcast(plan), "bin").where("rank >= low and rank < high")
     placed = placed.withColumn("sequence_id", F.col("base") + F.floor((F.col("rank") - F.col("low")) / F.col("each")))
     filled = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start", "rank").rowsBetween(Window.unboundedPreceding, -1)
