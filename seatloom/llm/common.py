@@ -20,10 +20,12 @@ _written: list[str] = []
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one of our own only where that is unset."""
+    """The shared folder named by spark.checkpoint.dir. Where that is unset, one of our own, but in a local session only: executors elsewhere couldn't read it."""
     global _own_dir
     if shared := spark.conf.get("spark.checkpoint.dir", None):
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="seatloom-")
     return _own_dir
@@ -36,12 +38,23 @@ def work_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def remove_work(spark: SparkSession) -> None:
-    """Delete what this process has written to the shared folder. Call it once no result is read any more."""
+def work_mark() -> int:
+    """A point in the sequence of written tables, for remove_work()."""
+    return len(_written)
+
+
+def remove_work(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete the tables that this process has written since work_mark(), but for the one that keep reads.
+
+    Call it once no lazy result reads them any more.
+    """
+    files = keep.inputFiles() if keep is not None else []
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+    for name in _written[since:]:
+        if not any(name.rpartition("/")[2] in x for x in files):
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+            _written.remove(name)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

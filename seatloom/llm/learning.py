@@ -13,8 +13,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """(text, label) of at most per_class rows of each class 0 and 1, and the classes' full counts.
 
     Rows whose id has the held-out remainder, null ids and labels other than 0 and 1 are never used.
-    An id with several labels counts once, with the larger. Ids are taken in the order of a hash, so
-    the sample is the same at each run; at most 2 * per_class ids are broadcast.
+    An id with several labels counts once, with the larger; an id with several texts with the least.
+    Ids are taken in the order of a hash, so the sample is the same at each run, and at most
+    2 * per_class ids are broadcast.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & (id_remainder(F.col("doc_id"), modulus) != held_out))
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -22,7 +23,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     chosen = [row for k in (0, 1) for row in known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()]
     ids = docs.sparkSession.createDataFrame(chosen, "doc_id long, label int").withColumnRenamed("doc_id", "chosen_id")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(ids), F.col("doc_id") == F.col("chosen_id")).select("doc_id", "text", "label"), counts
+    found = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("chosen_id")).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return found.select("doc_id", "text", "label"), counts
 
 
 def held_out_column(col: Column, modulus: int, remainder: int) -> Column:

@@ -1,19 +1,23 @@
 """Operator 6, SimHash near-dedup: 64-bit fingerprints of word shingles, linked by exact tiled comparison.
 
-Tiles of distinct fingerprints are compared in full with numpy exclusive-or and bit counts, and tile
-pairs whose population counts differ beyond the radius are skipped. Tiles are formed inside buckets
-that the pigeonhole principle gives, so that the work doesn't grow with the square of the table; no
-link is missed and no bucket is capped.
+Distinct fingerprints are put in order of their population counts and cut in tiles; tiles are compared
+in full with numpy exclusive-or and bit counts, and tile pairs whose population counts differ beyond
+the radius are skipped. That happens inside buckets of fingerprints that agree on a choice of bit
+blocks. Every link lies in one bucket at least, so none is missed, and no bucket is capped. The
+number of blocks follows from the number of fingerprints, so that buckets of random fingerprints stay
+small; within a bucket the work is the square of its size, less what is skipped.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, map_arrow, materialize
@@ -22,8 +26,12 @@ from .components import connected_components
 SHINGLE_WORDS = 4
 SEED = 42
 RADIUS = 4
-#: Fingerprints in a tile; a tile is the unit that is shipped and compared.
-TILE = 8192
+#: Fingerprints that are shipped together at most, and in a tile of the comparison.
+CHUNK, TILE = 8192, 64
+#: What it costs to put a fingerprint in one more bucket, in comparisons.
+SHIP_COST = 2000
+#: Links that are gathered before they are united.
+LINKS_AT_ONCE = 1 << 16
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _PLACES = np.arange(8, dtype=np.int64) * 256
@@ -45,37 +53,75 @@ def fingerprint(text: str | None, shingle: int = SHINGLE_WORDS, seed: int = SEED
     return int.from_bytes(np.packbits(2 * counts.reshape(-1) > n).tobytes(), "big")
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row as a signed long; null texts have 0."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, seed: int = SEED, carry: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id, fp[, long columns to carry]): the fingerprint of every row as a signed long; null texts have 0."""
+    extra = carry or {}
+    names = list(extra)
 
     def make():
         def run(part: pa.RecordBatch) -> dict:
             values = np.array([fingerprint(x, shingle, seed) for x in part.column(1).to_pylist()], np.uint64)
-            return {"doc_id": part.column(0), "fp": pa.array(values.view(np.int64))}
+            return {"doc_id": part.column(0), "fp": pa.array(values.view(np.int64))} | {name: part.column(2 + k) for k, name in enumerate(names)}
 
         return run
 
-    return map_arrow(df.select(column(df, id_col, "doc_id", "long"), column(df, text_col, "text", "string")), make, "doc_id long, fp long")
+    rows = df.select(column(df, id_col, "doc_id", "long"), column(df, text_col, "text", "string"), *(c.alias(name) for name, c in extra.items()))
+    return map_arrow(rows, make, ", ".join(f"{name} long" for name in ("doc_id", "fp", *extra)))
 
 
-def linked(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of a and b that differ in at most radius bits, a block of a at a time."""
-    step = max(1, (1 << 21) // max(1, b.size))
-    for at in range(0, a.size, step):
-        i, j = np.nonzero(np.bitwise_count(a[at : at + step, None] ^ b[None, :]) <= radius)
-        if i.size:
-            yield i + at, j
+def tile_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool, tile: int = TILE) -> tuple[list[tuple[int, int]], int]:
+    """Pairs of tiles that must be compared, by their first places, and how many were skipped.
+
+    a, b: population counts in ascending order. same: a and b are one list, of which each pair of
+    tiles comes once.
+    """
+    low_a, low_b = range(0, a.size, tile), range(0, b.size, tile)
+    pairs, skipped = [], 0
+    for i in low_a:
+        top = a[min(i + tile, a.size) - 1] + radius
+        for j in low_b:
+            if same and j < i:
+                continue
+            if b[j] > top or a[i] > b[min(j + tile, b.size) - 1] + radius:
+                skipped += 1
+            else:
+                pairs.append((i, j))
+    return pairs, skipped
+
+
+def linked(a: np.ndarray, b: np.ndarray, radius: int, same: bool = False, tile: int = TILE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of a and b that differ in at most radius bits, a tile pair at a time."""
+    bits_a, bits_b = np.bitwise_count(a), np.bitwise_count(b)
+    order_a, order_b = np.argsort(bits_a, kind="stable"), np.argsort(bits_b, kind="stable")
+    sorted_a, sorted_b = a[order_a], b[order_b]
+    for i, j in tile_pairs(bits_a[order_a].astype(int), bits_b[order_b].astype(int), radius, same, tile)[0]:
+        x, y = np.nonzero(np.bitwise_count(sorted_a[i : i + tile, None] ^ sorted_b[None, j : j + tile]) <= radius)
+        if x.size:
+            yield order_a[x + i], order_b[y + j]
+
+
+def _gathered(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same index pairs in longer arrays."""
+    held, size = [], 0
+    for pair in pairs:
+        held.append(pair)
+        size += pair[0].size
+        if size >= LINKS_AT_ONCE:
+            yield tuple(map(np.concatenate, zip(*held)))
+            held, size = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
 
 
 def spanning_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> np.ndarray:
     """A spanning forest of the links between two tiles, as index pairs into a followed by b.
 
-    It joins what the links join with fewer rows than fingerprints. Links are united a block at a
+    It joins what the links join with fewer rows than fingerprints. Links are united some at a
     time by hooking roots on the least neighbouring root and halving paths, all in numpy.
     """
     offset = 0 if same else a.size
     root, kept = np.arange(offset + b.size), []
-    for i, j in linked(a, b, radius):
+    for i, j in _gathered(linked(a, b, radius, same)):
         j = j + offset
         while True:
             while (root[root] != root).any():
@@ -113,59 +159,88 @@ def _compare(rows: DataFrame, radius: int) -> DataFrame:
     return rows.select("fps1", "fps2").mapInArrow(run, "fp_a long, fp_b long")
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Links between distinct fingerprints within radius, reduced to a spanning forest of each tile pair: (fp_a, fp_b).
+def block_count(n: int, radius: int) -> int:
+    """In how many bit blocks n fingerprints are cut: the number that costs least where they are random.
+
+    With b blocks there are C(b, radius) choices of b - radius blocks, which hold 64 (b - radius) / b bits.
+    """
+    cost = lambda b: math.comb(b, radius) * (SHIP_COST + n / 2 ** (64 * (b - radius) // b))
+    return min(range(radius + 1, radius + 5), key=cost)
+
+
+def block_masks(blocks: int, radius: int) -> list[int]:
+    """A mask for each choice of blocks - radius blocks: two fingerprints within the radius agree on one choice at least."""
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    own = [(1 << edges[k + 1]) - (1 << edges[k]) for k in range(blocks)]
+    return [sum(x) for x in itertools.combinations(own, blocks - radius)]
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, blocks: int | None = None) -> DataFrame:
+    """Links between distinct fingerprints within radius, reduced to a spanning forest of each comparison: (fp_a, fp_b).
 
-    distinct: fp, each once. Of radius + 1 bit blocks, two fingerprints within the radius agree on
-    one at least, so comparing all pairs that share a block loses none. A bucket (block, value) of at
-    most `tile` fingerprints is one tile. A larger one is split by population count, and by a hash
-    where one count alone is too many; its tiles are compared pair by pair, but for pairs whose
-    population counts differ by more than the radius. Fingerprints travel in tiles, never in pairs.
+    distinct: fp, each once. blocks follows from their number if it isn't given. Fingerprints that
+    agree on a choice of blocks - radius of the blocks are a bucket. A bucket of at most chunk
+    fingerprints travels as one row. A larger one is cut by population count, and by a hash where one
+    count alone is too many; its chunks are paired, but for pairs whose population counts differ by
+    more than the radius. In every row tiles are compared as spanning_links() says. Fingerprints
+    travel in chunks, never in pairs.
     """
-    blocks, edges = radius + 1, [64 * k // (radius + 1) for k in range(radius + 2)]
-    value = lambda k: F.expr(f"shiftrightunsigned(fp, {edges[k]}) & {(1 << (edges[k + 1] - edges[k])) - 1}L")
-    banded = distinct.select("fp", F.posexplode(F.array(*map(value, range(blocks)))).alias("block", "value"))
+    blocks = blocks or block_count(distinct.count(), radius)
+    masked = [F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in block_masks(blocks, radius)]
+    banded = distinct.select("fp", F.posexplode(F.array(*masked)).alias("block", "value"))
     key = ["block", "value"]
-    crowded = materialize(banded.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > tile).select(*key, F.lit(True).alias("crowded")), "crowded")
+    crowded = materialize(banded.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > chunk).select(*key, F.lit(True).alias("crowded")), "crowded")
     dealt = banded.join(crowded, key, "left")
     alone = dealt.where("crowded is null").groupBy(key).agg(F.collect_list("fp").alias("fps1")).where("size(fps1) > 1").select("fps1", F.lit(None).cast("array<bigint>").alias("fps2"))
     cell = [*key, "bits"]
     many = dealt.where("crowded").select(*key, "fp", F.bit_count("fp").cast("int").alias("bits"))
-    counts = many.groupBy(cell).agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles"))
-    tiles = many.join(counts, cell).select(*cell, F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int").alias("k"), "fp")
-    tiles = materialize(tiles.groupBy(*cell, "k").agg(F.collect_list("fp").alias("fps")), "tiles")
-    one = tiles.select(*key, F.col("bits").alias("b1"), F.col("k").alias("k1"))
-    two = tiles.select(*key, F.col("bits").alias("b2"), F.col("k").alias("k2"))
+    counts = materialize(many.groupBy(cell).agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("chunks")), "counts")
+    cut = many.join(counts, cell).select(*cell, F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int").alias("k"), "fp")
+    cut = materialize(cut.groupBy(*cell, "k").agg(F.collect_list("fp").alias("fps")), "chunks")
+    one = cut.select(*key, F.col("bits").alias("b1"), F.col("k").alias("k1"))
+    two = cut.select(*key, F.col("bits").alias("b2"), F.col("k").alias("k2"))
     pairs = one.join(two, key).where(f"(b2 > b1 and b2 - b1 <= {radius}) or (b1 = b2 and k1 <= k2)")
-    tile_of = lambda n: tiles.select(*key, F.col("bits").alias(f"b{n}"), F.col("k").alias(f"k{n}"), F.col("fps").alias(f"fps{n}"))
-    crossed = pairs.join(tile_of(1), [*key, "b1", "k1"]).join(tile_of(2), [*key, "b2", "k2"]).select("fps1", F.when(F.expr("b1 <> b2 or k1 <> k2"), F.col("fps2")).alias("fps2"))
+    chunk_of = lambda n: cut.select(*key, F.col("bits").alias(f"b{n}"), F.col("k").alias(f"k{n}"), F.col("fps").alias(f"fps{n}"))
+    crossed = pairs.join(chunk_of(1), [*key, "b1", "k1"]).join(chunk_of(2), [*key, "b2", "k2"]).select("fps1", F.when(F.expr("b1 <> b2 or k1 <> k2"), F.col("fps2")).alias("fps2"))
     return _compare(alone, radius).unionByName(_compare(crossed, radius)).distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def groups(docs: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+    """(f, part) for each different fingerprint of docs (fp): part is the least fingerprint that a chain of links reaches."""
+    nodes = materialize(docs.select("fp").distinct(), "nodes")
+    parts = connected_components(materialize(links(nodes, radius, chunk), "links"), "fp_a", "fp_b").select("node", "component")
+    return materialize(nodes.join(parts, nodes.fp == parts.node, "left").select(F.col("fp").alias("f"), F.coalesce("component", "fp").alias("part")), "groups")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, fp, component_id) for every row of df.
 
     component_id is the smallest doc_id that a chain of links reaches, the row's own included. Equal
-    fingerprints are one node, named by its smallest doc_id, so a group of copies of any size is one
-    row of the comparison. Null and wordless texts have fingerprint 0 and are linked like any other;
-    a row with a null id gets its group's component but never names one (a group of nulls: null).
-    An empty df gives an empty result.
+    fingerprints are one node, so a group of copies of any size is one row of the comparison. Rows
+    that share an id but not a text are documents of their own. Null and wordless texts have
+    fingerprint 0 and are linked like any other; a row with a null id gets its group's component but
+    never names one (a group of nulls: null). An empty df gives an empty result.
     """
     docs = materialize(fingerprints(df, id_col, text_col), "fingerprints")
-    nodes = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    name = lambda n: nodes.select(F.col("fp").alias(f"fp_{n}"), F.col("node").alias(n))
-    edges = materialize(links(nodes.select("fp"), radius, tile), "links").join(name("a"), "fp_a").join(name("b"), "fp_b")
-    parts = connected_components(edges).select(F.col("node").alias("n"), "component")
-    named = nodes.join(parts, nodes.node == parts.n, "left").select(F.col("fp").alias("f"), F.coalesce("component", "node").alias("component_id"))
-    named = materialize(named, "components")
+    parts = groups(docs, radius, chunk)
+    least = docs.groupBy("fp").agg(F.min("doc_id").alias("id")).join(parts, F.col("fp") == F.col("f")).groupBy("part").agg(F.min("id").alias("component_id"))
+    named = materialize(parts.join(least, "part").select("f", "component_id"), "components")
     return docs.join(named, docs.fp == named.f, "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(df: DataFrame) -> DataFrame:
-    """The whole rows of df but for near duplicates: of each group the row with the smallest doc_id.
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The whole rows of df but for near duplicates: of each group the one with the smallest id.
 
-    Of rows that repeat that id one stays. Rows without an id can't name a group, and all stay.
+    Where several rows of a group have that id, or none has an id, a hash of the whole row decides; of
+    rows that are equal throughout one stays. Rows of different groups never replace one another,
+    whatever their ids.
     """
-    kept = near_duplicates(df).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = df.where(F.col("doc_id").isNotNull())
-    return named.join(kept, named.doc_id == kept._kept, "left_semi").dropDuplicates(["doc_id"]).unionByName(df.where(F.col("doc_id").isNull()))
+    whole = [x for c in df.columns for x in (df[c], df[c].isNull())]
+    keys = {"k1": F.xxhash64(*whole), "k2": F.xxhash64(F.lit(1), *whole)}
+    docs = materialize(fingerprints(df, id_col, text_col, carry=keys), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
+    first = docs.join(groups(docs), F.col("fp") == F.col("f")).groupBy("part").agg(F.min(order).alias("first"))
+    kept = materialize(first.select(F.col("first.k1").alias("kept1"), F.col("first.k2").alias("kept2")).distinct(), "kept")
+    rows = df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), *(c.alias(name) for name, c in keys.items()))
+    rows = rows.join(kept, (F.col("k1") == F.col("kept1")) & (F.col("k2") == F.col("kept2")), "left_semi")
+    return rows.dropDuplicates(["k1", "k2"]).select("row.*")

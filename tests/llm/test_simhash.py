@@ -43,8 +43,8 @@ def test_rows_match_all_pairs(edges, edge_rows, nothing):
         if r[0] is not None:
             g = groups[fps[r[1]]]
             least[g] = min(r[0], least.get(g, r[0]))
-    for tile in (8192, 2):
-        got = simhash.near_duplicates(edges, tile=tile).collect()
+    for chunk in (8192, 2):
+        got = simhash.near_duplicates(edges, chunk=chunk).collect()
         want = [(r[0], fps[r[1]], least.get(groups[fps[r[1]]])) for r in edge_rows]
         assert sorted(map(str, [(r.doc_id, r.fp % 2**64, r.component_id) for r in got])) == sorted(map(str, want))
     assert simhash.near_duplicates(nothing).count() == 0
@@ -63,8 +63,8 @@ def test_tiles_lose_no_link(spark):
     signed = np.array(sorted(fps), np.uint64).view(np.int64).tolist()
     df = spark.createDataFrame([(x,) for x in signed], "fp bigint")
     want = components(fps, 4)
-    for tile in (10_000, 7):
-        edges = simhash.links(df, 4, tile).select((F.col("fp_a")).alias("a"), F.col("fp_b").alias("b")).collect()
+    for chunk, blocks in ((10_000, None), (7, 5), (10_000, 6), (20, 8)):
+        edges = simhash.links(df, 4, chunk, blocks).select((F.col("fp_a")).alias("a"), F.col("fp_b").alias("b")).collect()
         root = {f: f for f in fps}
         for e in edges:
             a, b = e.a % 2**64, e.b % 2**64
@@ -80,8 +80,43 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 160)}, 300: 300, 301: 300}
 
 
-def test_keep_one(edges, edge_rows):
+def test_tile_pairs_beyond_the_radius_are_skipped():
+    r = random.Random(7)
+    fps = np.array(sorted({r.getrandbits(64) for _ in range(700)} | {(1 << k) - 1 for k in range(1, 64)}), np.uint64)
+    bits = np.sort(np.bitwise_count(fps)).astype(int)
+    pairs, skipped = simhash.tile_pairs(bits, bits, 4, True, 16)
+    tiles = -(-fps.size // 16)
+    assert skipped > tiles and len(pairs) + skipped == tiles * (tiles + 1) // 2
+    found = {tuple(sorted(x)) for i, j in simhash.linked(fps, fps, 4, True, 16) for x in zip(i.tolist(), j.tolist()) if x[0] != x[1]}
+    assert found == {(i, j) for i, j in itertools.combinations(range(fps.size), 2) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 4}
+    cross = {x for i, j in simhash.linked(fps[:200], fps[200:], 4, False, 16) for x in zip(i.tolist(), j.tolist())}
+    assert cross == {(i, j - 200) for i, j in found if i < 200 <= j}
+
+
+def test_blocks_follow_the_number_of_fingerprints():
+    assert [simhash.block_count(n, 4) for n in (0, 50_000, 100_000_000, 10**10, 10**12)] == [5, 5, 6, 7, 8]
+    for blocks in (5, 6, 7, 8):
+        masks = simhash.block_masks(blocks, 4)
+        for gone in itertools.combinations(range(0, 64, 7), 4):  # any four bits leave one choice untouched
+            assert any(not any(m >> g & 1 for g in gone) for m in masks)
+
+
+def test_keep_one(edges, edge_rows, spark):
     kept = simhash.keep_one(edges)
     assert kept.columns == edges.columns
-    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(edges).collect()}
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({k for k, c in groups.items() if k is not None and k == c})
+    fps = {r[1]: plain_fingerprint(r[1]) for r in edge_rows}
+    groups, want = components(set(fps.values()), 4), {}
+    for r in edge_rows:
+        g = groups[fps[r[1]]]
+        want[g] = min(want.get(g, r), r, key=lambda x: (x[0] is None, x[0]))
+    assert sorted(map(str, (tuple(r)[:2] for r in kept.collect()))) == sorted(str(r[:2]) for r in want.values())
+
+
+def test_keep_one_of_rows_that_share_an_id(spark):
+    a, b, c = ("alpha beta gamma delta " * 9, "one two three four five " * 9, "red green blue white black " * 9)
+    rows = [(1, a, "x"), (1, b, "x"), (2, c, "x"), (2, c, "x"), (3, a, "x"), (None, b, "x"), (None, "some words of no other text " * 4, None), (None, "some words of no other text " * 4, "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, k1 string")
+    got = [(r.doc_id, r.text) for r in simhash.keep_one(df).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, a), (1, b), (2, c), (None, rows[6][1])]))
+    ids = {(r.doc_id, r.fp): r.component_id for r in simhash.near_duplicates(df).collect()}
+    assert sorted(str(x) for x in ids.values()) == sorted(map(str, [1, 1, 2, 1, 1, None]))
