@@ -101,6 +101,8 @@ def test_line_dedup_is_maximal_runs(edges, edge_rows, nothing):
             n, cut, kept = want[r[0], r[1] or ""]
             expected.append((r[0], None if r[1] is None else kept, n, cut))
         assert got.columns == [*edges.columns, "n_lines", "n_deleted"]
+        others = [c for c in edges.columns if c != "text"]  # no column of the input is changed, whatever its name
+        assert sorted(map(str, got.select(others).collect())) == sorted(map(str, edges.select(others).collect()))
         assert sorted(map(str, ((r.doc_id, r.text, r.n_lines, r.n_deleted) for r in got.collect()))) == sorted(map(str, expected))
     assert lines.dedup_lines(nothing).count() == 0
 
@@ -116,6 +118,33 @@ def test_line_dedup_of_short_lines(spark):
         assert {r.doc_id: (r.n_lines, r.n_deleted, r.text) for r in lines.dedup_lines(df, min_words=least).collect()} == {k: want[k, t] for k, t in rows}
 
 
+def test_own_counts_stay_or_give_way(spark):
+    df = spark.createDataFrame([(1, "a b c\nd", 77, "own"), (None, None, None, None)], "doc_id bigint, text string, n_lines int, h1 string")
+    assert sorted(map(str, map(tuple, lines.dedup_lines(df, counts=False).collect()))) == sorted(map(str, map(tuple, df.collect())))
+    got = lines.dedup_lines(df)
+    assert got.columns == ["doc_id", "text", "h1", "n_lines", "n_deleted"] and {(r.doc_id, r.n_lines) for r in got.collect()} == {(1, 2), (None, 0)}
+
+
+def test_a_document_of_many_lines(spark):
+    lined = "\n".join(f"line number {k % 20000} of a text with enough words in it" for k in range(24000))
+    df = spark.createDataFrame([(1, lined), (2, "x\n" * 3000), (3, "\n".join(lined.split("\n")[100:20100]))], "doc_id bigint, text string")
+    assert {r.doc_id: (r.n_lines, r.n_deleted) for r in lines.dedup_lines(df).collect()} == {1: (24000, 4000), 2: (3000, 2999), 3: (20000, 20000)}
+    sequences = lines.line_sequences(df).select("doc", "h1", "h2", F.posexplode("lines").alias("q", "x")).select("doc", "h1", "h2", "q", "x.a", "x.b")
+    levels = lines.suffix_ranks(sequences)
+    assert [step for step, _ in levels] == [2**k for k in range(15)]  # the longest repeat has 20000 lines, a prefix of 16384
+    order = {(r.doc, r.q): r["rank"] for r in levels[5][1].collect()}
+    texts = {(r.doc, r.q): r for r in sequences.collect()}
+    some = sorted(order, key=lambda x: order[x])[::97]
+    prefix = lambda x: [(texts[x[0], x[1] + k].a, texts[x[0], x[1] + k].b) for k in range(32)]
+    assert all((prefix(x) == prefix(y)) == (order[x] == order[y]) for x, y in zip(some, some[1:]))
+
+
+def test_runs_are_maximal(spark):
+    rows = [(1, 0, 0, 3, 4), (1, 0, 0, 5, 2), (1, 0, 0, 9, 1), (1, 0, 0, 0, 3), (2, 0, 0, 7, 2), (2, 0, 0, 7, 5)]
+    got = lines.maximal_runs(spark.createDataFrame(rows, "doc bigint, h1 bigint, h2 bigint, q int, len int"))
+    assert sorted((r.doc, r["first"], r.end) for r in got.collect()) == [(1, 0, 7), (1, 9, 10), (2, 7, 12)]
+
+
 def test_order_ranks_keep_order(spark):
     df = spark.range(500).select((F.xxhash64("id") % 1000).alias("a"), F.col("id").alias("b"))
     rows = lines.order_ranks(df, "a", "b").orderBy("a", "b").collect()
