@@ -74,10 +74,14 @@ FROM p LEFT JOIN f ON p.d = f.d AND p.n >= 100
 """
 
 def _op1() -> str:
+    whole = f"floor({{}} * {rules.BINS})::BIGINT"
+    shift = f"greatest(length(bin({whole})) - {rules.BINS.bit_length()}, 0)"
+    binned = f"((({whole}) >> {shift}) << {shift}) / {rules.BINS}::DOUBLE"
     fences = []
     for m, (least, low, high) in rules.MEASURES.items():
-        spread = f"greatest(quantile_disc({m}, 0.75) - quantile_disc({m}, 0.25), {least}::DOUBLE) * {rules.FENCE}::DOUBLE"
-        fences.append(f"{f'quantile_disc({m}, 0.25) - {spread}' if low else 'NULL::DOUBLE'} AS {m}_low, {f'quantile_disc({m}, 0.75) + {spread}' if high else 'NULL::DOUBLE'} AS {m}_high")
+        one, three = (f"quantile_disc({binned.replace('{}', m)}, {p})" for p in (0.25, 0.75))
+        spread = f"greatest({three} - {one}, {least}::DOUBLE) * {rules.FENCE}::DOUBLE"
+        fences.append(f"{f'{one} - {spread}' if low else 'NULL::DOUBLE'} AS {m}_low, {f'{three} + {spread}' if high else 'NULL::DOUBLE'} AS {m}_high")
     fence = ", ".join(fences)
     pick = lambda c: f"CASE WHEN s.n >= {rules.LEAST_ROWS} THEN s.{c} WHEN g.n >= {rules.LEAST_ROWS} THEN g.{c} ELSE a.{c} END"
     inside = " AND ".join(f"coalesce(m.{m} >= {pick(f'{m}_low')}, true) AND coalesce(m.{m} <= {pick(f'{m}_high')}, true)" for m in rules.MEASURES)

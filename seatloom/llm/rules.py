@@ -1,13 +1,18 @@
 """Operator 1, quality rules: thresholds from mergeable quantile sketches per language and source.
 
-Native: DataFrame functions only. Measures are computed within each row. KLL sketches of them are
-built per language and source, merged to sketches per language and over all, and read as quartiles;
-a document is then joined with the fences of its group and kept if it lies inside them.
+Native: DataFrame functions only. Measures are computed within each row. Quantile sketches of them
+are built per language and source, merged to sketches per language and over all, and read as
+quartiles; a document is then joined with the fences of its group and kept if it lies inside them.
+
+A sketch counts values in bins whose width follows the value, BINS to a power of two. Counts add, so
+merging is exact and independent of the order of rows and tasks: each run gives the same fences. A
+quantile has no error in rank and comes as its bin's lower edge, at most 1 / BINS below the true
+value in relative terms (absolute ones below 1).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, materialize
@@ -16,8 +21,8 @@ from .common import column, materialize
 SPACES = " \t\n\x0b\f\r"
 WINDOW = 8
 LEAST_WORDS, MOST_REPEATED = 20, 30
-#: Items that a KLL sketch keeps: exact below it, about 0.1 % off in rank above.
-SKETCH_K = 4096
+#: Bins of a sketch in each power of two, a power of two itself.
+BINS = 256
 #: Rows below which a group takes the fences of its language, and a language those of all rows.
 LEAST_ROWS = 30
 #: A fence lies this many spreads beyond a quartile; the spread is the quartiles' distance.
@@ -88,43 +93,60 @@ def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     )
 
 
+def binned(x: Column | str) -> Column:
+    """The lower edge of a value's bin. Values are 0 or more."""
+    whole = F.floor((F.col(x) if isinstance(x, str) else x) * BINS).cast("bigint")
+    shift = F.greatest(F.length(F.bin(whole)) - (BINS.bit_length()), F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", whole, shift), shift) / float(BINS)
+
+
 def sketches(rows: DataFrame, *keys: str) -> DataFrame:
-    """A KLL sketch of each measure for each group of keys, built map-side and merged."""
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(m, SKETCH_K).alias(m) for m in MEASURES))
+    """(keys, measure, bin, n): a sketch of each measure for each group of keys, as its bins' counts, summed map-side first."""
+    each = rows.select(*keys, F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), binned(m).alias("bin")) for m in MEASURES))).alias("x"))
+    return each.groupBy(*keys, "x.measure", "x.bin").agg(F.count("*").alias("n"))
 
 
 def merge_sketches(groups: DataFrame, *keys: str) -> DataFrame:
     """Sketches of coarser groups from those of finer ones, without going back to the rows."""
-    return groups.groupBy(*keys).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(m, SKETCH_K).alias(m) for m in MEASURES))
+    return groups.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
+
+
+def quartiles(groups: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n, <measure>_1, <measure>_3): rows and the first and third quartile of each measure, the least value with that share of rows at or below it."""
+    own = Window.partitionBy(*keys, "measure")
+    ranked = groups.withColumns({"upto": F.sum("n").over(own.orderBy("bin")), "rows": F.sum("n").over(own)})
+    at = lambda m, p: F.min(F.when((F.col("measure") == m) & (F.col("upto") >= F.ceil(F.col("rows") * p)), F.col("bin")))
+    ends = [at(m, p).alias(f"{m}_{name}") for m in MEASURES for p, name in ((0.25, 1), (0.75, 3))]
+    return ranked.groupBy(*keys).agg(F.max("rows").alias("n"), *ends)
 
 
 def _fences(groups: DataFrame, *keys: str) -> DataFrame:
     """(keys, n, fences): for each measure the lower and upper fence, null where it has none."""
-    q = lambda m, p: F.kll_sketch_get_quantile_double(m, F.lit(p).cast("double"))
     ends = []
     for m, (least, low, high) in MEASURES.items():
-        spread = F.greatest(q(m, 0.75) - q(m, 0.25), F.lit(least)) * FENCE
+        one, three = F.col(f"{m}_1"), F.col(f"{m}_3")
+        spread = F.greatest(three - one, F.lit(least)) * FENCE
         none = F.lit(None).cast("double")
-        ends += [(q(m, 0.25) - spread if low else none).alias(f"{m}_low"), (q(m, 0.75) + spread if high else none).alias(f"{m}_high")]
-    return groups.select(*keys, "n", F.struct(*ends).alias("fences"))
+        ends += [(one - spread if low else none).alias(f"{m}_low"), (three + spread if high else none).alias(f"{m}_high")]
+    return quartiles(groups, *keys).select(*keys, "n", F.struct(*ends).alias("fences"))
 
 
-def apply_rules(rows: DataFrame) -> DataFrame:
+def apply_rules(rows: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
     """Add kept to measures().
 
     Fences come from the rows that pass the base rules. The group of a language and source is used
-    if it has LEAST_ROWS such rows, else its language, else all rows; nulls are a language or source
+    if it has least_rows such rows, else its language, else all rows; nulls are a language or source
     of their own. Where no row passes the base rules there are no fences, and nothing is kept.
     """
     keys = ["lang", "source"]
     named = rows.withColumns({f"{k}_key": F.concat(F.when(F.col(k).isNull(), "-").otherwise("+"), F.coalesce(k, F.lit(""))) for k in keys})
     fine = materialize(sketches(named.where("not base_failed"), "lang_key", "source_key"), "sketches")
-    coarse = merge_sketches(fine, "lang_key")
-    overall = _fences(merge_sketches(coarse).where("n > 0")).first()  # one row: the driver needs the fences of all rows as constants
-    ends = overall.fences.asDict() if overall and overall.fences else {}
+    coarse = materialize(merge_sketches(fine, "lang_key"), "sketches")
+    overall = _fences(merge_sketches(coarse)).first()  # one row: the driver needs the fences of all rows as constants
+    ends = overall.fences.asDict() if overall and overall.n else {}
     last = F.struct(*(F.lit(ends.get(f"{m}_{side}")).cast("double").alias(f"{m}_{side}") for m in MEASURES for side in ("low", "high")))
-    at_source = _fences(fine, "lang_key", "source_key").select(F.col("lang_key").alias("l"), "source_key", F.when(F.col("n") >= LEAST_ROWS, F.col("fences")).alias("f1"))
-    at_lang = _fences(coarse, "lang_key").select(F.col("lang_key").alias("l"), F.when(F.col("n") >= LEAST_ROWS, F.col("fences")).alias("f2"))
+    at_source = _fences(fine, "lang_key", "source_key").select(F.col("lang_key").alias("l"), "source_key", F.when(F.col("n") >= least_rows, F.col("fences")).alias("f1"))
+    at_lang = _fences(coarse, "lang_key").select(F.col("lang_key").alias("l"), F.when(F.col("n") >= least_rows, F.col("fences")).alias("f2"))
     # One fence for each language and source that has rows: the fallbacks meet there, before the documents do.
     fences = at_source.join(at_lang, "l", "left")
     fences = materialize(fences.select(F.col("l").alias("lang_of"), F.col("source_key").alias("source_of"), F.coalesce("f1", "f2", last).alias("fence")), "fences")
@@ -135,11 +157,15 @@ def apply_rules(rows: DataFrame) -> DataFrame:
     return joined.withColumn("kept", ~F.col("base_failed") & inside).select(*rows.columns, "kept")
 
 
-def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """measures() and kept for every row of df. Texts are read once; their measures are written to the shared folder."""
-    return apply_rules(materialize(measures(df, id_col, text_col, lang_col, source_col), "measures"))
+def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_rows: int = LEAST_ROWS) -> DataFrame:
+    """measures() and kept for every row of df. Texts are read once; their measures are written to the shared folder.
+
+    A group of fewer than least_rows rows that pass the base rules takes the fences of its language,
+    and a language of fewer those of all rows. A null or empty text has no words and isn't kept.
+    """
+    return apply_rules(materialize(measures(df, id_col, text_col, lang_col, source_col), "measures"), least_rows)
 
 
-def keep_passing(df: DataFrame) -> DataFrame:
+def keep_passing(df: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
     """The whole rows of df that quality_rules() keeps. They travel with their measures, so texts are measured once."""
-    return apply_rules(materialize(measures(df, carry=True), "measures")).where("kept").select("row.*")
+    return apply_rules(materialize(measures(df, carry=True), "measures"), least_rows).where("kept").select("row.*")

@@ -51,10 +51,22 @@ def test_fences_adapt_to_the_group(spark):
 
 
 def test_sketches_merge(spark):
-    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("lang_key"), (F.col("id") % 7).cast("string").alias("source_key"), *(F.col("id").cast("double").alias(m) for m in rules.MEASURES))
-    merged = rules.merge_sketches(rules.sketches(rows, "lang_key", "source_key"), "lang_key")
-    middle = merged.select(F.kll_sketch_get_quantile_double("chars_per_word", F.lit(0.5)).alias("q"), "n").first()
-    assert (middle.q, middle.n) == (statistics.median_low(range(3000)), 3000)
+    """100,000 rows a group: quartiles against exact ones within a bin's width, and the same in any order."""
+    values = {m: (F.pmod(F.xxhash64("id", F.lit(m)), F.lit(1_000_003)) / 1_000_003.0) ** 3 * scale for m, scale in zip(rules.MEASURES, (1, 50, 1, 0.2, 3000, 8))}
+    rows = spark.range(200_000).select(F.lit("x").alias("lang_key"), (F.col("id") % 2).cast("string").alias("source_key"), *(v.alias(m) for m, v in values.items()))
+    def found(rows):
+        fine = rules.sketches(rows, "lang_key", "source_key")
+        return [rules.quartiles(x, *keys).orderBy(*keys).collect() for x, keys in ((fine, ["lang_key", "source_key"]), (rules.merge_sketches(fine, "lang_key"), ["lang_key"]))]
+
+    fine, merged = found(rows)
+    assert [r.n for r in fine] == [100_000] * 2 and merged[0].n == 200_000
+    assert (fine, merged) == tuple(found(rows.repartition(13).sample(1.0)))
+    table = rows.toPandas()
+    for r, part in (*((r, table[table.source_key == r.source_key]) for r in fine), (merged[0], table)):
+        for m in rules.MEASURES:
+            for name, p in ((1, 0.25), (3, 0.75)):
+                exact = sorted(part[m])[-(-len(part) * int(100 * p) // 100) - 1]
+                assert 0 <= exact - r[f"{m}_{name}"] <= max(1.0, exact) / rules.BINS
 
 
 def test_keep_passing(edges):
