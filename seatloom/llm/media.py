@@ -2,6 +2,8 @@
 
 Images are decoded to numpy arrays, resized by area with integral images, written as NPY tiles,
 and given a difference hash. Corrupt, truncated or null images give null features instead of an error.
+Brightness and integral images are computed a band of rows at a time, so an image needs little more
+memory than its samples.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from .common import column, map_arrow
 ROW_BYTES = 192
 #: Luma weights in thousandths for red, green and blue.
 LUMA = np.array([299, 587, 114], np.int64)
+#: Pixels of a band of rows, about.
+BAND_PIXELS = 1 << 18
 
 _HEADER = re.compile(rb"P([1-6])(?:\s|#[^\n]*\n)+")
 _NUMBER = re.compile(rb"(?:\s|#[^\n]*\n)*(\d+)")
@@ -54,10 +58,15 @@ def _decode_netpbm(data: bytes) -> np.ndarray:
         raise ValueError("maximum sample value out of range")
     channels = 3 if kind in (3, 6) else 1
     count = width * height * channels
+    if count > 8 * len(data):
+        raise ValueError("too few samples")
     if kind == 1:
         flat = np.frombuffer(re.sub(rb"#[^\n]*|\s", b"", data[at:])[:count], np.uint8) - 48
     elif kind in (2, 3):
-        flat = np.array(re.sub(rb"#[^\n]*", b"", data[at:]).split()[:count], np.int64)
+        words = re.sub(rb"#[^\n]*", b"", data[at:]).split()[:count]
+        if any(len(x) > 9 for x in words):
+            raise ValueError("sample out of range")
+        flat = np.array(words, np.int64)
     elif kind == 4:
         stride = -(-width // 8)
         rows = np.frombuffer(data, np.uint8, stride * height, at + 1).reshape(height, stride)
@@ -66,6 +75,8 @@ def _decode_netpbm(data: bytes) -> np.ndarray:
         flat = np.frombuffer(data, ">u2" if most > 255 else np.uint8, count, at + 1)
     if flat.size != count:
         raise ValueError("too few samples")
+    if count and (int(flat.max()) > most or int(flat.min()) < 0):
+        raise ValueError("sample out of range")
     if kind in (1, 4):
         flat = (1 - flat) * np.uint8(255)  # in bitmaps 1 is black
     elif most != 255:
@@ -78,19 +89,25 @@ def _decode_bmp(data: bytes) -> np.ndarray:
     if packing not in (0, 3) or depth not in (8, 24, 32) or width <= 0 or height == 0:
         raise ValueError("unsupported BMP")
     rows, stride = abs(height), -(-width * depth // 32) * 4
+    if rows * stride > len(data):
+        raise ValueError("too few samples")
     flat = np.frombuffer(data, np.uint8, stride * rows, start).reshape(rows, stride)
     flat = flat if height < 0 else flat[::-1]
     if depth == 8:
-        table = np.frombuffer(data, np.uint8, (start - 14 - head) // 4 * 4, 14 + head).reshape(-1, 4)
+        table = np.frombuffer(data, np.uint8, max(0, start - 14 - head) // 4 * 4, 14 + head).reshape(-1, 4)
         return table[flat[:, :width]][:, :, 2::-1]
     return flat[:, : width * depth // 8].reshape(rows, width, depth // 8)[:, :, 2::-1]
 
 
 def decode_image(data: bytes) -> np.ndarray:
-    """Netpbm P1 to P6 or an uncompressed 8, 24 or 32-bit BMP as uint8 (height, width[, 3]), RGB. ValueError if it isn't one."""
+    """Netpbm P1 to P6 or an uncompressed 8, 24 or 32-bit BMP as uint8 (height, width[, 3]), RGB.
+
+    ValueError if it isn't one: for an unknown or broken header, sizes that the data don't fill,
+    whatever they are, and samples above the header's maximum.
+    """
     try:
         pixels = _decode_bmp(data) if data[:2] == b"BM" else _decode_netpbm(data)
-    except (struct.error, TypeError, IndexError) as e:
+    except (struct.error, TypeError, IndexError, OverflowError) as e:
         raise ValueError("not a whole Netpbm or BMP image") from e
     if not pixels.size:
         raise ValueError("an image without pixels")
@@ -101,25 +118,40 @@ def grey(pixels: np.ndarray) -> np.ndarray:
     return pixels.astype(np.int64) if pixels.ndim == 2 else pixels @ LUMA // 1000
 
 
-def area_resize(plane: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over each target cell's area. The integral image is read between its grid points, so cells may cut pixels."""
-    total = np.zeros((plane.shape[0] + 1, plane.shape[1] + 1))
-    np.cumsum(plane, axis=0, out=total[1:, 1:])
-    np.cumsum(total[1:, 1:], axis=1, out=total[1:, 1:])
-
-    def cut(table: np.ndarray, n: int) -> np.ndarray:
-        edges = np.arange(n + 1) * (table.shape[0] - 1)
-        low = np.minimum(edges // n, table.shape[0] - 2)
-        part = (edges - low * n) / n
-        return table[low] * (1 - part)[:, None] + table[low + 1] * part[:, None]
+def _cuts(size: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where size units are cut in parts equal ones: the unit that each edge falls in, and how far in it."""
+    edges = np.arange(parts + 1) * size
+    low = np.minimum(edges // parts, size - 1)
+    return low, (edges - low * parts) / parts
 
-    sums = np.diff(np.diff(cut(cut(total, height).T, width).T, axis=0), axis=1)
-    return sums * (height * width / plane.size)
 
+def area_resize(pixels: np.ndarray, height: int, width: int, band: int = BAND_PIXELS) -> np.ndarray:
+    """Mean brightness over each target cell's area.
 
-def difference_hash(plane: np.ndarray) -> str:
-    """64 bits as 16 hex digits: in a 8 by 9 reduction, is each cell darker than its right neighbour?"""
-    small = np.round(area_resize(plane, 8, 9), 6)
+    The integral image is read between its grid points, so cells may cut pixels. It is built a band of
+    rows at a time, and only its rows next to a cell's edge are held.
+    """
+    rows, columns = pixels.shape[:2]
+    low, part = _cuts(rows, height)
+    left, right = np.zeros((height + 1, columns + 1), np.int64), np.zeros((height + 1, columns + 1), np.int64)
+    above, step = np.zeros(columns + 1, np.int64), max(1, band // columns)
+    for at in range(0, rows, step):
+        total = np.zeros((min(step, rows - at) + 1, columns + 1), np.int64)
+        total[0] = above
+        total[1:, 1:] = np.cumsum(grey(pixels[at : at + step]), axis=1)
+        np.cumsum(total, axis=0, out=total)
+        inside = np.nonzero((low >= at) & (low < at + step))[0]
+        left[inside], right[inside] = total[low[inside] - at], total[low[inside] - at + 1]
+        above = total[-1].copy()
+    table = left * (1 - part)[:, None] + right * part[:, None]
+    low, part = _cuts(columns, width)
+    table = table[:, low] * (1 - part) + table[:, low + 1] * part
+    return np.diff(np.diff(table, axis=0), axis=1) * (height * width / (rows * columns))
+
+
+def difference_hash(pixels: np.ndarray) -> str:
+    """64 bits as 16 hex digits: in an 8 by 9 reduction, is each cell darker than its right neighbour?"""
+    small = np.round(area_resize(pixels, 8, 9), 6)
     return np.packbits(small[:, :-1] < small[:, 1:]).tobytes().hex()
 
 
@@ -129,13 +161,14 @@ def npy_bytes(array: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def text_images(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", form: str = "ppm") -> DataFrame:
+def text_images(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", form: str | None = None) -> DataFrame:
     """Store texts as images: (doc_id, n_bytes, media).
 
     The payload is the text in UTF-8 (null: empty), followed by spaces up to a positive multiple of
-    192 bytes, taken as rows of 64 RGB pixels. form: ppm or bmp.
+    192 bytes, taken as rows of 64 RGB pixels. form: ppm or bmp; None makes an odd number of rows a
+    ppm and an even one a bmp, so that equal texts are stored alike.
     """
-    encode = {"ppm": encode_netpbm, "bmp": encode_bmp}[form]
+    encoders = {"ppm": encode_netpbm, "bmp": encode_bmp}
 
     def make():
         def run(part: pa.RecordBatch) -> dict:
@@ -144,7 +177,9 @@ def text_images(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
                 data = (text or "").encode()
                 sizes.append(len(data))
                 data += b" " * ((-len(data)) % ROW_BYTES if data else ROW_BYTES)
-                media.append(encode(np.frombuffer(data, np.uint8).reshape(-1, ROW_BYTES // 3, 3)))
+                rows = len(data) // ROW_BYTES
+                encode = encoders[form or ("ppm" if rows % 2 else "bmp")]
+                media.append(encode(np.frombuffer(data, np.uint8).reshape(rows, ROW_BYTES // 3, 3)))
             return {"doc_id": part.column(0), "n_bytes": sizes, "media": media}
 
         return run
@@ -170,12 +205,11 @@ def media_features(df: DataFrame, media_col: str = "media", id_col: str = "doc_i
             pixels = decode_image(data or b"")
         except ValueError:
             return (None,) * (10 if digests else 5)
-        plane = grey(pixels)
-        small = np.clip(np.round(area_resize(plane, *tile)), 0, 255).astype(np.uint8)
-        row = (*pixels.shape[:2], pixels.shape[2] if pixels.ndim == 3 else 1, npy_bytes(small), difference_hash(plane))
+        small = np.clip(np.round(area_resize(pixels, *tile)), 0, 255).astype(np.uint8)
+        row = (*pixels.shape[:2], pixels.shape[2] if pixels.ndim == 3 else 1, npy_bytes(small), difference_hash(pixels))
         if digests:
-            payload = np.ascontiguousarray(pixels).tobytes()
-            row += (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest())
+            payload = np.ascontiguousarray(pixels).reshape(-1)
+            row += (payload.size, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest())
         return row
 
     def make():

@@ -31,7 +31,7 @@ def op3_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = media.media_features(media.text_images(documents(spark, sf_dir)), digests=True, size_col="n_bytes")
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.col("dhash").alias("feature"))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.col("dhash").alias("feature"), "tile_npy")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
