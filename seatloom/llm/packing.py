@@ -211,8 +211,9 @@ def pack(pieces: DataFrame, most: int = SEQUENCE_TOKENS, grain: int = GRAIN) ->
     """Give each piece a place: its columns, sequence_id and offset.
 
     pieces: token_pieces(), or any rows with doc_id, start and length from 1 to most. Sequences are
-    filled from offset 0 without gaps and never beyond most. Equal rows are separate pieces. An empty
-    input gives an empty result.
+    filled from offset 0 without gaps and never beyond most. Equal rows are separate pieces. Places
+    follow from the rows alone, not from the order in which they come, so a task that runs again gives
+    the same ones. An empty input gives an empty result.
     """
     spark = pieces.sparkSession
     pieces = pieces.withColumn("bin", F.ceil(F.col("length") / grain).cast("int"))
@@ -228,18 +229,20 @@ def pack(pieces: DataFrame, most: int = SEQUENCE_TOKENS, grain: int = GRAIN) ->
     plan = spark.createDataFrame(slots, "bin int, low long, high long, each long, base long")
     # Ranks within a bin: a hash deals its pieces to parts of bounded size, and the parts' counts give where each begins.
     deal = spark.createDataFrame([(size, -(-n // RANKED_ROWS)) for size, n in zip(sizes.tolist(), demand.tolist(), strict=True)], "bin int, parts long")
-    dealt = pieces.join(F.broadcast(deal), "bin").withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.col("parts"))).drop("parts")
+    own = [c for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens") if c in pieces.columns]  # rows equal in these are interchangeable
+    dealt = pieces.join(F.broadcast(deal), "bin").withColumn("part", F.pmod(F.xxhash64(*own), F.col("parts"))).drop("parts")
     begins = dealt.groupBy("bin", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("bin").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    begins = begins.select("bin", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
-    within = Window.partitionBy("bin", "part").orderBy("doc_id", "start")
+    begins = begins.withColumn("begin", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    # Each part meets the slots that its range of ranks overlaps, mostly one or two. The plan's size depends on most and grain alone.
+    begins = begins.join(F.broadcast(plan), "bin").where("low < begin + n and high > begin").groupBy("bin", "part", "begin").agg(F.collect_list(F.struct("low", "high", "each", "base")).alias("slots"))
+    within = Window.partitionBy("bin", "part").orderBy(*own)
     ranked = dealt.withColumn("rank", F.row_number().over(within) - 1).join(begins, ["bin", "part"]).withColumn("rank", F.col("rank") + F.col("begin"))
-    # This table's and the plan's size depend on most and grain alone.
-    placed = ranked.join(F.broadcast(plan), "bin").where("rank >= low and rank < high")
-    placed = placed.withColumn("sequence_id", F.col("base") + F.floor((F.col("rank") - F.col("low")) / F.col("each")))
-    filled = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranked.withColumn("slot", F.expr("element_at(filter(slots, x -> rank >= x.low and rank < x.high), 1)"))
+    placed = placed.withColumn("sequence_id", F.col("slot.base") + F.floor((F.col("rank") - F.col("slot.low")) / F.col("slot.each")))
+    filled = Window.partitionBy("sequence_id").orderBy(F.desc("length"), *own, "rank").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(filled), F.lit(0)))
-    return placed.drop("bin", "part", "rank", "begin", "low", "high", "each", "base")
+    return placed.drop("bin", "part", "rank", "begin", "slots", "slot")
 
 
 def pack_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, most: int = SEQUENCE_TOKENS) -> DataFrame:

@@ -80,6 +80,16 @@ def test_every_id_is_packed_once(edges, edge_rows, nothing):
     assert packing.pack_documents(nothing, WORDS).count() == 0
 
 
+def test_ties_are_placed_alike_in_any_order(spark):
+    """Pieces of one id and start, as repeated or missing ids give them, have the same places however the rows come."""
+    r = random.Random(8)
+    rows = [(r.choice([None, 7]), 0, r.randint(1, 16), r.randint(0, 3), 5) for _ in range(2500)]
+    df = lambda x: spark.createDataFrame(x, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    first = sorted(map(str, packing.pack(df(rows), 64).collect()))
+    r.shuffle(rows)
+    assert len(first) == 2500 and sorted(map(str, packing.pack(df(rows).repartition(7), 64).collect())) == first
+
+
 def test_patterns_near_the_bound():
     rng = np.random.default_rng(4)
     for sizes, demand in ((np.arange(1, 129), rng.integers(0, 400, 128)), (np.array([50]), np.array([7])), (np.array([43, 44, 64, 128]), np.array([3, 5, 2, 1]))):
