@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from .common import column, id_remainder, map_arrow
 from .learning import held_out_column
 
-#: The bound of the sample that is learned from: expected rows of each language, and languages (the most frequent).
-PER_LANGUAGE, LANGUAGES = 600, 500
+#: The bound of the sample that is learned from: expected documents of each language, and of all together, but for one of each language.
+PER_LANGUAGE, TOTAL = 600, 6000
+#: Different n-grams of a document that are learned from at most, its most frequent ones.
+GRAMS = 4096
 HELD_OUT = (5, 0)
 BUCKET_BITS = 15
 ORDERS = (1, 2, 3)
@@ -51,19 +53,30 @@ def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class LanguageModel:
+    """Weights are kept by bucket, without zeros: those of bucket b are value[start[b]:start[b + 1]] for languages of[...]."""
+
     languages: list[str]
     idf: np.ndarray
-    weight: np.ndarray
+    start: np.ndarray
+    of: np.ndarray
+    value: np.ndarray
     bias: np.ndarray
-    temperature: float
+    temperature: float = 1.0
 
     def vector(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
         values = np.log1p(counts) * self.idf[at]
         length = np.sqrt(values @ values)
         return values / length if length else values
 
+    def logits(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        first = self.start[at]
+        sizes = self.start[at + 1] - first
+        ends = np.cumsum(sizes)
+        places = np.arange(ends[-1] if ends.size else 0) + np.repeat(first - (ends - sizes), sizes)
+        return self.bias + np.bincount(self.of[places], np.repeat(self.vector(at, counts), sizes) * self.value[places], self.bias.size)
+
     def probabilities(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        logits = (self.vector(at, counts) @ self.weight[at] + self.bias) / self.temperature
+        logits = self.logits(at, counts) / self.temperature
         p = np.exp(logits - logits.max())
         return p / p.sum()
 
@@ -75,70 +88,102 @@ class LanguageModel:
         return self.languages[best], float(p[best])
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, languages: list[str], epochs: int = 5, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.01, l2: float = 0.01, seed: int = 7) -> LanguageModel:
-    """FTRL-proximal on the softmax loss; every fifth row is kept for the temperature."""
-    size, classes = 1 << BUCKET_BITS, len(languages)
-    held = np.arange(label.size) % 5 == 4
-    train = np.nonzero(~held)[0]
-    seen = np.zeros(size)
-    for k in train:
-        seen[rows[k][0]] += 1
-    model = LanguageModel(languages, np.log((1 + train.size) / (1 + seen)) + 1, np.zeros((size, classes)), np.zeros(classes), 1.0)
-    z, n = np.zeros((size + 1, classes)), np.zeros((size + 1, classes))
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, size: int, classes: int, epochs: int, alpha: float, beta: float, l1: float, l2: float, seed: int) -> np.ndarray:
+    """Weights (size, classes) by follow-the-regularised-leader on the softmax loss, an elastic net on them. rows: feature places and values.
+
+    The state is two single-precision arrays of that shape; a step touches a row's features alone.
+    """
+    z, n = np.zeros((size, classes), np.float32), np.zeros((size, classes), np.float32)
     rng = np.random.default_rng(seed)
 
-    def weights(at: np.ndarray) -> np.ndarray:
-        zs = z[at]
-        return np.where(np.abs(zs) <= l1, 0.0, -(zs - np.sign(zs) * l1) / ((beta + np.sqrt(n[at])) / alpha + l2))
+    def weights(zs: np.ndarray, ns: np.ndarray) -> np.ndarray:
+        return np.where(np.abs(zs) <= l1, np.float32(0), -(zs - np.sign(zs) * np.float32(l1)) / ((np.float32(beta) + np.sqrt(ns)) / np.float32(alpha) + np.float32(l2)))
 
-    vectors = {k: model.vector(*rows[k]) for k in train}
-    for _ in range(epochs if classes > 1 else 0):
-        for k in rng.permutation(train):
-            at, x = np.r_[rows[k][0], size], np.r_[vectors[k], 1.0]
-            w = weights(at)
+    for _ in range(epochs):
+        for k in rng.permutation(len(rows)):
+            at, x = rows[k]
+            zs, ns = z[at], n[at]
+            w = weights(zs, ns)
             logits = x @ w
             p = np.exp(logits - logits.max())
             p /= p.sum()
             p[label[k]] -= 1
             g = x[:, None] * p
-            sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
-            z[at] += g - sigma * w
-            n[at] += g * g
-    if classes > 1:
-        model.weight, model.bias = weights(np.arange(size)), weights(np.array([size]))[0]
-        rest = np.nonzero(held)[0] if held.any() else train
-        logits = np.stack([model.vector(*rows[k]) @ model.weight[rows[k][0]] + model.bias for k in rest])
-
-        def loss(t: float) -> float:
-            scaled = logits / t
-            top = scaled.max(1, keepdims=True)
-            return float((np.log(np.exp(scaled - top).sum(1)) + top[:, 0] - scaled[np.arange(rest.size), label[rest]]).mean())
-
-        model.temperature = float(min(np.geomspace(0.05, 20, 200), key=loss))
+            more = ns + g * g
+            z[at] = zs + g - (np.sqrt(more) - np.sqrt(ns)) / np.float32(alpha) * w
+            n[at] = more
+    for at in range(0, size, 1024):  # the weights take the place of z, some features at a time
+        z[at : at + 1024] = weights(z[at : at + 1024], n[at : at + 1024])
+    return z
+
+
+def fit_temperature(logits: np.ndarray, label: np.ndarray) -> float:
+    """The temperature, of 200 between 0.05 and 20, at which the labels are likeliest."""
+
+    def loss(t: float) -> float:
+        scaled = logits / t
+        top = scaled.max(1, keepdims=True)
+        return float((np.log(np.exp(scaled - top).sum(1)) + top[:, 0] - scaled[np.arange(label.size), label]).mean())
+
+    return float(min(np.geomspace(0.05, 20, 200), key=loss))
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, languages: list[str], epochs: int = 5, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.01, l2: float = 0.01, seed: int = 7) -> LanguageModel:
+    """FTRL over buckets that occur in the sample; every fifth row is kept for the temperature."""
+    size, classes = 1 << BUCKET_BITS, len(languages)
+    held = np.arange(label.size) % 5 == 4
+    train = np.nonzero(~held)[0]
+    seen = np.bincount(np.concatenate([rows[k][0] for k in train]) if train.size else np.zeros(0, np.int64), minlength=size)
+    nothing = np.zeros(0, np.int64)
+    model = LanguageModel(languages, np.log((1 + train.size) / (1 + seen)) + 1, np.zeros(size + 1, np.int64), nothing, np.zeros(0, np.float32), np.zeros(classes))
+    if classes < 2:
+        return model
+    known = np.nonzero(seen)[0]
+    place = np.cumsum(seen > 0) - 1
+    vectors = [(np.r_[place[rows[k][0]], known.size], np.r_[model.vector(*rows[k]), 1.0].astype(np.float32)) for k in train]
+    weight = ftrl(vectors, label[train], known.size + 1, classes, epochs, alpha, beta, l1, l2, seed)
+    model.bias = weight[-1].astype(float)
+    features, model.of = np.nonzero(weight[:-1])
+    model.value = weight[features, model.of]
+    model.of = model.of.astype(np.int32)
+    model.start[1:] = np.cumsum(np.bincount(known[features], minlength=size))
+    rest = np.nonzero(held)[0] if held.any() else train
+    if rest.size:
+        model.temperature = fit_temperature(np.stack([model.logits(*rows[k]) for k in rest]), label[rest])
     return model
 
 
-def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
-    """Learn from a bounded sample of texts with a language whose crc32(doc_id) mod 5 isn't 0.
+def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, total: int = TOTAL) -> LanguageModel:
+    """Learn from a bounded sample of documents with a language whose crc32(doc_id) mod 5 isn't 0.
 
-    A row is taken if the hash of its id falls under its language's share, per_language of all its
-    rows, so rare languages are taken whole. Empty input gives a model that knows no language.
+    A document is taken if the hash of its id falls under its language's share: the smaller of
+    per_language and an equal part of total, of all its documents, so rare languages are taken whole,
+    and at least one document is expected of each. Documents are told apart by id and language; of
+    several texts the least is taken. Every language is learned, however many there are. Empty input
+    gives a model that knows no language.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (id_remainder(F.col("doc_id"), HELD_OUT[0]) != HELD_OUT[1]))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row a language, each a class of the model
     languages = sorted(row.lang for row in counts)
-    shares = spark.createDataFrame([(row.lang, min(1.0, per_language / row.n)) for row in counts], "lang string, share double")
-    sample = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("doc_id", "text", "lang")
+    each = min(per_language, max(1, total // max(1, len(languages))))
+    shares = spark.createDataFrame([(row.lang, min(1.0, each / row.n)) for row in counts], "lang string, share double")
+    sample = rows.join(shares, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("doc_id", "text", "lang")
 
     def make():
         def run(part: pa.RecordBatch) -> dict:
-            found = [ngrams(x) for x in part.column(1).to_pylist()]
-            return {"doc_id": part.column(0), "at": [a.astype(np.int32) for a, _ in found], "n": [c.astype(np.int32) for _, c in found], "lang": part.column(2)}
+            found = []
+            for x in part.column(1).to_pylist():
+                at, n = ngrams(x)
+                if at.size > GRAMS:
+                    top = np.sort(np.argsort(-n, kind="stable")[:GRAMS])
+                    at, n = at[top], n[top]
+                found.append((at.astype(np.int32), n.astype(np.int32)))
+            return {"doc_id": part.column(0), "at": [a for a, _ in found], "n": [c for _, c in found], "lang": part.column(2)}
 
         return run
 
-    table = map_arrow(sample, make, "doc_id long, at array<int>, n array<int>, lang string").toArrow().sort_by("doc_id")
+    table = map_arrow(sample, make, "doc_id long, at array<int>, n array<int>, lang string").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
     index = {x: k for k, x in enumerate(languages)}
     data = [(np.asarray(a.values), np.asarray(c.values)) for a, c in zip(table.column("at"), table.column("n"), strict=True)]
     return fit(data, np.array([index[x] for x in table.column("lang").to_pylist()], np.int64), languages)

@@ -1,7 +1,10 @@
 """Classifiers: their parts against plain versions, held-out accuracy, and edge rows."""
 
+import collections
 import itertools
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -64,6 +67,87 @@ def test_language(tables, edges, nothing):
     assert {r.lang_pred for r in language.predict(edges, language.learn(nothing)).collect()} == {"und"}
 
 
+def test_ngrams_by_definition():
+    for x in ("", "a", "Ab cd!", "12 é\n\tß日本", "İx", None):
+        plain = " " + "".join(c if c.isalpha() else " " for c in (x or "").lower()) + " "
+        while "  " in plain:
+            plain = plain.replace("  ", " ")
+        want = collections.Counter()
+        for order in (1, 2, 3):
+            for k in range(len(plain) - order + 1):
+                h = 0
+                for c in plain[k : k + order]:
+                    h = (h * 0x01000193 + ord(c)) % 2**32
+                want[(h * 2654435761 + order) % 2**32 >> 17] += 1
+        at, n = language.ngrams(x)
+        assert dict(zip(at.tolist(), n.tolist())) == want
+
+
+def test_ftrl_by_definition():
+    """Against the rule for one weight at a time, in double precision."""
+    rng = np.random.default_rng(6)
+    rows = [(np.array([0, 2, 3]), np.array([0.5, -0.2, 1.0])), (np.array([1, 3]), np.array([0.9, 1.0])), (np.array([2, 3]), np.array([-0.7, 1.0]))]
+    label, (epochs, alpha, beta, l1, l2) = [0, 2, 1], (4, 0.8, 1.0, 0.05, 0.1)
+    z, n = [[0.0] * 3 for _ in range(4)], [[0.0] * 3 for _ in range(4)]
+
+    def weight(i, c):
+        return 0.0 if abs(z[i][c]) <= l1 else -(z[i][c] - math.copysign(l1, z[i][c])) / ((beta + math.sqrt(n[i][c])) / alpha + l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(epochs):
+        for k in order.permutation(3):
+            at, x = rows[k]
+            w = [[weight(i, c) for c in range(3)] for i in at]
+            e = [math.exp(sum(v * r[c] for v, r in zip(x, w))) for c in range(3)]
+            for v, i, r in zip(x, at, w):
+                for c in range(3):
+                    g = v * (e[c] / sum(e) - (c == label[k]))
+                    sigma = (math.sqrt(n[i][c] + g * g) - math.sqrt(n[i][c])) / alpha
+                    z[i][c] += g - sigma * r[c]
+                    n[i][c] += g * g
+    got = language.ftrl([(a, x.astype(np.float32)) for a, x in rows], np.array(label), 4, 3, epochs, alpha, beta, l1, l2, 7)
+    want = [[weight(i, c) for c in range(3)] for i in range(4)]
+    assert np.allclose(got, want, atol=1e-5) and (np.array(want) == 0).tolist() == (got == 0).tolist()
+    logits, y = rng.normal(size=(500, 4)) * 3, rng.integers(0, 4, 500)
+    y[:350] = logits[:350].argmax(1)
+    t = language.fit_temperature(logits, y)
+    loss = lambda t: -np.mean([row[k] / t - np.log(np.exp(row / t).sum()) for row, k in zip(logits, y)])
+    assert loss(t) <= min(loss(t * 1.05), loss(t / 1.05))
+
+
+def test_tf_idf_and_sparse_weights():
+    rng = np.random.default_rng(8)
+    rows = [language.ngrams("".join(rng.choice(list("abcde fg"), 40))) for _ in range(50)]
+    label = rng.integers(0, 3, 50)
+    model = language.fit(rows, label, ["x", "y", "z"])
+    train = [k for k in range(50) if k % 5 != 4]
+    dense = np.zeros((1 << 15, 3))
+    for b in range(1 << 15):
+        dense[b, model.of[model.start[b] : model.start[b + 1]]] = model.value[model.start[b] : model.start[b + 1]]
+    for k in (0, 4, 17):
+        at, n = rows[k]
+        idf = [math.log((1 + len(train)) / (1 + sum(b in rows[t][0] for t in train))) + 1 for b in at]
+        v = np.array([math.log1p(c) * w for c, w in zip(n, idf)])
+        v /= np.linalg.norm(v)
+        assert np.allclose(model.vector(at, n), v) and np.allclose(model.logits(at, n), v @ dense[at] + model.bias)
+
+
+def test_many_languages(spark):
+    """No cap on languages, and a sample and model that stay small: 300 languages in a process of well under 1.5 GB."""
+    import resource
+
+    rng = random.Random(9)
+    words = {f"l{k:03}": ["".join(chr((97, 0x3B1, 0x430, 0x561, 0x5D0, 0x10D0)[k % 6] + rng.randrange(24)) for _ in range(rng.randint(2, 5))) for _ in range(12)] for k in range(300)}
+    rows = [(9 * i + 1 + j, " ".join(rng.choice(w) for _ in range(25)), lang) for i, (lang, w) in enumerate(words.items()) for j in range(8)]
+    rows += [(1, "again and again", "l000")] * 3000  # one id very often: one document
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.learn(df)
+    assert len(model.languages) == 300 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 1_500_000
+    found = language.predict(df.where("doc_id > 1"), model).collect()
+    truth = {r[0]: r[2] for r in rows}
+    assert np.mean([r.lang_pred == truth[r.doc_id] for r in found]) > 0.8
+
+
 def test_coordinate_descent_is_optimal():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(60, 5))
@@ -103,6 +187,60 @@ def test_segments_by_definition():
         assert [(a, b, round(s, 6)) for a, b, s in toxicity.segments(places, values, 0.25)] == plain_segments(scores)
 
 
+def test_significant_passages_of_clean_texts_are_as_rare_as_stated():
+    """Texts of independent tokens: the law fitted on half of them holds on the other half."""
+    rng = np.random.default_rng(5)
+    score = {"a": 1.6, "b": 2.4, "c": 3.1}
+    words, shares = np.array(["a", "b", "c", "x"]), np.array([0.03, 0.02, 0.01, 0.94])
+    model = toxicity.ToxicityModel(toxicity.Scores(score))
+    texts = [" ".join(rng.choice(words, rng.integers(5, 400), p=shares)) for _ in range(3000)]
+    scored = [(n, [s for _, _, s in found]) for n, found, _ in map(model.segments, texts[:1500])]
+    model.rate, model.scale = toxicity.fit_law(scored, np.array([1.6, 2.4, 3.1, 0.0]), shares)
+    for alpha in (0.01, 0.05, 0.2):
+        alarms = np.mean([bool(model.passages(t, alpha)) for t in texts[1500:]])
+        assert alarms <= 1.5 * alpha + 0.005
+    assert np.mean([bool(model.passages(t, 0.2)) for t in texts]) > 0.05
+    rate, scale = toxicity.fit_law([], np.array([2.0, 0.0]), np.array([0.1, 0.9]))
+    assert rate > 0 and scale > 0
+
+
+def test_sum_statistic_by_definition():
+    r = random.Random(4)
+    for _ in range(200):
+        values = [r.uniform(-3, 12) for _ in range(r.randint(0, 6))]
+        chances = []
+        for k in range(1, len(values) + 1):
+            t = sum(sorted(values)[-k:])
+            if k > 1 and t <= k * (k - 1):
+                break
+            chances.append(math.exp(-t) * (t ** (k - 1) if k > 1 else 1) * 2 ** (k - 1) / (math.factorial(k) * math.factorial(k - 1)))
+        want = -math.log(min(chances)) if chances else -25
+        assert abs(toxicity.sum_statistic(values) - math.copysign(abs(want) ** 0.5, want)) < 1e-9
+
+
+def test_units_count_contexts_of_other_folds(spark):
+    rows = [("you bad man", 1, 0), ("you bad man", 1, 0), ("so bad dog", 1, 1), ("a bad cat", 1, 2), ("you bad man", 1, 3), ("a good cat", 0, 0), ("a good cat", 0, 1), ("bad luck here", 0, 4), (None, 0, 1)]
+    df = spark.createDataFrame(rows, "text string, label int, fold int")
+    got = {(r.level, r.unit): r for r in toxicity.unit_counts(df).collect()}
+    bad = got[0, "bad"]  # contexts: you-man in folds 0 and 3, so-dog in 1, a-cat in 2; clean: start-luck in 4
+    assert (bad.toxic, bad.clean, bad.toxic_0, bad.toxic_1, bad.toxic_2, bad.toxic_3, bad.clean_4, bad.clean_0) == (3, 1, 0, 1, 1, 0, 1, 0)
+    assert got[0, None].toxic == 6 and all(level in (0, 3, 4, 5, 6) for level, _ in got)
+
+
+def test_toxic_score_by_its_parts(tables):
+    """score() against a plain walk: token scores, segments by definition, normalised sums, sigmoid."""
+    docs, labels = tables
+    model = toxicity.learn(docs, labels)
+    some = docs.where("length(text) < 160").orderBy("doc_id").limit(60)
+    for r, got in zip(some.orderBy("doc_id").collect(), toxicity.score(some, model).orderBy("doc_id").collect(), strict=True):
+        words = [w.lower() for w in re.findall(r"\w+", r.text.lower())]
+        value = lambda w: next((model.score.by_unit[u] for u in [w, *(w[:k] + "*" for k in (6, 5, 4, 3) if len(w) > k)] if u in model.score.by_unit), 0.0)
+        found = plain_segments([value(w) - toxicity.DRIFT for w in words])
+        normal = [model.rate * s - math.log(model.scale * max(1, len(words))) for _, _, s in found]
+        assert abs(got.score - 1 / (1 + math.exp(-(model.a * toxicity.sum_statistic(normal) + model.b)))) < 1e-4
+        assert [(p.first, p.last) for p in got.passages] == [(a, b) for (a, b, _), v in zip(found, normal) if v > -math.log(-math.log(0.99))]
+
+
 def test_gumbel_rate_and_sigmoid():
     values, shares = np.array([2.0, -0.5]), np.array([0.05, 0.95])
     rate = toxicity.gumbel_rate(values, shares)
