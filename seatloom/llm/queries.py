@@ -4,60 +4,71 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language, lines, media, packing, pieces, quality, rules, simhash, toxicity, warc
 from .common import documents
 
-#: Folder of the public tokenizers' vocabulary files; the same on the driver and the executors.
-TOKENIZERS = "/opt/tokenizers"
+#: Vocabulary files of the public tokenizers; the same paths on the driver and the executors.
+WORD_VOCABULARY, PIECE_MODEL = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures, base rules and adaptive fences of all documents."""
     return rules.quality_rules(documents(spark, sf_dir)).drop("lang", "source")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents; n_passages counts their significant passages."""
     docs = documents(spark, sf_dir)
     out = toxicity.score(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return out.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
 
 
 def op3_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back."""
     out = warc.roundtrip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return out.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts stored as images and read back; tile_npy is the NPY tile of 16 by 16 means."""
     out = media.media_features(media.text_images(documents(spark, sf_dir)), digests=True, size_col="n_bytes")
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.col("dhash").alias("feature"), "tile_npy")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents."""
     docs = documents(spark, sf_dir)
     return quality.score(docs, quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the components that their links form."""
     out = simhash.near_duplicates(documents(spark, sf_dir))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(documents(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json")
+    """Pieces of all documents with their places in sequences."""
+    return packing.pack_documents(documents(spark, sf_dir), WORD_VOCABULARY)
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents."""
     docs = documents(spark, sf_dir)
     return language.predict(docs, language.learn(docs))
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode_texts(documents(spark, sf_dir), f"{TOKENIZERS}/piece_bpe_32k.model", digests=True)
+    """All texts encoded and decoded."""
+    return pieces.encode_texts(documents(spark, sf_dir), PIECE_MODEL, digests=True)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the later copies of repeated line runs."""
     return lines.dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_deleted", "text")
 
 
@@ -68,8 +79,8 @@ WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(encode(coalesce(html, ''))) AS d FROM pages
 ), f AS (SELECT d, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY d)
 SELECT p.page_id, p.n::BIGINT AS payload_bytes, p.d AS payload_digest,
-       CASE WHEN f.first_id IS NULL OR p.page_id IS NULL OR f.first_id = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN f.first_id <> p.page_id THEN f.first_id END AS refers_to
+       CASE WHEN f.first_id IS NULL OR f.first_id IS NOT DISTINCT FROM p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN f.first_id IS DISTINCT FROM p.page_id THEN f.first_id END AS refers_to
 FROM p LEFT JOIN f ON p.d = f.d AND p.n >= 100
 """
 

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, work_path
+from .common import map_arrow, materialize, work_path
 
 RECORD_END = "\r\n\r\n"
 SEGMENT_BYTES = 16 << 10
@@ -63,19 +63,20 @@ def page_records(pages: DataFrame) -> DataFrame:
     """Decide each page's record: (page_id, url, payload, payload_bytes, payload_digest, refers_to).
 
     pages: page_id, url, html. Of pages with equal payloads of at least 100 bytes, refers_to is the
-    smallest page_id for the others, else null; rows that repeat that page_id with the same payload
-    are responses too, as are all pages with a null page_id. The first page of a payload is found by
-    a minimum with partial sums, and the join back reads digests only, so a payload that very many
-    pages share costs one small row each.
+    smallest page_id for the others, else null. A page without an id is one of the others; where no
+    page of a payload has an id, none can be referred to and refers_to is null for all. Rows that
+    repeat the smallest page_id with the same payload are that same page: all are responses. The first
+    page of a payload is found by a minimum with partial sums, and the join back reads digests only,
+    so a payload that very many pages share costs one small row each.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
     keys = rows.where(F.col("payload_bytes") >= REVISIT_LEAST_BYTES).select("page_id", "payload_digest")
-    firsts = keys.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select(F.col("payload_digest").alias("d"), "first_id")
+    firsts = keys.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null").select(F.col("payload_digest").alias("d"), "first_id")
     # Only the pages that revisit are named by this join: few rows meet the payloads afterwards.
-    revisits = keys.join(firsts, keys.payload_digest == firsts.d).where("page_id <> first_id").select(F.col("page_id").alias("p"), "d", "first_id").distinct()
-    return rows.join(revisits, (rows.page_id == revisits.p) & (rows.payload_digest == revisits.d), "left").select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.col("first_id").alias("refers_to"))
+    revisits = keys.join(firsts, keys.payload_digest == firsts.d).where("not page_id <=> first_id").select(F.col("page_id").alias("p"), "d", "first_id").distinct()
+    return rows.join(revisits, rows.page_id.eqNullSafe(revisits.p) & (rows.payload_digest == revisits.d), "left").select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.col("first_id").alias("refers_to"))
 
 
 def write_archives(records: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES) -> None:
@@ -207,12 +208,31 @@ def http_payloads(blocks: DataFrame) -> DataFrame:
     return map_arrow(blocks.select("origin", "kind", "refers_to", "digest", "block", "complete"), make, "origin string, kind string, refers_to string, payload binary, payload_bytes long, payload_digest string, intact boolean")
 
 
+def resolve_revisits(captures: DataFrame) -> DataFrame:
+    """Give each revisit the length and digest of the response that it refers to.
+
+    captures: page_id, kind, refers_to, payload_bytes, payload_digest, intact, of responses as read and
+    of revisits as their records state. A revisit is intact if a whole response of that page has the
+    digest and length that its record states; else both are null. Rows are small, and the responses
+    are written, so that the revisits of one page can be split among tasks.
+    """
+    whole = captures.where("kind = 'response' and intact").select(F.col("page_id").alias("origin_page"), F.col("payload_digest").alias("origin_digest"), F.col("payload_bytes").alias("origin_bytes")).distinct()
+    whole = materialize(whole, "responses")
+    found = captures.join(whole, (captures.kind == "revisit") & (captures.refers_to == whole.origin_page) & (captures.payload_digest == whole.origin_digest), "left")
+    own = F.col("kind") != "revisit"
+    agreed = F.coalesce(F.col("intact") & (F.col("payload_bytes") == F.col("origin_bytes")), F.lit(False))
+    return found.withColumns({"payload_bytes": F.when(own, F.col("payload_bytes")).when(agreed, F.col("origin_bytes")), "payload_digest": F.when(own, F.col("payload_digest")).when(agreed, F.col("origin_digest")), "intact": F.when(own, F.col("intact")).otherwise(agreed)}).drop("origin_page", "origin_digest", "origin_bytes")
+
+
 def roundtrip(pages: DataFrame) -> DataFrame:
-    """Write pages as WARC, read them back: http_payloads() of every page, with page_id from the record's identifier."""
+    """Write pages as WARC, read them back: (page_id, kind, refers_to, payload_bytes, payload_digest, intact) of every page.
+
+    Ids come from the records' identifiers, a null one as null. Revisits are resolved.
+    """
     spark = pages.sparkSession
     path = work_path(spark, "warc")
     write_archives(page_records(pages), path)
     number = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)", 1)
     cast = lambda c: F.when(number(c) != "", number(c).cast("long"))
-    out = http_payloads(reassemble(read_archives(spark, path)))
-    return out.withColumns({"page_id": cast(F.col("origin")), "refers_to": cast(F.col("refers_to"))})
+    read = http_payloads(reassemble(read_archives(spark, path)))
+    return resolve_revisits(materialize(read.select(cast("origin").alias("page_id"), "kind", cast("refers_to").alias("refers_to"), "payload_bytes", "payload_digest", "intact"), "captures"))

@@ -10,9 +10,9 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from seatloom.llm import packing, pieces
-from seatloom.llm.queries import TOKENIZERS
+from seatloom.llm.queries import PIECE_MODEL as PIECES
+from seatloom.llm.queries import WORD_VOCABULARY as WORDS
 
-PIECES, WORDS = f"{TOKENIZERS}/piece_bpe_32k.model", f"{TOKENIZERS}/word_bpe_49k.json"
 ALPHABET = list("abcdeinorst THE.,'!0123\n\t") + ["  ", "▁", "é", "É", "ß", "日", "́", "😀", "İ", "<s>", "<|endoftext|>", "'s", "'ll", " ", "\x1c"]
 text = st.lists(st.sampled_from(ALPHABET), max_size=60).map("".join)
 

@@ -35,15 +35,31 @@ def test_pages_come_back_whole(spark):
     want = []
     for p, _, h in rows:
         data = (h or "").encode()
-        first = firsts.get(h) if p is not None else None
+        first = firsts.get(h)
         revisit = first is not None and first != p
         want.append((p, len(data), hashlib.sha256(data).hexdigest(), "revisit" if revisit else "response", first if revisit else None))
     assert sorted(map(str, [(r.page_id, r.payload_bytes, r.payload_digest, r.kind, r.refers_to) for r in got])) == sorted(map(str, want))
     assert all(r.intact for r in got)
-    assert {bytes(r.payload) for r in got if r.kind == "response"} == {(h or "").encode() for _, _, h in rows}
+    path = work_path(spark, "warc")
+    warc.write_archives(warc.page_records(df), path)
+    read = warc.http_payloads(warc.reassemble(warc.read_archives(spark, path))).collect()
+    assert {bytes(r.payload) for r in read if r.kind == "response"} == {(h or "").encode() for _, _, h in rows}
     assert warc.roundtrip(df.limit(0)).count() == 0
 
 
+def test_payloads_that_no_page_with_an_id_has(spark):
+    df = spark.createDataFrame([(None, "a", "q" * 200), (None, "b", "q" * 200)], "page_id bigint, url string, html string")
+    assert [(r.kind, r.refers_to, r.payload_bytes) for r in warc.roundtrip(df).collect()] == [("response", None, 200)] * 2
+
+
+def test_revisits_are_resolved(spark):
+    rows = [(1, "response", None, 10, "d", True), (2, "revisit", 1, 10, "d", True), (3, "revisit", 1, 11, "d", True), (4, "revisit", 1, 10, "e", True), (5, "revisit", 9, 10, "d", True), (6, "response", None, None, None, False), (7, "revisit", 6, 1, None, True), (1, "response", None, 10, "d", True)]
+    df = spark.createDataFrame(rows, "page_id bigint, kind string, refers_to bigint, payload_bytes bigint, payload_digest string, intact boolean")
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.intact) for r in warc.resolve_revisits(df).collect()}
+    assert got == {1: (10, "d", True), 2: (10, "d", True), 3: (None, None, False), 4: (None, None, False), 5: (None, None, False), 6: (None, None, False), 7: (None, None, False)}
+    assert warc.resolve_revisits(df).count() == len(rows)
+
+
 def test_small_segments_reassemble_in_any_order(spark):
     rows, df = pages(spark)
     path = work_path(spark, "warc")
