@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seatloom.llm import lines, packing, quality, rules, simhash
-from seatloom.llm.common import documents, materialize
-from seatloom.llm.queries import TOKENIZERS
+from seatloom.llm.common import documents, materialize, remove_work, work_mark
+from seatloom.llm.queries import WORD_VOCABULARY
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, later copies of repeated line runs cut from their texts; n_chars follows the text."""
-    cut = lines.dedup_lines(docs).drop("n_lines", "n_deleted")
+    """All documents, later copies of repeated line runs cut from their texts; n_chars follows the text, other columns stay."""
+    cut = lines.dedup_lines(docs, counts=False)
     return cut.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
 
 
@@ -33,7 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences."""
-    return packing.pack_documents(docs, f"{TOKENIZERS}/word_bpe_49k.json")
+    return packing.pack_documents(docs, WORD_VOCABULARY)
 
 
 STAGES = [("quality classifier", quality_classifier), ("quality rules", quality_rules), ("line dedup", line_dedup), ("near dedup", near_dedup), ("packing", pack)]
@@ -43,10 +43,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = documents(spark, sf_dir)
+    """All stages over documents. What a stage has written goes once the next one has its input."""
+    docs, mark = documents(spark, sf_dir), work_mark()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, name.replace(" ", "-"))
+            remove_work(spark, mark, keep=docs)
     return docs
