@@ -1,5 +1,6 @@
-"""The pipeline's stages in order, each against its operator applied on its own."""
+"""The pipeline's stages in order, each against its operator applied on its own, and over odd rows."""
 
+import collections
 
 import corpus_pipeline
 from seatloom.llm import quality
@@ -34,7 +35,47 @@ def test_stages(spark):
     fps = {r.doc_id: plain_fingerprint(r.text) for r in before}
     groups = components(set(fps.values()), 4)
     assert sorted(r.doc_id for r in after) == sorted({groups[f]: d for d, f in sorted(fps.items(), reverse=True)}.values())
+    assert len(after) == len({groups[f] for f in fps.values()})  # one document of each group
     before, after = kept["packing"]
     assert {r.doc_id for r in after} == {r.doc_id for r in before}
     final = {(r.doc_id, r.start, r.ids_crc32) for r in corpus_pipeline.run(spark, SF).collect()}
     assert final == {(r.doc_id, r.start, r.ids_crc32) for r in after}
+
+
+def write_tables(spark, rows, path):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_lines string, row string, h1 string, kept string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{path}/documents.parquet")
+    labels = [(r[0], int(k % 3 > 0), 0) for k, r in enumerate(rows)] + [(None, None, None), (1, None, 1)]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+
+
+def test_odd_rows_go_through(spark, tmp_path, edge_rows):
+    """Nulls, repeats, shared ids and clashing columns: each stage works on what the one before kept, and loses nothing else."""
+    rows = [(r[0], r[1], r[2], r[3], None if r[1] is None else len(r[1]), "own", "row", None, "kept") for r in edge_rows]
+    rows += [(3, "a text of its own under a used id " * 5, "en", "s0", 1, "x", None, "y", None)] * 2
+    write_tables(spark, rows, tmp_path)
+    docs = documents(spark, str(tmp_path))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        before, after = docs.collect(), out.collect()
+        if name == "packing":
+            assert collections.Counter(r.doc_id for r in after if r.start == 0) == collections.Counter(r.doc_id for r in before)
+            break
+        assert out.columns == docs.columns
+        own = lambda x, but=(): collections.Counter(tuple(r[c] for c in out.columns if c not in but) for r in x)
+        assert not own(after, ("text", "n_chars")) - own(before, ("text", "n_chars"))
+        if name == "line dedup":
+            assert len(after) == len(before)
+            want = plain_dedup([(r.doc_id, r.text) for r in before], 10)
+            assert collections.Counter((r.doc_id, r.text) for r in after) == collections.Counter((r.doc_id, None if r.text is None else want[r.doc_id, r.text][2]) for r in before)
+        if name == "near dedup":
+            fps = {r.text: plain_fingerprint(r.text) for r in before}
+            groups = components(set(fps.values()), 4)
+            assert sorted(groups[fps[r.text]] for r in after) == sorted({groups[f] for f in fps.values()})
+        docs = spark.createDataFrame(after, out.schema)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_an_empty_table(spark, tmp_path):
+    write_tables(spark, [], tmp_path)
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
