@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,9 @@ SLICE_ROWS = 512
 #: Bytes of Arrow data that a Python worker turns into Python objects at once.
 SLICE_BYTES = 8 << 20
 
+#: A group of more than one in so many rows is joined without a shuffle of its rows.
+CROWDED = 1000
+
 _own_dir: str | None = None
 _written: list[str] = []
 
@@ -68,6 +72,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_crowded(rows: DataFrame, groups: DataFrame, on: list[tuple[str, str]], size: str, total: int) -> DataFrame:
+    """Inner join of rows with groups, one row a group of size rows of total: (rows' column, groups' column) in on.
+
+    Groups of over total / CROWDED rows, of which there are fewer than CROWDED, are broadcast, and their
+    rows stay where they are. The rows of the others are dealt out, so no task gets a large share of
+    them all.
+    """
+    crowded = materialize(groups.where(F.col(size) * CROWDED > total), "crowded")
+    rest = groups.where(F.col(size) * CROWDED <= total)
+    same = lambda table: reduce(lambda a, b: a & b, (F.col(x) == table[y] for x, y in on))
+    here = rows.join(F.broadcast(crowded), same(crowded))
+    there = rows.join(F.broadcast(crowded), same(crowded), "left_anti")
+    return here.unionByName(there.join(rest, same(rest)))
+
+
 def id_remainder(col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(col.cast("string").cast("binary")) % n

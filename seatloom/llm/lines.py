@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_crowded, materialize
 from .rules import SPACES
 
 MIN_WORDS = 10
@@ -34,7 +34,7 @@ def _found_lines(text: Column) -> Column:
 
 
 def line_sequences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, h1, h2, words, lines): each document's lines that have a word, as (i, a, b, w).
+    """(doc, h1, h2, words, n, lines): each document's lines that have a word, n of them, as (i, a, b, w).
 
     i: place among all lines; a, b: 128 bits of XXH64 of the line without outer white space; w: words.
     h1, h2: the same of the whole text, which with the id names a document.
@@ -44,7 +44,7 @@ def line_sequences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = F.transform(_found_lines(F.col("text")), line)
     rows = rows.select("doc", *_hashes(F.col("text")), F.filter(found, lambda x: ~x["blank"]).alias("lines"))
     rows = rows.withColumn("lines", F.transform("lines", lambda x: F.struct(x["i"].alias("i"), x["a"].alias("a"), x["b"].alias("b"), x["w"].alias("w"))))
-    return rows.withColumn("words", F.aggregate("lines", F.lit(0).cast("long"), lambda s, x: s + x["w"]))
+    return rows.withColumns({"words": F.aggregate("lines", F.lit(0).cast("long"), lambda s, x: s + x["w"]), "n": F.size("lines")})
 
 
 def _hashes(text: Column) -> list[Column]:
@@ -159,9 +159,9 @@ def cuts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_word
     sequences = materialize(line_sequences(df, id_col, text_col), "sequences")
     order = F.struct(F.col("doc").isNull().alias("none"), "doc")
     firsts = materialize(sequences.groupBy("h1", "h2").agg(F.min(order).alias("p"), F.count("*").alias("rows"), F.max("words").alias("words"), F.first("lines").alias("lines")).select("p.doc", "h1", "h2", "rows", "words", "lines"), "originals")
-    copied = firsts.where((F.col("rows") > 1) & (F.col("words") >= min_words)).select(F.col("doc").alias("o"), F.col("h1").alias("o1"), F.col("h2").alias("o2"))
-    rest = sequences.select(*_KEY, F.size("lines").alias("n")).join(copied, (F.col("h1") == F.col("o1")) & (F.col("h2") == F.col("o2")))
-    whole = rest.where(~F.col("doc").eqNullSafe(F.col("o"))).select(*_KEY, "n").distinct().withColumn("deleted", F.lit(None).cast("array<int>"))
+    copied = firsts.where((F.col("rows") > 1) & (F.col("words") >= min_words)).select(F.col("doc").alias("o"), F.col("h1").alias("o1"), F.col("h2").alias("o2"), "rows")
+    copies = join_crowded(sequences.select(*_KEY, "n"), copied, [("h1", "o1"), ("h2", "o2")], "rows", sequences.count())
+    whole = copies.where(~F.col("doc").eqNullSafe(F.col("o"))).select(*_KEY, "n").distinct().withColumn("deleted", F.lit(None).cast("array<int>"))
     runs = maximal_runs(later_copies(firsts, min_words)).groupBy(*_KEY).agg(F.collect_list(F.struct("first", "end")).alias("runs"))
     same = [F.col(f"f.{k}").eqNullSafe(F.col(f"s.{k}")) for k in _KEY]
     joined = runs.alias("f").join(firsts.alias("s"), same[0] & same[1] & same[2]).select(*(F.col(f"f.{k}") for k in _KEY), F.size("s.lines").alias("n"), "f.runs", F.col("s.lines.i").alias("i"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, map_arrow, materialize
+from .common import column, join_crowded, map_arrow, materialize
 from .components import connected_components
 
 SHINGLE_WORDS = 4
@@ -223,9 +223,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     docs = materialize(fingerprints(df, id_col, text_col), "fingerprints")
     parts = groups(docs, radius, chunk)
-    least = docs.groupBy("fp").agg(F.min("doc_id").alias("id")).join(parts, F.col("fp") == F.col("f")).groupBy("part").agg(F.min("id").alias("component_id"))
-    named = materialize(parts.join(least, "part").select("f", "component_id"), "components")
-    return docs.join(named, docs.fp == named.f, "left").select("doc_id", "fp", "component_id")
+    each = docs.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")).join(parts, F.col("fp") == F.col("f"))
+    each = materialize(each.select("f", "id", "n", F.col("part").alias("own")), "members")
+    least = materialize(each.groupBy("own").agg(F.min("id").alias("component_id")).withColumnRenamed("own", "part"), "least")
+    named = materialize(each.join(least, F.col("own") == F.col("part")).select("f", "n", "component_id"), "components")
+    return join_crowded(docs, named, [("fp", "f")], "n", docs.count()).select("doc_id", "fp", "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,7 +241,9 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     keys = {"k1": F.xxhash64(*whole), "k2": F.xxhash64(F.lit(1), *whole)}
     docs = materialize(fingerprints(df, id_col, text_col, carry=keys), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
-    first = docs.join(groups(docs), F.col("fp") == F.col("f")).groupBy("part").agg(F.min(order).alias("first"))
+    # A minimum for each fingerprint first, with partial sums: copies, however many, meet the groups as one row.
+    each = docs.groupBy("fp").agg(F.min(order).alias("least"))
+    first = each.join(groups(docs), F.col("fp") == F.col("f")).groupBy("part").agg(F.min("least").alias("first"))
     kept = materialize(first.select(F.col("first.k1").alias("kept1"), F.col("first.k2").alias("kept2")).distinct(), "kept")
     rows = df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), *(c.alias(name) for name, c in keys.items()))
     rows = rows.join(kept, (F.col("k1") == F.col("kept1")) & (F.col("k2") == F.col("kept2")), "left_semi")

@@ -25,3 +25,11 @@ def test_slices_are_bounded():
 def test_remainder(spark):
     rows = spark.range(20).select("id", common.id_remainder(F.col("id"), 5).alias("r")).collect()
     assert all(r.r == zlib.crc32(str(r.id).encode()) % 5 for r in rows)
+
+
+def test_crowded_groups_join_as_others_do(spark):
+    rows = spark.createDataFrame([(k, k if k < 500 else 7) for k in range(5000)] + [(1, None)], "id long, g long")
+    sizes = rows.groupBy("g").agg(F.count("*").alias("n")).withColumnRenamed("g", "key").where("key is null or key <> 3")
+    got = common.join_crowded(rows, sizes, [("g", "key")], "n", rows.count())
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(sizes, F.col("g") == F.col("key")).collect()))
+    assert got.columns == ["id", "g", "key", "n"]
