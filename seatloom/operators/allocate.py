@@ -91,3 +91,9 @@ def pivot_rounds(matrix: DataFrame, by: list[str], rounds: int) -> DataFrame:
 def winner_strip(seats: DataFrame, by: list[str], least_full: int = 1) -> DataFrame:
     """Round by round winners as one ordered array per election."""
     return awards(seats, by, least_full).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("round", "party"))).alias("strip")).select(*by, F.col("strip.party").alias("winners"))
+
+
+def shown_seats(rows: DataFrame, by: list[str]) -> DataFrame:
+    """allocate() with seats null throughout an election that has no votes at all."""
+    counted = F.max(F.coalesce("votes", F.lit(0)) > 0).over(per(by))
+    return rows.withColumns({c: F.when(counted, F.col(c)) for c in ("full_seats", "rest_seats", "seats")})

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import falsy_text, relative_time
+
 
 def until_changed(rows: DataFrame, keys: list[str], order: list[str | Column], value: Column) -> DataFrame:
     """Rows whose value differs from the row before of the same key; each key's first row stays. A, A, B, A gives three."""
@@ -25,6 +27,27 @@ def since_time(updated: Column, now: Column) -> Column:
     return F.when((F.unix_micros(updated) > 0) & (updated <= now), updated).otherwise(now)
 
 
+def since_states(snapshots: DataFrame, keys: list[str], order: str, signature: str = "signature") -> DataFrame:
+    """Add since to snapshots (keys, order, signature, updated, now): when the present signature began.
+
+    A change, and the first snapshot, begin at since_time() of that snapshot; a repeat keeps the time.
+    """
+    islands = since(snapshots, keys, [order], F.col(signature), order)
+    own = Window.partitionBy(*keys, "island").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return islands.withColumn("since", F.first(since_time(F.col("updated"), F.col("now"))).over(own)).drop("island")
+
+
+def banner(rows: DataFrame) -> DataFrame:
+    """Add text: who gets the last remainder seat at whose cost, and since when, unless the count is final or neither is known.
+
+    rows: winner, loser, finalized, since, now.
+    """
+    name = lambda c: F.coalesce(falsy_text(c, None), F.lit("-"))
+    line = F.concat(F.lit("Laatste restzetel gaat naar: "), name("winner"), F.lit(", dit gaat ten koste van: "), name("loser"))
+    known = F.coalesce(falsy_text("winner", None), falsy_text("loser", None)).isNotNull()
+    return rows.withColumn("text", F.when(F.col("finalized") | ~known, line).otherwise(F.concat(line, F.lit(" (sinds "), relative_time("since", F.col("now")), F.lit(")"))))
+
+
 def seat_changes(snapshots: DataFrame, keys: list[str], order: str) -> DataFrame:
     """event for each snapshot but the first: seats if any party's seats differ, else votes if the total grew, else none.
 
@@ -42,7 +65,3 @@ def reject_late(rows: DataFrame, selected: str) -> DataFrame:
     """Without answers for an election that is no longer the selected one."""
     return rows.where(F.col("election") == selected)
 
-
-def write_state(rows: DataFrame, path: str) -> None:
-    """Keep a page's state for the next run."""
-    rows.write.mode("overwrite").parquet(path)

@@ -92,3 +92,23 @@ def poll_difference(rows: DataFrame, latest: DataFrame, name: Column) -> DataFra
     """Add expected and difference by normalised name; parties that the poll doesn't have get 0 expected and no difference."""
     joined = rows.join(latest.select(F.col("name").alias("_name"), "expected"), name == F.col("_name"), "left").drop("_name")
     return joined.withColumn("difference", F.col("seats") - F.col("expected")).withColumn("expected", F.coalesce("expected", F.lit(0)))
+
+
+def poll_series(rows: DataFrame, polls: DataFrame, times: DataFrame, name: Column) -> DataFrame:
+    """Rows (election, party, ...) with series: a poll's seats of the party by time, as array<struct<time, seats>>.
+
+    A party of the poll has its own times in document order; one that the poll lacks has 0 seats at
+    each time that any party of the election has. polls: exit_poll(); times: poll_times().
+    """
+    own = polls.where("time is not null").groupBy(F.col("election").alias("_e"), F.col("name").alias("_name"))
+    own = own.agg(F.array_sort(F.collect_list(F.struct("pos", "time", "seats"))).alias("_own"))
+    known = times.groupBy(F.col("election").alias("_t")).agg(F.array_sort(F.collect_list(F.struct("place", "time"))).alias("_times"))
+    joined = rows.withColumn("_key", name).join(own, (F.col("election") == F.col("_e")) & (F.col("_key") == F.col("_name")), "left").join(known, F.col("election") == F.col("_t"), "left")
+    mine = F.transform("_own", lambda x: F.struct(x["time"].alias("time"), x["seats"].alias("seats")))
+    none = F.transform("_times", lambda x: F.struct(x["time"].alias("time"), F.lit(0).alias("seats")))
+    return joined.withColumn("series", F.coalesce(mine, none)).drop("_key", "_e", "_name", "_own", "_t", "_times")
+
+
+def series_text(series: Column, title: str = "Exitpoll Ipsos") -> Column:
+    """A series line by line below a title."""
+    return F.array_join(F.concat(F.array(F.lit(title)), F.transform(series, lambda x: F.concat(x["time"], F.lit(" "), x["seats"].cast("string"), F.lit(" zetels")))), "\n")

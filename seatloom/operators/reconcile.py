@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import blank_zero, falsy_text, format_change, format_permille
+from ..functions import falsy_text, format_change, format_int_nl, format_permille, quota_parts
 from ..sources.readers import last_per_key
 from .allocate import HOUSE
 
@@ -38,9 +38,8 @@ def choose_source(totals: DataFrame, by: list[str], by_rows: bool = True) -> Dat
     """
     is_official = (F.col("source") == "official") & ((F.col("n") if by_rows else F.col("total")) > 0)
     usable = totals.where((F.col("source") != "official") | is_official)
-    order = [F.desc(F.col("source") == "official"), F.desc("total"), F.desc(F.col("source") == "a")]
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))).orderBy(*order)
-    return usable.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    best = F.max_by(F.struct("source", "total", "n"), F.struct(F.col("source") == "official", "total", F.col("source") == "a"))
+    return usable.groupBy(*by).agg(best.alias("_best")).where("_best is not null").select(*by, "_best.*")
 
 
 def source_totals(votes: DataFrame, by: list[str]) -> DataFrame:
@@ -49,8 +48,32 @@ def source_totals(votes: DataFrame, by: list[str]) -> DataFrame:
 
 def quota_table(totals: DataFrame, house: int = HOUSE) -> DataFrame:
     """Add the quota in a whole part and 1/house parts (null for 0), and the preference threshold."""
-    quota = F.col("total") / F.lit(float(house))
-    return totals.select("*", F.floor(quota).alias("quota_whole"), blank_zero(F.round((quota - F.floor(quota)) * house).cast("bigint")).alias("quota_parts"), F.floor(quota * 0.25).alias("threshold"))
+    whole, parts = quota_parts(F.col("total"), house)
+    return totals.select("*", whole.alias("quota_whole"), parts.alias("quota_parts"), F.floor(F.col("total") / F.lit(float(house)) * 0.25).alias("threshold"))
+
+
+def votes_total(rows: DataFrame, house: int = HOUSE) -> DataFrame:
+    """The total row of side_by_side() and what follows from it, one row: votes, votes_b, votes_official, sort_column, total and quota_table() of the source that counts.
+
+    The official source counts if it has votes, else the feed with more of them, a on ties.
+    """
+    sums = rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("votes", "votes_b", "votes_official")))
+    column = default_vote_column(F.col("votes_official"), F.col("votes_b"), F.col("votes"))
+    total = F.when(column == "official", F.col("votes_official")).when(column == "b", F.col("votes_b")).otherwise(F.col("votes"))
+    return quota_table(sums.withColumns({"sort_column": column, "total": total}), house)
+
+
+def default_vote_column(official: Column, b: Column, a: Column) -> Column:
+    """The column that the votes page sorts by at first: official if it has votes, else the larger feed, a on ties."""
+    return F.when(official > 0, "official").when(b > a, "b").otherwise("a")
+
+
+def with_votes_total(rows: DataFrame, label: str) -> DataFrame:
+    """side_by_side() and its total row as shown: texts, an empty one for no votes of a source; is_total marks the total."""
+    shown = lambda c: F.when(F.col(c) == 0, "").otherwise(format_int_nl(c)).alias(c)
+    own = rows.select("list_number", "label", shown("votes"), shown("votes_b"), shown("votes_official"), F.lit(0).alias("is_total"))
+    total = votes_total(rows).select(F.lit(None).cast("bigint").alias("list_number"), F.lit(label).alias("label"), shown("votes"), shown("votes_b"), shown("votes_official"), F.lit(1).alias("is_total"))
+    return own.unionByName(total)
 
 
 def side_by_side(parties: DataFrame, feed_b: DataFrame, official: DataFrame, labels: DataFrame) -> DataFrame:

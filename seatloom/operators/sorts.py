@@ -5,15 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import natural_key
+from ..functions import col, natural_key, strip_separators
 from .allocate import per
 
 
-def table_order(rows: DataFrame, column: str, ascending: bool, numeric: bool, total: str | None = None, pos: str = "pos") -> DataFrame:
-    """Sort by one column, total rows last whatever the direction; texts in natural order, nulls last."""
-    keys: list[Column] = [F.col(column).try_cast("double")] if numeric else natural_key(column)
+def order_keys(column: Column | str, ascending: bool, kind: str = "text", total: str | None = None, pos: str = "pos") -> list[Column]:
+    """Sort keys of one column, total rows last whatever the direction.
+
+    kind: number (nulls last), shown (a number as it is shown, with separators; what isn't one is 0),
+    text (natural order), plain (texts by their characters).
+    """
+    if kind == "number":
+        keys = [col(column).try_cast("double")]
+    elif kind == "shown":
+        keys = [F.coalesce(strip_separators(col(column).cast("string")), F.lit(0))]
+    else:
+        keys = natural_key(F.coalesce(col(column).cast("string"), F.lit(""))) if kind == "text" else [col(column)]
     turn = [k.asc_nulls_last() if ascending else k.desc_nulls_last() for k in keys]
-    return rows.orderBy(*([F.col(total)] if total else []), *turn, F.col(pos))
+    return [*([F.col(total)] if total else []), *turn, F.col(pos)]
+
+
+def table_order(rows: DataFrame, *keys: Column) -> DataFrame:
+    """rows sorted by order_keys()."""
+    return rows.orderBy(*keys)
 
 
 def place(rows: DataFrame, by: list[str], *keys: Column, name: str = "place") -> DataFrame:
@@ -21,6 +35,6 @@ def place(rows: DataFrame, by: list[str], *keys: Column, name: str = "place") ->
     return rows.withColumn(name, F.row_number().over(per(by).orderBy(*keys)).cast("bigint"))
 
 
-def default_vote_column(totals: DataFrame) -> DataFrame:
-    """The column that the votes page sorts by: official if it has votes, else the larger feed, a on ties. totals: official, a, b."""
-    return totals.withColumn("sort_column", F.when(F.col("official") > 0, "official").when(F.col("b") > F.col("a"), "b").otherwise("a"))
+def toggled(state: str | None, default: str = "asc") -> str:
+    """The direction after a click on a column: its default at first, then the other one."""
+    return default if state is None else "desc" if state == "asc" else "asc"

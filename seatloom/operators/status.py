@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import decode, falsy_text, format_datetime_nl, format_permille
@@ -50,8 +50,8 @@ def drop_empty_columns(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def first_per_key(rows: DataFrame, key: Column, order: list[str | Column]) -> DataFrame:
     """The first row of each key in the order given; rows without a key drop out."""
-    w = Window.partitionBy("_key").orderBy(*order)
-    return rows.withColumn("_key", key).where("_key is not null").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_key", "_n")
+    keyed = rows.withColumn("_key", key).where("_key is not null")
+    return keyed.groupBy("_key").agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_row")).select("_row.*")
 
 
 def progress(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -81,8 +81,16 @@ def max_signature(a: DataFrame, b: DataFrame, ts: str) -> DataFrame:
 
 def latest_per_key(rows: DataFrame, keys: list[str], ts: str, order: list[str | Column]) -> DataFrame:
     """The newest row of each key, the first in the order given on ties; rows without a time come last."""
-    w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(ts), *order)
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    newest = F.struct(F.col(ts).isNull(), -F.unix_micros(F.col(ts).cast("timestamp")), *order)
+    return rows.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.min_by(F.struct(*rows.columns), newest).alias("_row")).select("_row.*")
+
+
+def document_status(results: DataFrame, views: DataFrame) -> DataFrame:
+    """What a page says of its sources: the documents' own time as text, and the first municipality in document order with its time."""
+    first = first_match(views.withColumn("_k", F.lit(1)), ["_k"], F.col("type") == 0, "pos", "label", "updated")
+    one = results.agg(F.max(F.timestamp_seconds("updated")).alias("t")).withColumn("_k", F.lit(1))
+    joined = one.join(first, "_k", "left")
+    return joined.select(format_datetime_nl("t").alias("document_time"), F.coalesce("label", F.lit("")).alias("municipality"), format_datetime_nl(F.timestamp_seconds("updated")).alias("municipality_time"))
 
 
 def first_match(rows: DataFrame, by: list[str], where: Column, pos: str, *columns: str) -> DataFrame:

@@ -1,4 +1,8 @@
-"""The driver's tables in the shapes that the operators take."""
+"""The driver's tables in the shapes that the operators take.
+
+Votes are summed once and written: a few rows for each election, which the operators join with
+themselves without going back to the tables.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.allocate import sum_votes
+from ..sources.landing import once
 from ..sources.readers import table
 
 
@@ -13,7 +18,7 @@ def brand_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """party = brand, votes = quantity sold."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     sold = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.sum("l_quantity").alias("q"))
-    return sum_votes(sold.join(part, F.col("l_partkey") == F.col("p_partkey")), [], "p_brand", F.col("q"))
+    return once(sum_votes(sold.join(part, F.col("l_partkey") == F.col("p_partkey")), [], "p_brand", F.col("q")), "votes")
 
 
 def year_nation_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +28,7 @@ def year_nation_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     rows = each.join(customer, F.col("o_custkey") == F.col("c_custkey")).groupBy("election", "c_nationkey").agg(F.sum("n").alias("n"))
-    return sum_votes(rows.join(nation, F.col("c_nationkey") == F.col("n_nationkey")), ["election"], "n_name", F.col("n"))
+    return once(sum_votes(rows.join(nation, F.col("c_nationkey") == F.col("n_nationkey")), ["election"], "n_name", F.col("n")), "votes")
 
 
 def feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +37,7 @@ def feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     sold = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_returnflag").agg(F.sum("l_quantity").alias("q"))
     rows = sold.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_returnflag", "p_brand").agg(F.sum("q").cast("bigint").alias("votes"))
     source = F.when(F.col("l_returnflag") == "A", "a").when(F.col("l_returnflag") == "N", "b").otherwise("official")
-    return rows.select(source.alias("source"), F.col("p_brand").alias("party"), "votes")
+    return once(rows.select(source.alias("source"), F.col("p_brand").alias("party"), "votes"), "feeds")
 
 
 def nation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,3 +57,10 @@ def nation_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def nation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k = the nation's key, r = its region's, name, c = its customers."""
+    customers = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    n = table(spark, sf_dir, "nation").join(customers, F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    return once(n.select(F.col("n_nationkey").cast("int").alias("k"), F.col("n_regionkey").cast("int").alias("r"), F.col("n_name").alias("name"), F.coalesce("n", F.lit(0)).cast("bigint").alias("c")), "nations")

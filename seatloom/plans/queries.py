@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from ..operators import allocate as al
 from ..operators import changes, margins, reconcile, sorts, status, ticker
+from ..streaming import live, replay
+from ..sources.landing import once
 from ..sources.readers import table
 from . import inputs
 
@@ -185,7 +187,7 @@ def totals_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT case_name, 'rows' AS mode, CASE WHEN count(*) FILTER (WHERE source = 'official' AND n > 0) > 0 THEN 'official' WHEN max(total) FILTER (WHERE source = 'b') > max(total) FILTER (WHERE source = 'a') THEN 'b' ELSE 'a' END AS source FROM c GROUP BY case_name
 UNION ALL SELECT case_name, 'votes', CASE WHEN max(total) FILTER (WHERE source = 'official') > 0 THEN 'official' WHEN max(total) FILTER (WHERE source = 'b') > max(total) FILTER (WHERE source = 'a') THEN 'b' ELSE 'a' END FROM c GROUP BY case_name""")
 def source_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = reconcile.source_totals(inputs.feeds(spark, sf_dir), [])
+    totals = once(reconcile.source_totals(inputs.feeds(spark, sf_dir), []), "totals")
     empty = totals.withColumn("total", F.when(F.col("source") == "official", 0).otherwise(F.col("total")))
     cases = totals.withColumn("case_name", F.lit("all")).unionByName(totals.where("source <> 'official'").withColumn("case_name", F.lit("feeds"))).unionByName(empty.withColumn("case_name", F.lit("empty_official")))
     pick = lambda by_rows, mode: reconcile.choose_source(cases, ["case_name"], by_rows).select("case_name", F.lit(mode).alias("mode"), "source")
@@ -199,18 +201,22 @@ SELECT CASE WHEN k % 4 <> 0 THEN k ELSE row_number() OVER (ORDER BY party) END::
   CASE WHEN k % 4 <> 0 AND k % 3 <> 0 THEN vb ELSE 0 END AS votes_b, CASE WHEN k % 4 <> 0 THEN vo ELSE 0 END AS votes_official, votes - previous AS difference,
   CASE WHEN previous = 0 THEN '-' ELSE replace(printf('%.1f', round((votes - previous) / previous::DOUBLE * 100, 1)), '.', ',') END AS change, round(CASE WHEN votes = 0 THEN 0 ELSE (votes - previous)::DOUBLE * 100 / votes END, 6) AS change_key FROM n""")
 def side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _side_by_side(spark, sf_dir)
+    return rows.withColumn("change_key", F.round("change_key", 6))
+
+
+def _side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     of = lambda cond, name: F.sum(F.when(cond, F.col("l_quantity")).otherwise(0)).alias(name)
     flag, year = F.col("l_returnflag"), F.year("l_shipdate")
     sold = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(of(year == 1997, "votes"), of(year == 1996, "previous"), of(flag == "N", "vb"), of(flag == "R", "vo"))
     sums = sold.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("party")).agg(*(F.sum(c).cast("bigint").alias(c) for c in ("votes", "previous", "vb", "vo")))
-    sums = sums.withColumn("pos", F.row_number().over(al.per([]).orderBy("party"))).withColumn("k", F.replace("party", F.lit("Brand#"), F.lit("")).cast("int"))
+    sums = once(sums, "sums").withColumn("pos", F.row_number().over(al.per([]).orderBy("party"))).withColumn("k", F.replace("party", F.lit("Brand#"), F.lit("")).cast("int"))
     code = F.when(F.col("k") % 3 != 0, F.concat(F.lit("B"), F.col("k").cast("string"))).otherwise(F.lower(F.concat(F.lit("B"), F.col("k").cast("string"))))
     labels = sums.where("k % 4 <> 0").select("party", F.col("k").alias("list_number"), code.alias("code"), F.format_string("Brand %d", F.col("k")).alias("label_long"), F.col("party").alias("label_short"))
     feed = sums.select(F.concat(F.lit("B"), F.col("k").cast("string")).alias("code"), F.col("vb").alias("votes"))
     official = sums.select(F.col("k").alias("list_number"), F.col("vo").alias("votes"))
-    rows = reconcile.side_by_side(sums.select("party", "pos", "votes", "previous"), feed, official, labels)
-    return rows.withColumn("change_key", F.round("change_key", 6))
+    return reconcile.side_by_side(sums.select("party", "pos", "votes", "previous"), feed, official, labels)
 
 
 _LABELS = "lb AS (SELECT n_nationkey + 1 AS list_number, 'p' || n_nationkey AS party, n_name, n_nationkey, CASE WHEN n_nationkey % 3 = 2 THEN NULL WHEN n_nationkey % 2 = 0 THEN n_name ELSE lower(n_name) END AS code FROM nation), fb AS (SELECT upper(n_name) AS code, count(*) AS votes FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name)"
@@ -527,9 +533,52 @@ def pinned_total_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sorts.place(rows, [], F.col("is_total"), *(k.desc_nulls_last() for k in fn.natural_key("name"))).drop("is_total")
 
 
-@query()
+_DAYS = """d AS (SELECT ts::DATE AS day, event_type, count(*) AS votes FROM events GROUP BY ALL), s AS (SELECT day, event_type, votes, votes // 20 AS seats FROM d), t AS (SELECT day, sum(votes) AS total, dense_rank() OVER (ORDER BY day) AS n, string_agg(event_type || seats, ',' ORDER BY event_type) AS st FROM s GROUP BY day)"""
+_REPLAYED = f"""WITH {_DAYS} SELECT 'e' AS election, (t.day - DATE '1970-01-01')::BIGINT AS seq, CASE WHEN p.n IS NULL THEN 'first' WHEN EXISTS (SELECT 1 FROM s a LEFT JOIN s b ON b.day = p.day AND b.event_type = a.event_type WHERE a.day = t.day AND a.seats <> coalesce(b.seats, 0)) THEN 'seats' WHEN t.total > p.total THEN 'votes' ELSE 'none' END AS event
+FROM t LEFT JOIN t p ON p.n = t.n - 1 WHERE p.n IS NULL OR p.total <> t.total OR p.st <> t.st"""
+
+
+@query(_REPLAYED)
 def streaming_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily snapshots of event counts through the streaming operator, read back from its sink."""
-    from ..streaming import replay
+    return replay.replay(spark, replay.daily_snapshots(inputs.user_events(spark, sf_dir))).drop("signature")
+
+
+@query(_REPLAYED)
+def polling_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by polling each second, stopped once the last snapshot has come."""
+    days = once(replay.daily_snapshots(inputs.user_events(spark, sf_dir)), "days")
+    return replay.replay(spark, days, until=days.agg(F.max("seq")).first()[0]).drop("signature")
+
+
+_PAIRS = """z AS (SELECT ts::DATE AS day, event_type, count(*) AS n FROM events GROUP BY ALL), y AS (SELECT (day - DATE '1970-01-01')::BIGINT AS seq, arg_max(event_type, (n, event_type)) || '|' || arg_min(event_type, (n, event_type)) AS signature FROM z GROUP BY day),
+x AS (SELECT *, (seq * 86400 + 43200) * 1000000 AS now, CASE seq % 3 WHEN 0 THEN (seq * 86400 + 40000) * 1000000 WHEN 1 THEN (seq * 86400 + 50000) * 1000000 END AS updated FROM y),
+c AS (SELECT *, CASE WHEN lag(signature) OVER (ORDER BY seq) = signature THEN 0 ELSE 1 END AS ch FROM x), i AS (SELECT *, sum(ch) OVER (ORDER BY seq) AS island FROM c),
+b AS (SELECT island, arg_min(CASE WHEN updated > 0 AND updated <= now THEN updated ELSE now END, seq) AS since FROM i GROUP BY island), q AS (SELECT i.*, since FROM i JOIN b USING (island))"""
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most and the least frequent type of event of each day as the pair of a snapshot; the update's time is before now, after it, or unknown in turn."""
+    counts = inputs.user_events(spark, sf_dir).groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"))
+    seq = F.datediff("day", F.lit("1970-01-01").cast("date")).cast("bigint")
+    at = lambda s: (F.col("seq") * 86400 + s) * 1_000_000
+    pairs = counts.groupBy(seq.alias("seq")).agg(F.max_by("event_type", F.struct("n", "event_type")).alias("winner"), F.min_by("event_type", F.struct("n", "event_type")).alias("loser"))
+    updated = F.when(F.col("seq") % 3 == 0, at(40_000)).when(F.col("seq") % 3 == 1, at(50_000))
+    return pairs.select(F.lit("e").alias("election"), "seq", "winner", "loser", F.concat_ws("|", "winner", "loser").alias("signature"), updated.alias("updated"), at(43_200).alias("now"))
+
+
+@query(f"WITH {_PAIRS} SELECT 'e' AS election, seq, signature, since::BIGINT AS since FROM q")
+def streaming_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _pairs(spark, sf_dir).drop("winner", "loser")
+    return replay.replay(spark, pairs, live.since, live.PAIR, live.SINCE)
+
 
-    return replay.daily_changes(spark, inputs.user_events(spark, sf_dir))
+@query(f"""WITH {_PAIRS}, w AS (SELECT seq, since, split_part(signature, '|', 1) AS winner, split_part(signature, '|', 2) AS loser, seq % 5 = 0 AS finalized, (now - since) // 1000000 AS s FROM q),
+l AS (SELECT *, 'Laatste restzetel gaat naar: ' || CASE WHEN seq % 4 = 0 THEN '-' ELSE winner END || ', dit gaat ten koste van: ' || CASE WHEN seq % 4 = 0 THEN '-' ELSE loser END AS line FROM w)
+SELECT seq, since::BIGINT AS since, line || CASE WHEN finalized OR seq % 4 = 0 THEN '' ELSE ' (sinds ' || {_AGE} || ' geleden)' END AS text FROM l""")
+def since_banner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    time = lambda c: F.timestamp_micros(F.col(c)).alias(c)
+    rows = _pairs(spark, sf_dir).select("election", "seq", "winner", "loser", "signature", time("updated"), time("now"))
+    states = changes.since_states(rows, ["election"], "seq").withColumn("finalized", F.col("seq") % 5 == 0)
+    named = states.withColumns({c: F.when(F.col("seq") % 4 != 0, F.col(c)) for c in ("winner", "loser")})
+    return changes.banner(named).select("seq", F.unix_micros("since").alias("since"), "text")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions import election_key, falsy_text, from_epoch, normal_name, number_or_zero, parse_decimal_comma, parse_int
+from ..functions import election_key, falsy_text, from_epoch, from_iso, normal_name, parse_decimal_comma, parse_int
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -35,6 +35,11 @@ def read_document(spark: SparkSession, path: str, schema: str, optional: bool =
     return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
 
 
+def read_elections(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Documents of a folder for each election, with its key in election."""
+    return spark.read.schema(f"{schema}, election string").option("multiLine", True).json(path)
+
+
 def read_map(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """A document that is one map, as rows (key, value) in document order: pos, key, value."""
     text = spark.read.text(path, wholetext=True)
@@ -43,8 +48,8 @@ def read_map(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 def last_good(snapshots: DataFrame, key: str = "source") -> DataFrame:
     """Of snapshots (source, snapshot_ts, body), the newest with a body for each source: stale data rather than none."""
-    newest = Window.partitionBy(key).orderBy(F.desc("snapshot_ts"))
-    return snapshots.where(F.col("body").isNotNull()).withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+    whole = F.max_by(F.struct(*snapshots.columns), "snapshot_ts")
+    return snapshots.where(F.col("body").isNotNull()).groupBy(F.col(key).alias("_key")).agg(whole.alias("_row")).select("_row.*")
 
 
 def fresh(snapshots: DataFrame, as_of: str, ttl_seconds: int = 10) -> DataFrame:
@@ -54,8 +59,9 @@ def fresh(snapshots: DataFrame, as_of: str, ttl_seconds: int = 10) -> DataFrame:
 
 
 def party_results(documents: DataFrame, election: str | None = None) -> DataFrame:
-    """Feed A's documents, one row per party: election, pos, party, {current,previous,diff}_{votes,percentage,seats}, updated, status."""
-    rows = documents.select(F.lit(election).alias("election"), from_epoch("updated").alias("updated"), "status", F.posexplode("parties").alias("pos", "p"))
+    """Feed A's documents, one row per party (election: given, or the documents' own column): election, pos, party, {current,previous,diff}_{votes,percentage,seats}, updated, status."""
+    key = F.lit(election) if election is not None or "election" not in documents.columns else F.col("election")
+    rows = documents.select(key.alias("election"), from_epoch("updated").alias("updated"), "status", F.posexplode("parties").alias("pos", "p"))
     figures = []
     for when in ("current", "previous", "diff"):
         figures += [parse_int(f"p.results.{when}.votes").alias(f"{when}_votes"), parse_decimal_comma(f"p.results.{when}.percentage").cast("decimal(5,1)").alias(f"{when}_percentage"), parse_int(f"p.results.{when}.seats").cast("int").alias(f"{when}_seats")]
@@ -64,7 +70,7 @@ def party_results(documents: DataFrame, election: str | None = None) -> DataFram
 
 def old_party_results(documents: DataFrame, election: str | None = None) -> DataFrame:
     """The older layout in party_results()' columns; differences are computed."""
-    rows = documents.select(F.lit(election).alias("election"), F.try_to_timestamp("updated").alias("updated"), "status", F.posexplode("parties").alias("pos", "p"))
+    rows = documents.select(F.lit(election).alias("election"), from_iso("updated").alias("updated"), "status", F.posexplode("parties").alias("pos", "p"))
     of = lambda when, name: F.col(f"p.{when}.{name}")
     out = {}
     for alias, when in (("current", "now"), ("previous", "last")):
@@ -88,8 +94,7 @@ def labels(maps: DataFrame) -> DataFrame:
 
 def last_per_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last row of each key, as when a map is written again and again."""
-    last = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+    return rows.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.max_by(F.struct(*rows.columns), order).alias("_row")).select("_row.*")
 
 
 def official_votes(maps: DataFrame) -> DataFrame:
@@ -126,6 +131,18 @@ def elections(maps: DataFrame, plain: bool = False) -> DataFrame:
     return maps.where(F.col("key").rlike(pattern)).select(F.regexp_extract("key", r"\d{4}", 0).cast("int").alias("year")).distinct().orderBy("year")
 
 
+def latest_election(maps: DataFrame, plain: bool = False) -> DataFrame:
+    """The last of elections(), null without any."""
+    return elections(maps, plain).agg(F.max("year").alias("year"))
+
+
+def municipality_detail(details: DataFrame, cbs_code: str | None) -> DataFrame:
+    """The detail of one municipality: a filter that reaches a table partitioned by cbs_code. ValueError without a code."""
+    if not cbs_code:
+        raise ValueError("a source of a municipality needs its code")
+    return details.where(F.col("cbs_code") == cbs_code)
+
+
 def finalized(official: DataFrame) -> DataFrame:
     """Elections that have official rows."""
     return official.groupBy("election").agg(F.count("*").alias("n")).where("n > 0").select("election")
@@ -182,6 +199,3 @@ def result_totals(documents: DataFrame) -> DataFrame:
     names = ("voters", "turnout", "turnoutCount", "invalid", "blank")
     return documents.select(*(F.col(f"{n}.{w}").alias(f"{n}_{w}") for n in names for w in ("current", "previous")))
 
-
-def count_number(x: str) -> F.Column:
-    return number_or_zero(x).cast("bigint")

@@ -1,6 +1,7 @@
 """Live snapshots by Structured Streaming: polling, repeats suppressed, change events.
 
-State is one small row per election, whatever the number of snapshots.
+State is one small row per election, whatever the number of snapshots. Snapshots come at the pace of
+polling, a few a minute, so they are stepped through in Python, one election's at a time.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ POLL = "30 seconds"
 
 SNAPSHOT = "election string, seq bigint, signature string, total bigint, seats map<string, bigint>"
 EVENT = "election string, seq bigint, signature string, event string"
+PAIR = "election string, seq bigint, signature string, updated bigint, now bigint"
+SINCE = "election string, seq bigint, signature string, since bigint"
 STATE = "seen boolean, signature string, total bigint, seats map<string, bigint>"
 
 
@@ -55,6 +58,32 @@ def changes(snapshots: DataFrame) -> DataFrame:
     return snapshots.groupBy("election").applyInPandasWithState(_step, EVENT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def _since_step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    signature, began = state.get if state.exists else (None, None)
+    out = []
+    for row in pd.concat(list(batches)).sort_values("seq", kind="stable").itertuples():
+        if began is None or row.signature != signature:
+            known = pd.notna(row.updated) and 0 < row.updated <= row.now
+            signature, began = row.signature, int(row.updated if known else row.now)
+        out.append((key[0], row.seq, signature, began))
+    state.update((signature, began))
+    yield pd.DataFrame(out, columns=["election", "seq", "signature", "since"])
+
+
+def since(snapshots: DataFrame) -> DataFrame:
+    """Snapshots (PAIR, times in microseconds) with the time at which their signature began.
+
+    A new signature begins at the update's time if that lies after the epoch and not after now, else
+    now. The state outlives a restart with the stream's checkpoint.
+    """
+    return snapshots.groupBy("election").applyInPandasWithState(_since_step, SINCE, "signature string, began bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+def write_batches(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink with a folder for each batch: a batch that comes again replaces its own rows."""
+    return lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+
 def start(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = POLL) -> StreamingQuery:
     """Run a sink on each batch, every 30 seconds by default, or once over what is there (every=None)."""
     writer = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
@@ -62,9 +91,11 @@ def start(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint:
 
 
 def stop_when(query: StreamingQuery, done: Callable[[], bool], seconds: int = 30) -> None:
-    """Stop a query once done() holds, asked after each wait."""
+    """Stop a query once done() holds, asked at first and after each wait. An error of the query rises."""
     while query.isActive:
         if done():
             query.stop()
             return
         query.awaitTermination(seconds)
+    if query.exception():
+        raise query.exception()

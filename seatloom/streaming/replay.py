@@ -1,35 +1,38 @@
-"""Replay of stored snapshots through the streaming operator."""
+"""Replay of stored snapshots through the streaming operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.landing import work_path
 from . import live
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that spark.checkpoint.dir names, or in a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="seatloom-")
-    return f"{base.rstrip('/')}/seatloom/{name}-{uuid.uuid4().hex}"
+def replay(spark: SparkSession, snapshots: DataFrame, operator: Callable[[DataFrame], DataFrame] = live.changes, schema: str = live.SNAPSHOT, result: str = live.EVENT, until: int | None = None) -> DataFrame:
+    """An operator's rows of stored snapshots: written as a landing folder, streamed, read back.
 
-
-def replay(spark: SparkSession, snapshots: DataFrame) -> DataFrame:
-    """live.changes() of stored snapshots: written as a landing folder, streamed once, read back."""
+    All that is there is streamed once; with until, the folder is polled each second until a row with
+    that seq has come.
+    """
     landing, out, state = (work_path(spark, x) for x in ("landing", "events", "state"))
     snapshots.write.parquet(landing)
-    stream = live.changes(live.read_snapshots(spark, landing))
-    query = live.start(stream, lambda df, n: df.write.mode("append").parquet(out), state, every=None)
-    query.awaitTermination()
-    return spark.read.schema(live.EVENT).parquet(out)
-
-
-def daily_changes(spark: SparkSession, events: DataFrame) -> DataFrame:
+    names = [x.split()[0] for x in result.split(", ")]
+    read = lambda: spark.read.schema(f"{result}, batch int").parquet(out).select(*names)
+    stream = operator(live.read_snapshots(spark, landing, schema))
+    query = live.start(stream, live.write_batches(out), state, every=None if until is None else "1 second")
+    if until is None:
+        query.awaitTermination()
+    else:
+        live.stop_when(query, lambda: bool(query.lastProgress) and not read().where(F.col("seq") >= until).isEmpty(), 1)
+    return read()
+
+
+def daily_snapshots(events: DataFrame) -> DataFrame:
     """Events of each day as a snapshot: votes by type, a seat for every 20."""
     counts = events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"))
     days = counts.groupBy("day").agg(F.sum("n").alias("total"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", F.expr("n div 20").alias("seats"))))).alias("seats"))
     seq = F.datediff("day", F.lit("1970-01-01").cast("date")).cast("bigint")
-    return replay(spark, days.select(F.lit("e").alias("election"), seq.alias("seq"), F.concat_ws("|", F.col("total").cast("string"), F.to_json("seats")).alias("signature"), "total", "seats"))
+    return days.select(F.lit("e").alias("election"), seq.alias("seq"), F.concat_ws("|", F.col("total").cast("string"), F.to_json("seats")).alias("signature"), "total", "seats")
