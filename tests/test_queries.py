@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from seatloom.plans import layouts  # noqa: F401
 from seatloom.plans.queries import ORACLES, QUERIES
 from seatloom.sources.readers import TABLES
 

@@ -2,11 +2,12 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from seatloom import functions as fn
 from seatloom import schemas
-from seatloom.operators import changes, status, ticker
+from seatloom.operators import changes, sorts, status, ticker
 from seatloom.sources import readers
 from seatloom.streaming import live, replay
 
@@ -41,6 +42,42 @@ def test_stream_suppresses_repeats_and_ranks_events(spark):
     assert sorted((r.election, r.seq, r.event) for r in out.collect()) == [("e", 1, "first"), ("e", 3, "votes"), ("e", 4, "seats"), ("e", 5, "none"), ("f", 1, "first")]
 
 
+def test_a_batch_that_comes_again_replaces_its_rows(spark, tmp_path):
+    sink = live.write_batches(str(tmp_path / "out"))
+    for n, rows in ((0, 3), (1, 2), (1, 2)):
+        sink(spark.range(rows), n)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_polling_ends_when_the_rule_holds(spark, tmp_path):
+    rows = [("e", 1, "A", 10, {"p": 1}), ("e", 2, "B", 12, {"p": 2})]
+    spark.createDataFrame(rows, live.SNAPSHOT).write.parquet(str(tmp_path / "in"))
+    query = live.start(live.changes(live.read_snapshots(spark, str(tmp_path / "in"))), live.write_batches(str(tmp_path / "out")), str(tmp_path / "state"), every="200 milliseconds")
+    asked = []
+    live.stop_when(query, lambda: len(asked) > 3 or asked.append(1), 1)
+    assert not query.isActive and len(asked) == 4
+    live.stop_when(query, lambda: 1 / 0)  # a query that has ended isn't asked about
+
+
+def test_since_keeps_its_state_between_batches(spark, tmp_path):
+    for n, row in enumerate([("e", 1, "a|b|1", 50, 100), ("e", 2, "a|b|1", 150, 200), ("e", 3, "a|c|1", 999, 300), ("e", 4, "a|b|1", None, 400)]):
+        spark.createDataFrame([row], live.PAIR).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = live.start(live.since(live.read_snapshots(spark, str(tmp_path / "in"), live.PAIR)), live.write_batches(str(tmp_path / "out")), str(tmp_path / "state"), every=None)
+        query.awaitTermination()
+    got = spark.read.schema(live.SINCE).option("recursiveFileLookup", True).parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.seq, r.since) for r in got) == [(1, 50), (2, 50), (3, 300), (4, 400)]
+
+
+def test_sort_directions_and_sources(spark):
+    assert [sorts.toggled(None), sorts.toggled(None, "desc"), sorts.toggled("asc"), sorts.toggled("desc")] == ["asc", "desc", "desc", "asc"]
+    rows = spark.createDataFrame([(0, "b10", "1.200", 0), (1, "b9", "", 0), (2, "a", "30", 0), (3, "Totaal", "5", 1)], "pos int, t string, n string, is_total int")
+    order = lambda *x: [r.pos for r in sorts.table_order(rows, *sorts.order_keys(*x)).collect()]
+    assert (order("n", True, "shown", "is_total"), order("n", False, "shown", "is_total")) == ([1, 2, 0, 3], [0, 2, 1, 3])
+    assert (order("t", True, "text", "is_total"), order("t", False, "plain", "is_total")) == ([2, 1, 0, 3], [1, 0, 2, 3])
+    with pytest.raises(ValueError):
+        readers.municipality_detail(rows, "")
+
+
 def test_progress_takes_each_municipality_once(spark):
     rows = [(0, "A", "g1", "Eindstand", 10), (1, "A", "g1", "Nulstand", 99), (2, "B", None, "Tussenstand", 5), (3, None, "", "Eindstand", 7), (4, "C", "g2", "Nulstand", None), (5, "D", "g3", "Nulstand", 15)]
     df = spark.createDataFrame(rows, "pos int, name string, cbs_code string, status string, population bigint")
