@@ -14,6 +14,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,19 +24,115 @@ SEQUENCE_TOKENS = 2048
 #: Lengths are rounded up to multiples of this for the linear program.
 GRAIN = 8
 END_ID = 1
-CACHE_WORDS = 400_000
+#: Different words that a worker knows the ids of, and characters that it cuts at once.
+KNOWN_WORDS, BLOCK = 1 << 20, 1 << 20
 #: Pieces that are ranked in one window, about.
 RANKED_ROWS = 500
 
-# Texts of these characters only are cut in words here; NFC leaves them alone and lower-casing is one to one.
+# Texts of these characters only are cut in words here; NFC leaves them alone, and in lower case, one to one, they are Latin-1.
 _PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*").fullmatch
-# The pre-tokenizer's pattern in that alphabet, after lower-casing.
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+").findall
 _SPECIAL = ("<|startoftext|>", "<|endoftext|>")
+_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
+_KINDS = np.array([_SPACE if c in b"\t\n\r " else _LETTER if chr(c).isalpha() and c not in (0xAA, 0xB5, 0xBA) else _DIGIT if 48 <= c < 58 else _OTHER for c in range(256)], np.uint8)
+_ENDINGS = {1: tuple(b"stmd"), 2: (b"re", b"ve", b"ll")}
+
+
+def cut_words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the pre-tokenizer's words in lower-cased Latin-1 text that ends with white space.
+
+    A word is a run of letters, a digit, or a run of other marks; but an apostrophe that begins such a
+    run and is followed at once by one of the endings s, t, m, d, re, ve, ll is a word together with it.
+    """
+    kind = _KINDS[codes]
+    begins = np.empty(codes.size, bool)
+    begins[:1] = True
+    begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    marks = np.nonzero((codes[:-2] == 39) & begins[:-2] & (kind[1:-1] == _LETTER))[0]
+    if marks.size:
+        one, two = codes[marks + 1], codes[marks + 2]
+        length = np.select([np.isin(one, _ENDINGS[1]), np.any([(one == a) & (two == b) for a, b in _ENDINGS[2]], axis=0)], [1, 2], 0)
+        marks, length = marks[length > 0], length[length > 0]
+        begins[marks + 1] = False
+        begins[marks + 1 + length] = True
+    places = np.nonzero(begins)[0]
+    ends = np.append(places[1:], codes.size)
+    words = kind[places] != _SPACE
+    return places[words], ends[words]
+
+
+class WordHashes:
+    """64-bit hashes of words: random values of their bytes in a polynomial over an odd random base, whose prefix sums give any word at once."""
+
+    def __init__(self, most: int):
+        rng = np.random.default_rng(2048)
+        self.value = rng.integers(1, 1 << 63, 256, np.uint64)
+        base = int(rng.integers(1 << 62, 1 << 63)) | 1
+        self.power = np.cumprod(np.r_[np.uint64(1), np.full(most, base, np.uint64)])
+        self.back = np.cumprod(np.r_[np.uint64(1), np.full(most, pow(base, -1, 1 << 64), np.uint64)])
+
+    def __call__(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        total = np.zeros(codes.size + 1, np.uint64)
+        np.cumsum(self.value[codes] * self.power[: codes.size], out=total[1:])
+        found = (total[ends] - total[starts]) * self.back[starts]
+        found = (found ^ (found >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        for k in np.nonzero(ends - starts > 64)[0]:  # a polynomial is weak on long words
+            found[k] = xxhash.xxh64_intdigest(codes[starts[k] : ends[k]].tobytes())
+        return np.maximum(found, 1)
+
+
+class KnownWords:
+    """Ids of words by their hashes, in an open table of numpy arrays. Emptied when it is full."""
+
+    def __init__(self, most: int = KNOWN_WORDS):
+        self.most, self.bits = most, (2 * most - 1).bit_length()
+        self.clear()
+
+    def clear(self) -> None:
+        self.key, self.number = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        self.ids, self.start, self.size, self.count, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0, 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash's word, -1 where it isn't known."""
+        out, slot, left = np.full(hashes.size, -1, np.int64), (hashes >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(hashes.size)
+        while left.size:
+            key = self.key[slot[left]]
+            same = key == hashes[left]
+            out[left[same]] = self.number[slot[left[same]]]
+            left = left[~same & (key != 0)]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, hashes: np.ndarray, ids: list[bytes]) -> None:
+        """New words, each hash once."""
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        count, used = self.count + len(ids), self.used + flat.size
+        for name, least in (("ids", used), ("start", count), ("size", count)):
+            held = getattr(self, name)
+            if held.size < least:
+                setattr(self, name, np.resize(held, 2 * least))
+        self.ids[self.used : used] = flat
+        self.size[self.count : count] = sizes
+        self.start[self.count : count] = self.used + np.cumsum(sizes) - sizes
+        numbers, slot, left = np.arange(self.count, count, dtype=np.int32), (hashes >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(hashes.size)
+        while left.size:
+            free = left[self.key[slot[left]] == 0]
+            self.key[slot[free]] = hashes[free]  # of several in one slot the last stays
+            mine = self.key[slot[left]] == hashes[left]
+            self.number[slot[left[mine]]] = numbers[left[mine]]
+            left = left[~mine]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+        self.count, self.used = count, used
+
+    def ids_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after another, and where each word's end."""
+        sizes = self.size[numbers]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(self.start[numbers] - (ends - sizes), sizes) + np.arange(ends[-1] if ends.size else 0)], ends
 
 
 class WordTokenizer:
-    """word_bpe_49k.json by the tokenizers library, each different word encoded once."""
+    """word_bpe_49k.json by the tokenizers library, which sees each different word once."""
 
     def __init__(self, path: str):
         import os
@@ -47,8 +144,7 @@ class WordTokenizer:
         vocabulary = self.library.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.hashes, self.known = WordHashes(2 * BLOCK), KnownWords()
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of pre-tokenizer words. Many are encoded as one text; each ends with the only id that ends a word."""
@@ -69,26 +165,65 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of texts as little-endian unsigned 32-bit integers."""
-        split: list[list[str] | None] = [_WORDS(x.lower()) if _PLAIN(x) and not any(s in x for s in _SPECIAL) else None for x in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache, self.older = {}, self.cache
-        cache, older = self.cache, self.older
-        new = set().union(*(x for x in split if x)) - cache.keys()
-        again = new & older.keys()
-        cache.update((x, older[x]) for x in again)
-        new = list(new - again)
-        cache.update(zip(new, self._encode_words(new), strict=True))
-        return [self._encode_by_space(text) if words is None else b"".join(map(cache.__getitem__, words)) for text, words in zip(texts, split, strict=True)]
+        out, parts = [b""] * len(texts), []
+        for k, text in enumerate(texts):
+            if _PLAIN(text) and not any(s in text for s in _SPECIAL):
+                parts += [(k, x) for x in self._blocks(text)]
+            else:
+                out[k] = self._encode_by_space(text)
+        block, size = [], 0
+        for part in [*parts, None]:
+            if block and (part is None or size + len(part[1]) > BLOCK):
+                for (k, _), ids in zip(block, self._encode_block([x for _, x in block]), strict=True):
+                    out[k] += ids
+                block, size = [], 0
+            if part:
+                block.append(part)
+                size += len(part[1]) + 1
+        return out
+
+    def _blocks(self, text: str) -> list[str]:
+        """A plain text in parts of at most BLOCK characters, cut at white space; a longer word is a part of its own."""
+        if len(text) <= BLOCK:
+            return [text]
+        parts, at = [], 0
+        for word in re.finditer(r"\s+", text):
+            if word.end() - at > BLOCK // 2:
+                parts.append(text[at : word.end()])
+                at = word.end()
+        return [*parts, text[at:]]
+
+    def _encode_block(self, texts: list[str]) -> list[bytes]:
+        """Ids of plain texts: words are cut, hashed and looked up for all at once."""
+        if sum(map(len, texts)) + len(texts) > 2 * BLOCK:
+            return list(map(self._encode_whole, texts))
+        codes = np.frombuffer(("\n".join(texts) + "\n").lower().encode("latin-1"), np.uint8)
+        starts, ends = cut_words(codes)
+        hashes = self.hashes(codes, starts, ends)
+        numbers = self.known.find(hashes)
+        if (numbers < 0).any():
+            late = np.nonzero(numbers < 0)[0]
+            new, first = np.unique(hashes[late], return_index=True)
+            if self.known.count + new.size > self.known.most:
+                self.known.clear()
+                late = np.arange(hashes.size)
+                new, first = np.unique(hashes, return_index=True)
+            words = [codes[a:b].tobytes().decode("latin-1") for a, b in zip(starts[late[first]].tolist(), ends[late[first]].tolist(), strict=True)]
+            self.known.add(new, self._encode_words(words))
+            numbers[late] = self.known.find(hashes[late])
+        ids, upto = self.known.ids_of(numbers)
+        limits = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in texts]))
+        flat, at = ids.astype("<u4").tobytes(), np.append(0, upto)[limits] * 4
+        return [flat[a:b] for a, b in zip([0, *at[:-1].tolist()], at.tolist(), strict=True)]
 
     def _encode_by_space(self, text: str) -> bytes:
-        """Any text. No word of the pre-tokenizer crosses a space or line feed, so parts between them are encoded once each."""
+        """Any text. No word of the pre-tokenizer crosses a space or line feed, so different parts between them are encoded once each."""
         if any(s in text for s in _SPECIAL):
             return self._encode_whole(text)
         parts = text.replace("\n", " ").split(" ")
-        # The mark keeps these keys apart from lower-cased words.
-        new = [x for x in set(parts) if "\n" + x not in self.cache]
-        self.cache.update(("\n" + x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True))
-        return b"".join([self.cache["\n" + x] for x in parts])
+        once = list(set(parts))
+        found = dict(zip(once, (np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(once, add_special_tokens=False)), strict=True))
+        return b"".join([found[x] for x in parts])
 
 
 _loaded: dict[str, WordTokenizer] = {}

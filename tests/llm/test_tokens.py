@@ -55,6 +55,29 @@ def test_words_are_the_librarys(x):
     assert np.frombuffer(model.encode([x])[0], "<u4").tolist() == model.library.encode(x, add_special_tokens=False).ids
 
 
+plain = st.lists(st.sampled_from([*"aesrtvlmdDLÉß09.,'!-#\n\t ", "'s", "'ll", "'re ", "''", " ", "word "]), max_size=60).map("".join)
+
+
+@given(st.lists(plain, max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_plain_texts_are_the_librarys(xs):
+    model = packing.load(WORDS)
+    assert [np.frombuffer(x, "<u4").tolist() for x in model.encode(xs)] == [model.library.encode(x, add_special_tokens=False).ids for x in xs]
+
+
+def test_long_texts_and_full_tables(monkeypatch):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("aeiourstlnm'") for _ in range(r.randint(1, 9)))
+    texts = [" ".join(word() for _ in range(4000)) for _ in range(4)] + ["ab" * 3000 + " " + "ab" * 2999, "", "x" * 9000]
+    model = packing.WordTokenizer(WORDS)
+    want = [model._encode_whole(x) for x in texts]
+    assert model.encode(texts) == want
+    monkeypatch.setattr(packing, "BLOCK", 2000)  # the long word is longer than two blocks
+    assert model.encode(texts) == want
+    model.known = packing.KnownWords(1500)  # emptied again and again
+    assert model.encode(texts) == want and model.known.count <= 1500
+
+
 def test_every_id_is_packed_once(edges, edge_rows, nothing):
     library = Tokenizer.from_file(WORDS)
     rows = packing.pack_documents(edges, WORDS, with_ids=True, most=256).collect()
