@@ -25,7 +25,7 @@ SEQUENCE_TOKENS = 2048
 GRAIN = 8
 END_ID = 1
 #: Different words that a worker knows the ids of, and characters that it cuts at once.
-KNOWN_WORDS, BLOCK = 1 << 20, 1 << 20
+KNOWN_WORDS, BLOCK = 1 << 19, 1 << 18
 #: Pieces that are ranked in one window, about.
 RANKED_ROWS = 500
 

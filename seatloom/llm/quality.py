@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, map_arrow, slices
+from .common import column, give_back, map_arrow, slices
 from .learning import class_weights, fit_sigmoid, held_out_column, labelled_sample, sigmoid
 
 #: The bound of the sample that is learned from: rows of each class.
@@ -26,6 +26,8 @@ HELD_OUT = (5, 0)
 THRESHOLD = 0.3
 #: An n-gram is a feature if so many documents of the sample have it.
 LEAST_DOCUMENTS = 3
+#: Tokens whose hashes a worker keeps.
+KNOWN_TOKENS = 100_000
 
 _TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+").findall
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -34,7 +36,7 @@ _known: dict[str, int] = {}
 
 def _token_hash(token: str) -> int:
     found = zlib.crc32(token.encode("utf-8", "replace"))
-    if len(_known) < 500_000:
+    if len(_known) < KNOWN_TOKENS:
         _known[token] = found
     return found
 
@@ -154,5 +156,6 @@ def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text") -> D
         for part in slices(batches):
             margins = np.array([model.margin(features(x)) for x in part.column(at).cast(pa.string()).to_pylist()])
             yield part.filter(pa.array(sigmoid(model.a * margins + model.b) >= THRESHOLD))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
