@@ -168,7 +168,8 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, total: int = TOTAL)
     languages = sorted(row.lang for row in counts)
     each = min(per_language, max(1, total // max(1, len(languages))))
     shares = spark.createDataFrame([(row.lang, min(1.0, each / row.n)) for row in counts], "lang string, share double")
-    sample = rows.join(shares, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("doc_id", "text", "lang")
+    # One row for each class of the model, which every executor holds anyway.
+    sample = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("doc_id", "text", "lang")
 
     def make():
         def run(part: pa.RecordBatch) -> dict:
