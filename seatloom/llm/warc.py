@@ -16,12 +16,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, work_path
+from .common import give_back, map_arrow, materialize, work_path
 
 RECORD_END = "\r\n\r\n"
 SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4 << 10
-RECORDS_PER_FILE = 2000
+RECORDS_PER_FILE = 1000
 REVISIT_LEAST_BYTES = 100
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -111,6 +111,7 @@ def write_archives(records: DataFrame, path: str, segment_bytes: int = SEGMENT_B
                             total = len(block) if k == len(starts) + 1 else None
                             out.append(_record("continuation", f"{name}:{k}", block[at : at + segment_bytes], WARC_Date=fields["WARC_Date"], WARC_Segment_Origin_ID=f"<{name}>", WARC_Segment_Number=k, WARC_Segment_Total_Length=total))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+        give_back()
 
     lines = records.select("page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to").mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
     lines.write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
@@ -152,6 +153,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         rows, size = [], 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds, strict=True)], names)
+                rows = block = None
+                give_back()
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path)
     return files.select("content").mapInArrow(run, RECORD_SCHEMA)
