@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: str | None = None
+_written: list[str] = []
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -20,7 +21,17 @@ def work_path(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = _own_dir = _own_dir or tempfile.mkdtemp(prefix="seatloom-")
-    return f"{base.rstrip('/')}/seatloom/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/seatloom/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def remove_work(spark: SparkSession) -> None:
+    """Delete what this process has written below work_path(). Call it once no lazy result reads it any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def once(df: DataFrame, name: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Status, ticker, changes, scalars and the stream on hand-made edge cases."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from seatloom import functions as fn
 from seatloom import schemas
 from seatloom.operators import changes, sorts, status, ticker
-from seatloom.sources import readers
+from seatloom.sources import landing, readers
 from seatloom.streaming import live, replay
 
 
@@ -49,6 +50,14 @@ def test_a_batch_that_comes_again_replaces_its_rows(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
 
 
+def test_work_can_be_removed(spark):
+    df = landing.once(spark.range(5), "numbers")
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert df.count() == 5 and os.path.exists(path)
+    landing.remove_work(spark)
+    assert not os.path.exists(path)
+
+
 def test_polling_ends_when_the_rule_holds(spark, tmp_path):
     rows = [("e", 1, "A", 10, {"p": 1}), ("e", 2, "B", 12, {"p": 2})]
     spark.createDataFrame(rows, live.SNAPSHOT).write.parquet(str(tmp_path / "in"))
