@@ -9,7 +9,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -135,29 +135,73 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 RECORD_SCHEMA = "origin string, segment int, total long, kind string, digest string, refers_to string, block binary"
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per WARC record below path, segmented or not: origin, segment, total, kind, digest, refers_to, block."""
+def decode_capture(kind: str, digest: str | None, block: bytes | None, complete: bool) -> tuple[bytes | None, int | None, str | None, bool]:
+    """(payload, payload_bytes, payload_digest, intact) of an HTTP block, as http_payloads() says."""
+    head, _, body = (block or b"").partition(b"\r\n\r\n")
+    fields = dict((k.strip().lower(), v.strip()) for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:]))
+    if kind == "revisit":
+        size = fields.get(b"content-length", b"")
+        return None, int(size) if size.isdigit() else None, digest, complete and size.isdigit()
+    try:
+        payload = dechunked(body) if fields.get(b"transfer-encoding", b"").lower() == b"chunked" else body
+    except ValueError:
+        complete = False
+    if not complete:
+        return None, None, None, False
+    found = hashlib.sha256(payload).hexdigest()
+    return payload, len(payload), found, digest in (None, found)
+
+
+def _read(spark: SparkSession, path: str, schema: str, shape: Callable[[tuple], tuple]) -> DataFrame:
+    """A row of schema for each WARC record below path, made by shape from its RECORD_SCHEMA row. A worker holds one file at a time."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    struct = spark.createDataFrame([], schema).schema
+    arrow = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
-        kinds = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), arrow, strict=True)], schema=arrow)
         for batch in batches:
             for file in batch.column(0):
                 rows, size = [], 0
                 for head, block in parse_records(gzip.decompress(file.as_py())):
                     strip = lambda k, head=head: head[k].strip("<>") if k in head else None
-                    rows.append((strip("warc-segment-origin-id") or strip("warc-record-id"), int(head["warc-segment-number"]) if "warc-segment-number" in head else None, int(head["warc-segment-total-length"]) if "warc-segment-total-length" in head else None, head["warc-type"], head.get("warc-payload-digest", "").removeprefix("sha256:") or None, strip("warc-refers-to"), block))
+                    number = lambda k, head=head: int(head[k]) if k in head else None
+                    record = (strip("warc-segment-origin-id") or strip("warc-record-id"), number("warc-segment-number"), number("warc-segment-total-length"), head["warc-type"], head.get("warc-payload-digest", "").removeprefix("sha256:") or None, strip("warc-refers-to"), block)
+                    rows.append(shape(record))
                     size += len(block)
                     if size > 4 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds, strict=True)], names)
+                        yield batch_of(rows)
                         rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds, strict=True)], names)
-                rows = block = None
+                    yield batch_of(rows)
+                rows = block = record = None
                 give_back()
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path)
-    return files.select("content").mapInArrow(run, RECORD_SCHEMA)
+    return files.select("content").mapInArrow(run, struct)
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """One row per WARC record below path, segmented or not: origin, segment, total, kind, digest, refers_to, block."""
+    return _read(spark, path, RECORD_SCHEMA, lambda record: record)
+
+
+def read_captures(spark: SparkSession, path: str) -> DataFrame:
+    """One row per capture below path: origin, kind, refers_to, payload_bytes, payload_digest, intact.
+
+    Archives are read once: records that are a whole capture are decoded as they are parsed, and only
+    segments travel with their blocks, to be reassembled.
+    """
+
+    def shape(record: tuple) -> tuple:
+        origin, segment, total, kind, digest, refers_to, block = record
+        return (*record, None, None, None) if segment is not None else (origin, None, None, kind, digest, refers_to, None, *decode_capture(kind, digest, block, True)[1:])
+
+    mixed = materialize(_read(spark, path, f"{RECORD_SCHEMA}, payload_bytes long, payload_digest string, intact boolean", shape), "records")
+    columns = ("origin", "kind", "refers_to", "payload_bytes", "payload_digest", "intact")
+    joined = http_payloads(reassemble(mixed.where("segment is not null"))).select(*columns)
+    return mixed.where("segment is null").select(*columns).unionByName(joined)
 
 
 def reassemble(records: DataFrame) -> DataFrame:
@@ -185,24 +229,9 @@ def http_payloads(blocks: DataFrame) -> DataFrame:
     SHA-256 isn't the recorded one; such a payload is null.
     """
 
-    def one(kind: str, digest: str | None, block: bytes | None, complete: bool) -> tuple:
-        head, _, body = (block or b"").partition(b"\r\n\r\n")
-        fields = dict((k.strip().lower(), v.strip()) for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:]))
-        if kind == "revisit":
-            size = fields.get(b"content-length", b"")
-            return None, int(size) if size.isdigit() else None, digest, complete and size.isdigit()
-        try:
-            payload = dechunked(body) if fields.get(b"transfer-encoding", b"").lower() == b"chunked" else body
-        except ValueError:
-            complete = False
-        if not complete:
-            return None, None, None, False
-        found = hashlib.sha256(payload).hexdigest()
-        return payload, len(payload), found, digest in (None, found)
-
     def make():
         def run(part: pa.RecordBatch) -> dict:
-            rows = [one(*row) for row in zip(*(part.column(i).to_pylist() for i in (1, 3, 4, 5)), strict=True)]
+            rows = [decode_capture(*row) for row in zip(*(part.column(i).to_pylist() for i in (1, 3, 4, 5)), strict=True)]
             names = ("payload", "payload_bytes", "payload_digest", "intact")
             return {"origin": part.column(0), "kind": part.column(1), "refers_to": part.column(2)} | dict(zip(names, map(list, zip(*rows)), strict=True))
 
@@ -237,5 +266,5 @@ def roundtrip(pages: DataFrame) -> DataFrame:
     write_archives(page_records(pages), path)
     number = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)", 1)
     cast = lambda c: F.when(number(c) != "", number(c).cast("long"))
-    read = http_payloads(reassemble(read_archives(spark, path)))
+    read = read_captures(spark, path)
     return resolve_revisits(materialize(read.select(cast("origin").alias("page_id"), "kind", cast("refers_to").alias("refers_to"), "payload_bytes", "payload_digest", "intact"), "captures"))
