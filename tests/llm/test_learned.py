@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -67,6 +68,40 @@ def test_language(tables, edges, nothing):
     assert {r.lang_pred for r in language.predict(edges, language.learn(nothing)).collect()} == {"und"}
 
 
+def plain_features(text):
+    tokens = re.findall(r"[^\W\d_]+|\d+|[^\w\s]+|_+", text or "")
+    h = [zlib.crc32(t.encode()) for t in tokens]
+    mix = 0x9E3779B97F4A7C15
+    return {*h, *(((a * mix + b) * mix) % 2**64 for a, b in zip(h, h[1:]))}
+
+
+def test_quality_score_by_its_parts():
+    """Features, class log-count ratios, unit vectors, margin and score against plain versions."""
+    rng = random.Random(12)
+    good, bad = "the a of fine prose reads well , and so on .".split(), "buy $$$ now !!! 100 cheap click_here the a".split()
+    texts = [" ".join(rng.choice(good if k % 2 else bad) for _ in range(rng.randint(3, 30))) for k in range(60)] + ["", "Ünï_9 ,, x"]
+    label = np.array([k % 2 for k in range(60)] + [0, 1])
+    for t in (*texts, None):
+        found = quality.features(t)
+        assert set(found.tolist()) == plain_features(t) and (np.diff(found.astype(object)) > 0).all()
+    model = quality.fit([quality.features(t) for t in texts], label, {0: 31, 1: 31})
+    train = [(plain_features(t), y) for k, (t, y) in enumerate(zip(texts, label)) if k % 5 != 4]
+    seen = collections.Counter(x for f, _ in train for x in f)
+    kept = sorted(x for x, n in seen.items() if n >= quality.LEAST_DOCUMENTS)
+    assert model.ids.tolist() == kept
+    tally = {y: {x: 1 + sum(x in f for f, z in train if z == y) for x in kept} for y in (0, 1)}
+    ratio = {x: math.log(tally[1][x] / sum(tally[1].values())) - math.log(tally[0][x] / sum(tally[0].values())) for x in kept}
+    assert np.allclose(model.ratio, [ratio[x] for x in kept])
+    weight = dict(zip(kept, model.weight))
+    for t in texts:
+        own = [x for x in plain_features(t) if x in ratio]
+        length = math.sqrt(sum(ratio[x] ** 2 for x in own)) or 1.0
+        margin = sum(weight[x] * ratio[x] / length for x in own) + model.weight[-1]
+        assert abs(model.margin(quality.features(t)) - margin) < 1e-9
+    scores = learning.sigmoid(model.a * np.array([model.margin(quality.features(t)) for t in texts[:60]]) + model.b)
+    assert ((scores >= 0.5) == (label[:60] == 1)).mean() > 0.9
+
+
 def test_ngrams_by_definition():
     for x in ("", "a", "Ab cd!", "12 é\n\tß日本", "İx", None):
         plain = " " + "".join(c if c.isalpha() else " " for c in (x or "").lower()) + " "
