@@ -321,6 +321,15 @@ def remote_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+@query("""WITH s AS (SELECT user_id % 20 AS election, event_type AS version, epoch_us(ts) AS t, CASE WHEN event_id % 4 <> 0 THEN event_id END AS body FROM events WHERE ts <= TIMESTAMP '2024-01-20 12:00:00'), w AS (SELECT * FROM s WHERE body IS NOT NULL),
+n AS (SELECT election, version, arg_max(body, (t, body)) AS body, max(t) AS t FROM w GROUP BY ALL), o AS (SELECT election, arg_max(body, (t, body)) AS stale FROM w GROUP BY election), q AS (SELECT DISTINCT user_id % 20 AS election, event_type AS version FROM events)
+SELECT q.election::VARCHAR AS election, q.version, n.body, CASE WHEN n.body IS NULL THEN 'fetch' ELSE 'cache' END AS origin, o.stale FROM q LEFT JOIN n ON n.election = q.election AND n.version = q.version AND n.t >= epoch_us(TIMESTAMP '2024-01-20 12:00:00') - 1800000000 LEFT JOIN o ON o.election = q.election""")
+def cached_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests by election and version, answered by snapshots of the last half hour; some snapshots are broken."""
+    e = inputs.user_events(spark, sf_dir).select(_text(F.col("user_id") % 20).alias("election"), F.col("event_type").alias("version"), F.col("ts").alias("snapshot_ts"), F.when(F.col("event_id") % 4 != 0, F.col("event_id")).alias("body"))
+    return readers.serve(e.select("election", "version").distinct(), e, "2024-01-20 12:00:00", 1800)
+
+
 @query(f"WITH {_N} SELECT k, name, 2::BIGINT AS version FROM b WHERE k % 2 = 0")
 def published_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What readers see after two versions of a table have been published."""

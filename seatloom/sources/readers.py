@@ -49,7 +49,7 @@ def read_map(spark: SparkSession, path: str, kind: str) -> DataFrame:
 def last_good(snapshots: DataFrame, key: str = "source") -> DataFrame:
     """Of snapshots (source, snapshot_ts, body), the newest with a body for each source: stale data rather than none."""
     whole = F.max_by(F.struct(*snapshots.columns), "snapshot_ts")
-    return snapshots.where(F.col("body").isNotNull()).groupBy(F.col(key).alias("_key")).agg(whole.alias("_row")).select("_row.*")
+    return snapshots.where(F.col("body").isNotNull()).groupBy(F.col(key).alias("_of")).agg(whole.alias("_row")).select("_row.*")
 
 
 def fresh(snapshots: DataFrame, as_of: str, ttl_seconds: int = 10) -> DataFrame:
@@ -58,6 +58,20 @@ def fresh(snapshots: DataFrame, as_of: str, ttl_seconds: int = 10) -> DataFrame:
     return snapshots.where(age.between(0, ttl_seconds * 1_000_000))
 
 
+def serve(requests: DataFrame, snapshots: DataFrame, as_of: str, ttl_seconds: int = 10) -> DataFrame:
+    """How each request (election, version) is answered from the cache of snapshots (election, version, snapshot_ts, body).
+
+    Adds body and origin: cache for a whole snapshot within the time to live, fetch without one. stale is the
+    newest whole snapshot of the election in any version, which answers if the fetch fails; null without any.
+    """
+    keyed = snapshots.where(F.unix_micros("snapshot_ts") <= F.unix_micros(F.lit(as_of).cast("timestamp")))
+    newest = last_good(keyed.withColumn("_key", F.struct("election", "version")), "_key").drop("_key")
+    hits = fresh(newest, as_of, ttl_seconds).select("election", "version", "body", F.lit("cache").alias("_origin"))
+    old = last_good(keyed, "election").select("election", F.col("body").alias("stale"))
+    rows = requests.join(hits, ["election", "version"], "left").join(old, "election", "left")
+    return rows.select("election", "version", "body", F.coalesce("_origin", F.lit("fetch")).alias("origin"), "stale")
+
+
 def party_results(documents: DataFrame, election: str | None = None) -> DataFrame:
     """Feed A's documents, one row per party (election: given, or the documents' own column): election, pos, party, {current,previous,diff}_{votes,percentage,seats}, updated, status."""
     key = F.lit(election) if election is not None or "election" not in documents.columns else F.col("election")
