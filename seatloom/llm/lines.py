@@ -33,14 +33,15 @@ def _found_lines(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)))
 
 
-def line_sequences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_sequences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, h1, h2, words, n, lines): each document's lines that have a word, n of them, as (i, a, b, w).
 
-    i: place among all lines; a, b: 128 bits of XXH64 of the line without outer white space; w: words.
-    h1, h2: the same of the whole text, which with the id names a document.
+    i: place among all lines; a, b: 128 bits of XXH64 of the line without outer white space; w: words, of
+    which no more than min_words + 1 are told apart, since a line of min_words is a run by itself; words:
+    their sum. h1, h2: the same of the whole text as a, b, which with the id names a document.
     """
     rows = df.select(df[id_col].cast("long").alias("doc"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
-    line = lambda x, i: F.struct(i.cast("int").alias("i"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), F.size(F.split(x, r"[\x20\x09-\x0D]+")).alias("w"), (x == "").alias("blank"))
+    line = lambda x, i: F.struct(i.cast("int").alias("i"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), F.size(F.split(x, r"[\x20\x09-\x0D]+", min_words + 1)).alias("w"), (x == "").alias("blank"))
     found = F.transform(_found_lines(F.col("text")), line)
     rows = rows.select("doc", *_hashes(F.col("text")), F.filter(found, lambda x: ~x["blank"]).alias("lines"))
     rows = rows.withColumn("lines", F.transform("lines", lambda x: F.struct(x["i"].alias("i"), x["a"].alias("a"), x["b"].alias("b"), x["w"].alias("w"))))
@@ -156,7 +157,7 @@ def cuts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_word
 
     deleted is null for a whole copy of an earlier document, which loses all.
     """
-    sequences = materialize(line_sequences(df, id_col, text_col), "sequences")
+    sequences = materialize(line_sequences(df, id_col, text_col, min_words), "sequences")
     order = F.struct(F.col("doc").isNull().alias("none"), "doc")
     firsts = materialize(sequences.groupBy("h1", "h2").agg(F.min(order).alias("p"), F.count("*").alias("rows"), F.max("words").alias("words"), F.first("lines").alias("lines")).select("p.doc", "h1", "h2", "rows", "words", "lines"), "originals")
     copied = firsts.where((F.col("rows") > 1) & (F.col("words") >= min_words)).select(F.col("doc").alias("o"), F.col("h1").alias("o1"), F.col("h2").alias("o2"), "rows")
