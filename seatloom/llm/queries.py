@@ -1,4 +1,4 @@
-"""The queries op1 to op10: each operator over its whole table, and SQL for those that SQL can express."""
+"""The queries op1 to op13: each operator over its whole table, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, lines, media, packing, pieces, quality, rules, simhash, toxicity, warc
+from . import bytepairs, language, lines, media, negatives, packing, phrases, pieces, quality, rules, simhash, toxicity, warc
 from .common import documents
 
 #: Vocabulary files of the public tokenizers; the same paths on the driver and the executors.
 WORD_VOCABULARY, PIECE_MODEL = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +73,26 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_deleted", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_warc_segments, op4_media_columns, op5_quality, op6_simhash, op7_packing, op8_language, op9_sentencepiece, op10_line_dedup)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first phrases of each language in all documents."""
+    return phrases.collocations(documents(spark, sf_dir))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts encoded and decoded."""
+    return bytepairs.encode_texts(documents(spark, sf_dir), BYTE_RANKS, digests=True)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every row whose id is divisible by 50, sought among all rows."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("x")).where(F.forall("x", number))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.select("vec_id", label.alias("label"), F.transform("x", lambda x: F.floor(x * 256)).alias("vector")), F.col("vec_id") % 50 == 0)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_warc_segments, op4_media_columns, op5_quality, op6_simhash, op7_packing, op8_language, op9_sentencepiece, op10_line_dedup, op11_collocations, op12_byte_bpe, op13_hard_negatives)}
 
 OP3 = """
 WITH p AS (
@@ -147,4 +167,39 @@ SELECT documents.doc_id, n_lines, n_deleted, CASE WHEN n_deleted = 0 THEN text W
 FROM documents JOIN r USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": _op1(), "op3_warc_segments": OP3, "op10_line_dedup": OP10}
+OP11 = """
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM d, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS u(piece)),
+n AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM p GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+      FROM p, generate_series(1, 5) AS s(k), unnest(generate_series(1, len(w) - k + 1)) AS v(i) GROUP BY ALL),
+c AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM g WHERE f >= 100 AND k > 1),
+x AS (SELECT * FROM c WHERE NOT EXISTS (
+  SELECT 1 FROM c AS longer WHERE longer.lang = c.lang AND longer.k > c.k AND 100 * longer.f >= 100 * c.f AND contains(' ' || longer.phrase || ' ', ' ' || c.phrase || ' '))),
+y AS (SELECT x.lang, x.phrase, x.f AS a, j, l.f AS l, r.f AS r, n.n, 1000::HUGEINT * x.f * n.n // (l.f::HUGEINT * r.f) AS score
+      FROM x, unnest(generate_series(1, x.k - 1)) AS u(j)
+      JOIN g AS l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[1:j], ' ')
+      JOIN g AS r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[j + 1:], ' ')
+      JOIN n ON n.lang = x.lang),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS cut FROM y),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z WHERE cut = 1)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM o WHERE rank <= 2000
+"""
+
+OP13 = """
+WITH v AS (
+  SELECT vec_id::BIGINT AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT AS score FROM v AS a, v AS b WHERE a.id % 50 = 0
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same AND id <> anchor_id
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id)
+QUALIFY row_number() OVER w <= 3
+"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": _op1(), "op3_warc_segments": OP3, "op10_line_dedup": OP10, "op11_collocations": OP11, "op13_hard_negatives": OP13}
