@@ -90,7 +90,7 @@ def test_long_texts_are_counted_block_by_block(k):
 
 def test_tasks_that_pass_counts_on_early(spark):
     df = spark.createDataFrame(phrase_rows()[:60], "lang string, text string").na.fill("", ["lang", "text"]).repartition(2)
-    counts = [{tuple(x.key): x.f for x in phrases.count_grams(df, 3, all_pass(), most).collect()} for most in (5, phrases.HELD)]
+    counts = [{tuple(x.key): x.f for x in phrases.count_grams(df, 3, all_pass(), 1, most).collect()} for most in (5, phrases.HELD)]
     assert counts[0] == counts[1] and len(counts[0]) > 100
 
 
