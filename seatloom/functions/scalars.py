@@ -21,8 +21,14 @@ def parse_int(x: Column | str) -> Column:
 
 
 def number_or_zero(x: Column | str) -> Column:
-    """The whole text as a number, else 0."""
-    return F.coalesce(col(x).cast("string").try_cast("double"), F.lit(0.0))
+    """The whole text as a number, else 0: decimal with a sign and an exponent or without, Infinity, or whole in base 16, 8 or 2 (0x, 0o, 0b; up to 64 bits). White space around it doesn't count."""
+    text = F.regexp_replace(col(x).cast("string"), r"^[\s\u00A0\uFEFF]+|[\s\u00A0\uFEFF]+$", "")
+    based = F.when(F.lit(False), 0.0)
+    for mark, base, digits in (("x", 16, "0-9a-f"), ("o", 8, "0-7"), ("b", 2, "01")):
+        based = based.when(text.rlike(f"^(?i)0{mark}[{digits}]+$"), F.conv(F.substring(text, 3, 1 << 20), base, 10).try_cast("double"))
+    endless = F.when(text.startswith("-"), float("-inf")).otherwise(float("inf"))
+    number = based.when(text.rlike(r"^[+-]?Infinity$"), endless).when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast("double"))
+    return F.coalesce(number, F.lit(0.0))
 
 
 def parse_decimal_comma(x: Column | str) -> Column:
@@ -88,8 +94,10 @@ def blank_zero(x: Column | str) -> Column:
 # Formatting
 
 
-def format_int_nl(x: Column | str) -> Column:
-    return F.translate(F.format_number(col(x), 0), ",", ".")
+def format_number_nl(x: Column | str) -> Column:
+    """A number with points between thousands and, after a comma, up to three decimals."""
+    text = F.format_number(F.round(col(x), 3), 3)
+    return F.translate(F.regexp_replace(text, r"\.?0+$", ""), ",.", ".,")
 
 
 def format_fixed_nl(x: Column | str, digits: int = 1) -> Column:
@@ -182,8 +190,11 @@ def status_class(x: Column | str) -> Column:
 
 
 def natural_key(x: Column | str) -> list[Column]:
-    """Sort keys that order texts by what precedes their first number, then by that number, then by the whole."""
-    return [F.regexp_extract(col(x), r"^\D*", 0), F.regexp_extract(col(x), r"\d+", 0).try_cast("bigint"), col(x)]
+    """Sort keys that order texts by locale with numbers by their value: each run of digits is led by its length, letters are in the order of Unicode's root collation (case and accents only settle ties)."""
+    digits = lambda run: F.regexp_replace(run, "^0+(?=[0-9])", "")
+    runs = F.regexp_extract_all(col(x), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+    keyed = F.transform(runs, lambda run: F.when(run.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits(run)).cast("string"), 9, "0"), digits(run))).otherwise(run))
+    return [F.collate(F.array_join(keyed, ""), "UNICODE")]
 
 
 def content_tag(*columns: Column | str) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from ..sources.landing import once
+
 HOUSE = 150
 
 
@@ -66,6 +68,59 @@ def allocate(df: DataFrame, by: list[str], house: int = HOUSE, least_full: int =
     return seats.withColumn("seats", F.col("full_seats") + F.col("rest_seats"))
 
 
+#: Prices that are tried at once for each election.
+PROBES = 63
+
+
+def _priced(price: Column) -> Column:
+    """Seats that a party wins at a price: those whose rounded average is the price or more, remainder at most; all of them at price 0."""
+    number = F.floor(F.lit(2).cast("decimal(20,0)") * F.col("votes") / F.greatest(F.lit(1), 2 * price - 1)).cast("bigint")
+    return F.when(price <= 0, F.col("remainder")).otherwise(F.least(F.col("remainder"), F.greatest(F.lit(0).cast("bigint"), number - F.col("full_seats"))))
+
+
+def remainder_by_price(seats: DataFrame, by: list[str], least_full: int = 1) -> DataFrame:
+    """Remainder seats without listing averages: by, party, rest_seats, last (is the election's last award its?).
+
+    The same awards as awards(), for houses and ballots of any size. How many averages reach a price falls
+    as the price rises, so the price of the last award is searched: each pass counts the awards at PROBES
+    prices between the bounds of each election and keeps the bounds between which the remainder lies.
+    The number of passes is the logarithm of the votes. What is left at that very price goes to the
+    parties by position; only those with an average of just that price are ranked.
+    """
+    key = [*by, "_all"]
+    rows = seats.where((F.col("full_seats") >= least_full) & (F.col("remainder") > 0)).withColumn("_all", F.lit(1))
+    rows = once(rows.select(*key, "party", "pos", "votes", "full_seats", "remainder"), "eligible")
+    best = F.floor(F.col("votes") / (F.col("full_seats") + 1) + 0.5).cast("bigint")
+    state = rows.groupBy(*key).agg(F.lit(0).cast("bigint").alias("low"), (F.max(best) + 1).alias("high"), F.max("remainder").alias("wanted"))
+    while True:
+        state = once(state, "prices")
+        if state.where("high - low > 1").isEmpty():
+            break
+        tried = state.where("high - low > 1").withColumn("price", F.explode(F.expr(f"array_distinct(transform(sequence(1, {PROBES}), j -> low + greatest(1, (high - low) * j div {PROBES + 1})))")))
+        counts = rows.join(tried.select(*key, "price"), key).groupBy(*key, "price").agg(F.sum(_priced(F.col("price"))).alias("won"))
+        bounds = counts.join(state.select(*key, "wanted"), key).groupBy(*key).agg(F.max(F.when(F.col("won") >= F.col("wanted"), F.col("price"))).alias("up"), F.min(F.when(F.col("won") < F.col("wanted"), F.col("price"))).alias("down"))
+        state = state.join(bounds, key, "left").select(*key, F.coalesce("up", "low").alias("low"), F.coalesce("down", "high").alias("high"), "wanted")
+    priced = rows.join(state.select(*key, F.col("low").alias("price"), "wanted"), key)
+    priced = priced.withColumn("above", _priced(F.col("price") + 1)).withColumn("at", _priced(F.col("price")) - F.col("above"))
+    sums = priced.groupBy(*key).agg(F.sum("above").alias("_sure"))
+    priced = priced.join(sums, key).withColumn("left", F.col("wanted") - F.col("_sure"))
+    tied = priced.where("at > 0")
+    before = F.coalesce(F.sum("at").over(Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tied = tied.withColumn("before", before).withColumn("extra", F.greatest(F.lit(0).cast("bigint"), F.least(F.col("at"), F.col("left") - F.col("before"))))
+    tied = tied.withColumn("last", (F.col("before") < F.col("left")) & (F.col("before") + F.col("at") >= F.col("left")))
+    sure = priced.where("at = 0").withColumns({"extra": F.lit(0).cast("bigint"), "last": F.lit(False)})
+    both = sure.select(*key, "party", "above", "extra", "last").unionByName(tied.select(*key, "party", "above", "extra", "last"))
+    return both.select(*by, "party", (F.col("above") + F.col("extra")).cast("bigint").alias("rest_seats"), "last").where("rest_seats > 0")
+
+
+def allocate_by_price(df: DataFrame, by: list[str], house: int = HOUSE, least_full: int = 1, exact: bool = False) -> DataFrame:
+    """allocate() by remainder_by_price(): full_seats() with rest_seats, seats and last, which marks the party of the last award."""
+    seats = full_seats(df, by, house, exact)
+    won = remainder_by_price(seats, by, least_full)
+    seats = seats.join(won, [*by, "party"], "left").withColumns({"rest_seats": F.coalesce("rest_seats", F.lit(0)).cast("bigint"), "last": F.coalesce("last", F.lit(False))})
+    return seats.withColumn("seats", F.col("full_seats") + F.col("rest_seats"))
+
+
 def average_matrix(seats: DataFrame, by: list[str], least_full: int = 1) -> DataFrame:
     """by, party, round, average (not rounded), won: each eligible party's average in each round, with the seats won before it."""
     rounds = seats.where((F.col("full_seats") >= least_full) & (F.col("remainder") > 0)).withColumn("round", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("remainder"))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import blank_zero, format_int_nl
+from ..functions import blank_zero, format_number_nl
 from .allocate import HOUSE, per
 
 RESIDUAL = "OVERIG"
@@ -69,7 +69,7 @@ def margin_pair(margin_rows: DataFrame, by: list[str]) -> DataFrame:
 
 def margin_text(pair: DataFrame) -> DataFrame:
     """Add text: one sentence about the pair; a placeholder where no seat was awarded."""
-    text = F.format_string("%s houdt de laatste restzetel (%s over); %s komt %s stemmen tekort", F.col("winner"), format_int_nl("surplus"), F.col("loser"), format_int_nl("short"))
+    text = F.format_string("%s houdt de laatste restzetel (%s over); %s komt %s stemmen tekort", F.col("winner"), format_number_nl("surplus"), F.col("loser"), format_number_nl("short"))
     return pair.withColumn("text", F.when(F.col("winner").isNull(), "-").otherwise(text))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import falsy_text, format_change, format_int_nl, format_permille, quota_parts
+from ..functions import falsy_text, format_change, format_number_nl, format_permille, quota_parts
 from ..sources.readers import last_per_key
 from .allocate import HOUSE
 
@@ -70,7 +70,7 @@ def default_vote_column(official: Column, b: Column, a: Column) -> Column:
 
 def with_votes_total(rows: DataFrame, label: str) -> DataFrame:
     """side_by_side() and its total row as shown: texts, an empty one for no votes of a source; is_total marks the total."""
-    shown = lambda c: F.when(F.col(c) == 0, "").otherwise(format_int_nl(c)).alias(c)
+    shown = lambda c: F.when(F.col(c) == 0, "").otherwise(format_number_nl(c)).alias(c)
     own = rows.select("list_number", "label", shown("votes"), shown("votes_b"), shown("votes_official"), F.lit(0).alias("is_total"))
     total = votes_total(rows).select(F.lit(None).cast("bigint").alias("list_number"), F.lit(label).alias("label"), shown("votes"), shown("votes_b"), shown("votes_official"), F.lit(1).alias("is_total"))
     return own.unionByName(total)
@@ -87,8 +87,9 @@ def side_by_side(parties: DataFrame, feed_b: DataFrame, official: DataFrame, lab
 
 
 def sort_change(now: Column, before: Column) -> Column:
-    """The sort key of a change: against the present votes, where the shown value is against the previous ones."""
-    return F.coalesce(F.try_divide((F.coalesce(now, F.lit(0)) - F.coalesce(before, F.lit(0))).cast("double") * 100, F.coalesce(now, F.lit(0)).cast("double")), F.lit(0.0))
+    """The sort key of a change: percent of the present votes, where the shown value is of the previous ones, to one decimal; a party without votes comes lowest."""
+    now, before = F.coalesce(now, F.lit(0)), F.coalesce(before, F.lit(0))
+    return F.when(now == 0, float("-inf")).otherwise(F.round(F.try_divide((now - before).cast("double"), now.cast("double")) * 100, 1))
 
 
 def blank_at_zero(shown: Column, value: Column, zero_stand: Column) -> Column:

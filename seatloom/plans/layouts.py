@@ -220,7 +220,7 @@ SELECT party, seats, row_number() OVER (ORDER BY is_total, seats DESC, pos) AS b
 def table_sorts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The seat table sorted by seats, by votes to spare as they are shown, and by party; the total stays last."""
     rows = margins.margins(al.allocate(inputs.brand_votes(spark, sf_dir), [], house=25), [], house=25)
-    rows = margins.with_total(margins.seat_rows(rows, []), []).withColumn("shown", F.coalesce(fn.format_int_nl("surplus"), F.lit("")))
+    rows = margins.with_total(margins.seat_rows(rows, []), []).withColumn("shown", F.coalesce(fn.format_number_nl("surplus"), F.lit("")))
     for name, column, ascending, kind in (("by_seats", "seats", False, "number"), ("by_surplus", "shown", True, "shown"), ("by_party", "party", False, "plain")):
         rows = sorts.place(rows, [], *sorts.order_keys(column, ascending, kind, "is_total"), name=name)
     return sorts.table_order(rows, F.col("by_seats")).select("party", "seats", "by_seats", "by_surplus", "by_party")
@@ -237,7 +237,7 @@ def matrix_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SIDES = """p AS (SELECT p_brand AS party, sum(CASE WHEN year(l_shipdate) = 1997 THEN l_quantity ELSE 0 END)::BIGINT AS votes, sum(CASE WHEN year(l_shipdate) = 1996 THEN l_quantity ELSE 0 END)::BIGINT AS previous,
   sum(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END)::BIGINT AS vb, sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END)::BIGINT AS vo FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand),
 n AS (SELECT *, replace(party, 'Brand#', '')::INT AS k, row_number() OVER (ORDER BY party) AS pos FROM p),
-s AS (SELECT CASE WHEN k % 4 <> 0 THEN k ELSE pos END::BIGINT AS list_number, pos, party, CASE WHEN k % 4 <> 0 THEN 'Brand ' || k ELSE '' END AS label, votes, CASE WHEN k % 4 <> 0 AND k % 3 <> 0 THEN vb ELSE 0 END AS votes_b, CASE WHEN k % 4 <> 0 THEN vo ELSE 0 END AS votes_official, votes - previous AS difference, CASE WHEN votes = 0 THEN 0 ELSE (votes - previous)::DOUBLE * 100 / votes END AS change_key FROM n)"""
+s AS (SELECT CASE WHEN k % 4 <> 0 THEN k ELSE pos END::BIGINT AS list_number, pos, party, CASE WHEN k % 4 <> 0 THEN 'Brand ' || k ELSE '' END AS label, votes, CASE WHEN k % 4 <> 0 AND k % 3 <> 0 THEN vb ELSE 0 END AS votes_b, CASE WHEN k % 4 <> 0 THEN vo ELSE 0 END AS votes_official, votes - previous AS difference, CASE WHEN votes = 0 THEN '-Infinity'::DOUBLE ELSE round((votes - previous)::DOUBLE / votes * 100, 1) END AS change_key FROM n)"""
 _VOTE_KEYS = (("lijst", "list_number", "number"), ("key", "label", "text"), ("votes", "votes", "number"), ("nos_votes", "votes_b", "number"), ("official_votes", "votes_official", "number"), ("percentage", "share", "text"), ("vote_diff", "difference", "number"), ("percentage_diff", "change_key", "number"))
 
 

@@ -89,6 +89,23 @@ def alloc_per_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return al.allocate(inputs.year_nation_votes(spark, sf_dir), ["election"], house=25).select("election", *_SEATS)
 
 
+@query(_alloc_sql(_YEARS, 25, "e::INT AS election, " + ", ".join(_SEATS) + ", coalesce(last_round = remainder, false) AS last"))
+def alloc_by_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remainder seats by a search of the last award's average, without a list of averages."""
+    return al.allocate_by_price(inputs.year_nation_votes(spark, sf_dir), ["election"], house=25).select("election", *_SEATS, "last")
+
+
+@query("""WITH v AS (SELECT year(o_orderdate) AS election, o_custkey AS party, 1000 * sum(o_orderkey % 10007 + 1)::BIGINT AS votes FROM orders GROUP BY ALL), t AS (SELECT election, sum(votes)::BIGINT AS total FROM v GROUP BY election),
+f AS (SELECT v.*, floor(votes / (total / 20000::DOUBLE))::BIGINT AS full_seats FROM v JOIN t USING (election)), r AS (SELECT election, 20000 - sum(full_seats)::BIGINT AS remainder FROM f GROUP BY election),
+x AS (SELECT election, party, remainder, row_number() OVER (PARTITION BY election ORDER BY floor(votes / (full_seats + k)::DOUBLE + 0.5) DESC, party, k) AS n FROM f JOIN r USING (election), generate_series(1, 40) AS g(k) WHERE full_seats > 0),
+w AS (SELECT election, party, count(*) AS rest_seats FROM x WHERE n <= remainder GROUP BY ALL)
+SELECT f.election::INT AS election, f.party, votes, full_seats, coalesce(rest_seats, 0)::BIGINT AS rest_seats FROM f LEFT JOIN w USING (election, party)""")
+def alloc_large_house(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A house of 20,000 seats with every customer as a party: the search counts at some prices instead of listing parties x seats."""
+    sums = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("election"), F.col("o_custkey").alias("party")).agg((F.sum(F.col("o_orderkey") % 10007 + 1) * 1000).cast("bigint").alias("votes"))
+    return al.allocate_by_price(sums.withColumn("pos", F.col("party")), ["election"], house=20000).select("election", "party", "votes", "full_seats", "rest_seats")
+
+
 @query(f"WITH RECURSIVE {_YEARS} {_allocation(25)} SELECT e::INT AS election, round, party FROM w")
 def alloc_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     seats = al.full_seats(inputs.year_nation_votes(spark, sf_dir), ["election"], house=25)
@@ -199,10 +216,9 @@ def source_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 n AS (SELECT *, replace(party, 'Brand#', '')::INT AS k FROM p)
 SELECT CASE WHEN k % 4 <> 0 THEN k ELSE row_number() OVER (ORDER BY party) END::BIGINT AS list_number, party, CASE WHEN k % 4 <> 0 THEN 'Brand ' || k ELSE '' END AS label, votes,
   CASE WHEN k % 4 <> 0 AND k % 3 <> 0 THEN vb ELSE 0 END AS votes_b, CASE WHEN k % 4 <> 0 THEN vo ELSE 0 END AS votes_official, votes - previous AS difference,
-  CASE WHEN previous = 0 THEN '-' ELSE replace(printf('%.1f', round((votes - previous) / previous::DOUBLE * 100, 1)), '.', ',') END AS change, round(CASE WHEN votes = 0 THEN 0 ELSE (votes - previous)::DOUBLE * 100 / votes END, 6) AS change_key FROM n""")
+  CASE WHEN previous = 0 THEN '-' ELSE replace(printf('%.1f', round((votes - previous) / previous::DOUBLE * 100, 1)), '.', ',') END AS change, CASE WHEN votes = 0 THEN '-Infinity'::DOUBLE ELSE round((votes - previous)::DOUBLE / votes * 100, 1) END AS change_key FROM n""")
 def side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _side_by_side(spark, sf_dir)
-    return rows.withColumn("change_key", F.round("change_key", 6))
+    return _side_by_side(spark, sf_dir)
 
 
 def _side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,6 +321,16 @@ def since_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "island", F.unix_micros("since").alias("since_us"))
 
 
+@query("""WITH h AS (SELECT event_id, CASE WHEN event_id % 100 <> 0 THEN 1 ELSE user_id END AS user_id, ts, event_type FROM events),
+c AS (SELECT *, lag(event_id) OVER w IS NULL OR event_type IS DISTINCT FROM lag(event_type) OVER w AS changed FROM h WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+i AS (SELECT *, sum(changed::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS island FROM c) SELECT event_id, changed, island, epoch_us(min(ts) OVER (PARTITION BY user_id, island))::BIGINT AS since_us FROM i""")
+def hot_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of equal events of users of whom one has 99 % of the rows, cut by day."""
+    events = inputs.user_events(spark, sf_dir).withColumn("user_id", F.when(F.col("event_id") % 100 != 0, 1).otherwise(F.col("user_id")))
+    rows = changes.split_runs(events, ["user_id"], ["ts", "event_id"], F.col("event_type"), "ts", F.to_date("ts"))
+    return rows.select("event_id", "changed", "island", F.unix_micros("since").alias("since_us"))
+
+
 @query("""WITH d AS (SELECT ts::DATE AS day, event_type, count(*) AS votes FROM events GROUP BY ALL), s AS (SELECT day, event_type, votes, votes // 20 AS seats FROM d), t AS (SELECT day, sum(votes) AS total, dense_rank() OVER (ORDER BY day) AS n FROM s GROUP BY day)
 SELECT strftime(t.day, '%Y-%m-%d') AS day, CASE WHEN EXISTS (SELECT 1 FROM s a LEFT JOIN s b ON b.day = p.day AND b.event_type = a.event_type WHERE a.day = t.day AND a.seats <> coalesce(b.seats, 0)) THEN 'seats' WHEN t.total > p.total THEN 'votes' ELSE 'none' END AS event
 FROM t JOIN t p ON p.n = t.n - 1""")
@@ -391,7 +417,7 @@ def fmt_reltime(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, replace(format('{:,}', o_orderkey * 1001), ',', '.') AS number, CASE WHEN o_orderkey % 1000 = 0 THEN '' ELSE replace(printf('%.1f', (o_orderkey % 1000) / 10.0::DOUBLE), '.', ',') || '%' END AS permille, CASE WHEN o_custkey % 3 = 0 THEN '-' ELSE replace(printf('%.1f', round((o_orderkey - o_custkey) / o_custkey::DOUBLE * 100, 1)), '.', ',') END AS change FROM orders")
 def fmt_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = F.when(F.col("o_custkey") % 3 == 0, 0).otherwise(F.col("o_custkey"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", fn.format_int_nl(F.col("o_orderkey") * 1001).alias("number"), fn.format_permille(fn.blank_zero(F.col("o_orderkey") % 1000), "%").alias("permille"), fn.format_change(F.col("o_orderkey"), before).alias("change"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", fn.format_number_nl(F.col("o_orderkey") * 1001).alias("number"), fn.format_permille(fn.blank_zero(F.col("o_orderkey") % 1000), "%").alias("permille"), fn.format_change(F.col("o_orderkey"), before).alias("change"))
 
 
 @query(r"""SELECT p_partkey, try_cast(nullif(regexp_extract(p_size || ' maat', '^\s*([+-]?\d+)', 1), '') AS BIGINT) AS leading, coalesce(try_cast(p_size || CASE WHEN p_size % 2 = 0 THEN '' ELSE 'x' END AS DOUBLE), 0) AS whole, round(p_size + 0.5, 1)::DOUBLE AS comma,
@@ -427,6 +453,33 @@ def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sorts.place(table(spark, sf_dir, "part").select("p_brand").distinct(), [], *fn.natural_key("p_brand"))
 
 
+@query("""WITH c AS (SELECT c_custkey, ['a', 'A', 'B', 'é', 'f'][1 + c_custkey % 5] AS l, c_custkey % 13 AS n, c_custkey % 31 AS m FROM customer)
+SELECT c_custkey, l || n || 'b' || m AS name, row_number() OVER (ORDER BY CASE l WHEN 'B' THEN 1 WHEN 'é' THEN 2 WHEN 'f' THEN 3 ELSE 0 END, n, m, l = 'A', c_custkey) AS place FROM c""")
+def locale_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with several numbers, capitals and an accent in the order of the locale."""
+    k = F.col("c_custkey")
+    letter = F.element_at(F.array(*map(F.lit, ["a", "A", "B", "é", "f"])), (k % 5 + 1).cast("int"))
+    name = F.concat(letter, (k % 13).cast("string"), F.lit("b"), (k % 31).cast("string"))
+    return sorts.place(table(spark, sf_dir, "customer").select("c_custkey", name.alias("name")), [], *fn.natural_key("name"), k)
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN p_size WHEN 3 THEN p_size WHEN 4 THEN p_size / 10.0::DOUBLE WHEN 6 THEN -p_size - 0.5::DOUBLE WHEN 7 THEN 5 ELSE 0 END::DOUBLE AS value FROM part""")
+def number_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that are numbers, and some that only look like them: a suffix, NaN, nothing."""
+    k, size = F.col("p_partkey") % 8, F.col("p_size").cast("string")
+    forms = [size, F.concat(size, F.lit("d")), F.lit("NaN"), F.concat(F.lit("0x"), F.hex(F.col("p_size").cast("bigint"))), F.concat(F.lit(" "), size, F.lit("e-1\t")), F.lit(""), F.concat(F.lit("-"), size, F.lit(".5")), F.lit("0b101")]
+    return table(spark, sf_dir, "part").select("p_partkey", fn.number_or_zero(F.element_at(F.array(*forms), (k + 1).cast("int"))).alias("value"))
+
+
+@query("""WITH t AS (SELECT p_partkey, p_partkey::BIGINT * 1234567 - CASE WHEN p_partkey % 5 = 0 THEN p_partkey * 1234567 % 1000 ELSE 0 END AS t FROM part)
+SELECT p_partkey, replace(format('{:,}', t // 1000), ',', '.') || CASE WHEN t % 1000 = 0 THEN '' ELSE ',' || rtrim(lpad((t % 1000)::VARCHAR, 3, '0'), '0') END AS number FROM t""")
+def fmt_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers with four decimals, of which three at most are shown."""
+    raw = F.col("p_partkey").cast("bigint") * 1234567
+    whole = F.when(F.col("p_partkey") % 5 == 0, raw - raw % 1000).otherwise(raw)
+    return table(spark, sf_dir, "part").select("p_partkey", fn.format_number_nl((whole * 10 + 4) / F.lit(10000.0)).alias("number"))
+
+
 @query("SELECT coalesce(sum(c_custkey), 0)::BIGINT AS eligible FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'")
 def eligible_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("cbs_code"))

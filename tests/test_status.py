@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from seatloom import functions as fn
 from seatloom import schemas
-from seatloom.operators import changes, sorts, status, ticker
+from seatloom.operators import changes, reconcile, sorts, status, ticker
 from seatloom.sources import landing, readers
 from seatloom.streaming import live, replay
 
@@ -23,7 +23,7 @@ def test_scalars(spark):
     assert one(spark, fn.parse_int(F.lit(" 12x")), fn.parse_int(F.lit("x")), fn.number_or_zero(F.lit("1e2")), fn.number_or_zero(F.lit("1x")), fn.parse_decimal_comma(F.lit("15,3"))) == (12, None, 100.0, 0.0, 15.3)
     assert one(spark, fn.format_datetime_nl(t), fn.format_datetime_nl(F.lit(None).cast("timestamp")), fn.parse_nl_datetime(F.lit("02-01-2024 03:04")), fn.parse_nl_datetime(F.lit("x"))) == ("02-01-2024 03:04", "", 1704164640000, 0)
     assert one(spark, fn.relative_time(t, now("2024-01-02 03:04:59")), fn.relative_time(t, now("2024-01-02 05:04:00")), fn.relative_time(t, now("2024-01-01 00:00:00")), fn.relative_time_signed(t, now("2024-01-01 03:04:00"))) == ("59s geleden", "2u geleden", "0s geleden", "over 1d")
-    assert one(spark, fn.format_int_nl(F.lit(-1234567)), fn.format_permille(F.lit(801), "%"), fn.format_permille(F.lit(None).cast("int"), "%"), fn.format_change(F.lit(3), F.lit(0)), fn.format_change(F.lit(3), F.lit(4))) == ("-1.234.567", "80,1%", "", "-", "-25,0")
+    assert one(spark, fn.format_number_nl(F.lit(-1234567)), fn.format_permille(F.lit(801), "%"), fn.format_permille(F.lit(None).cast("int"), "%"), fn.format_change(F.lit(3), F.lit(0)), fn.format_change(F.lit(3), F.lit(4))) == ("-1.234.567", "80,1%", "", "-", "-25,0")
     assert one(spark, fn.falsy_text(F.lit("0"), "b"), fn.falsy_text(F.lit(""), "b"), fn.falsy_number(F.lit(0), 5), fn.nullish(F.lit(0), 5)) == ("0", "b", 5, 0)
     f = one(spark, fn.fraction(F.lit(0.75)), fn.fraction(F.lit(0.9999999)), fn.fraction(F.lit(0.7071067)))
     assert (tuple(f[0]), tuple(f[1]), f[2]) == ((3, 4), (1, 1), None)
@@ -31,6 +31,31 @@ def test_scalars(spark):
     assert one(spark, fn.truncate_text(F.lit("x" * 40)), fn.html_quote(F.lit('a"b')), fn.normal_name(F.lit(" a "))) == ("x" * 31 + "…", "a&quot;b", "A")
 
 
+def test_numbers_as_texts(spark):
+    want = {"1d": 0.0, "NaN": 0.0, "0x10": 16.0, "0b101": 5.0, "0o17": 15.0, "-0x10": 0.0, " 12 ": 12.0, "": 0.0, " ": 0.0, ".5": 0.5, "5.": 5.0, "-1e-2": -0.01, "1_0": 0.0, "1,5": 0.0, "1f": 0.0, "+7": 7.0, "Infinity": float("inf"), "-Infinity": float("-inf"), "inf": 0.0, "1e": 0.0, ".": 0.0}
+    rows = spark.createDataFrame(list(want.items()), "t string, n double").select("t", fn.number_or_zero("t").alias("n")).collect()
+    assert {r.t: r.n for r in rows} == want
+
+
+def test_numbers_have_three_decimals_at_most(spark):
+    want = {1234.5678: "1.234,568", 1.235: "1,235", 1234.5: "1.234,5", 1000000.0: "1.000.000", 0.0004: "0", -1234.25: "-1.234,25", 100.0: "100", 0.05: "0,05"}
+    rows = spark.createDataFrame([(x,) for x in want], "x double").select("x", fn.format_number_nl("x").alias("t")).collect()
+    assert {r.x: r.t for r in rows} == want
+
+
+def test_locale_order(spark):
+    names = ["a1", "a1b9", "a1b10", "A1b10", "B1", "é1", "f1", "f01", "f2", "x", "x12345678901234567890", "x12345678901234567891"]
+    rows = spark.createDataFrame([(n, k) for k, n in enumerate(names)], "name string, pos int").repartition(3)
+    assert [r.name for r in sorts.table_order(rows, *sorts.order_keys("name", True)).collect()] == names
+    assert [r.name for r in sorts.place(rows, [], *fn.natural_key("name"), F.col("pos")).orderBy("place").collect()] == names
+
+
+def test_a_party_without_votes_has_the_lowest_change(spark):
+    rows = spark.createDataFrame([("up", 120, 100), ("gone", 0, 50), ("down", 90, 100), ("new", 10, None), ("like up", 1200, 1000), ("none", None, 0)], "p string, now long, before long")
+    keys = {r.p: r.k for r in rows.select("p", reconcile.sort_change(F.col("now"), F.col("before")).alias("k")).collect()}
+    assert keys == {"up": 16.7, "gone": float("-inf"), "down": -11.1, "new": 100.0, "like up": 16.7, "none": float("-inf")}
+
+
 def test_until_changed_emits_each_change(spark):
     rows = spark.createDataFrame([("e", i, s) for i, s in enumerate(["A", "A", "B", "A", None, None])], "e string, seq int, s string")
     assert [r.seq for r in changes.until_changed(rows, ["e"], ["seq"], F.col("s")).orderBy("seq").collect()] == [0, 2, 3, 4]
