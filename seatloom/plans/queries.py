@@ -11,7 +11,7 @@ from .. import functions as fn
 from ..operators import allocate as al
 from ..operators import changes, margins, reconcile, sorts, status, ticker
 from ..streaming import live, replay
-from ..sources.landing import once
+from ..sources.landing import once, work_path
 from ..sources.readers import table
 from . import inputs
 
@@ -635,3 +635,52 @@ def since_banner(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = changes.since_states(rows, ["election"], "seq").withColumn("finalized", F.col("seq") % 5 == 0)
     named = states.withColumns({c: F.when(F.col("seq") % 4 != 0, F.col(c)) for c in ("winner", "loser")})
     return changes.banner(named).select("seq", F.unix_micros("since").alias("since"), "text")
+
+
+_PLACES = """h AS (SELECT user_id, event_id, event_id % 13 AS k, ts, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back FROM events),
+pl AS (SELECT user_id::VARCHAR AS place, event_id AS seq, CASE WHEN back = 1 THEN 'Eindstand' WHEN k < 5 THEN 'Nulstand' ELSE 'Tussenstand' END AS status, (100 + user_id % 50)::BIGINT AS population FROM h)"""
+
+
+def _places(spark: SparkSession, sf_dir: str, open_ended: bool = False) -> DataFrame:
+    """Every user as a place whose status comes with each of its events; the last one is final, unless the count stays open."""
+    e = inputs.user_events(spark, sf_dir)
+    last = e.groupBy("user_id").agg(F.max("event_id").alias("last"))
+    rows = e.join(last, "user_id")
+    status_of = F.when(F.lit(not open_ended) & (F.col("event_id") == F.col("last")), "Eindstand").when(F.col("event_id") % 13 < 5, "Nulstand").otherwise("Tussenstand")
+    return rows.select(F.col("user_id").cast("string").alias("place"), F.col("event_id").cast("bigint").alias("seq"), status_of.alias("status"), (F.col("user_id") % 50 + 100).cast("bigint").alias("population"))
+
+
+@query(f"WITH {_PLACES} SELECT place, max(seq)::BIGINT AS seq, arg_max(status, seq) AS status FROM pl GROUP BY place")
+def streaming_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places followed until all are final: the stream ends by itself, by the metrics that it observes."""
+    landing, out, state = (work_path(spark, x) for x in ("landing", "places", "state"))
+    _places(spark, sf_dir).repartitionByRange(4, "seq").write.parquet(landing)
+    live.run_until_settled(live.read_snapshots(spark, landing, live.PLACE, files=2), live.write_batches(out), state, every="0 seconds")
+    return live.last_batch(spark, out, live.PLACE).select("place", "seq", "status")
+
+
+@query(f"""WITH {_PLACES}, l AS (SELECT place, arg_max(CASE WHEN status = 'Eindstand' AND TRUE THEN CASE WHEN seq % 13 < 5 THEN 'Nulstand' ELSE 'Tussenstand' END ELSE status END, seq) AS status, any_value(population) AS population FROM pl GROUP BY place)
+SELECT coalesce(sum(population) FILTER (WHERE status <> 'Nulstand'), 0)::BIGINT AS counted, sum(population)::BIGINT AS eligible, count(*) FILTER (WHERE status <> 'Nulstand') AS places_counted, count(*) AS places FROM l""")
+def streaming_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress of a count that stays open, kept up by the changes of each batch."""
+    landing, out, state = (work_path(spark, x) for x in ("landing", "progress", "state"))
+    _places(spark, sf_dir, open_ended=True).repartitionByRange(4, "seq").write.parquet(landing)
+    stream = live.progress_changes(live.read_snapshots(spark, landing, live.PLACE, files=2))
+    writer = stream.writeStream.outputMode("update").foreachBatch(live.sum_batches(out)).option("checkpointLocation", state)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return live.last_batch(spark, out, live.DELTA)
+
+
+@query("""SELECT feed, pos, name FROM (SELECT 0::INT AS feed, event_id::BIGINT AS pos, user_id::VARCHAR AS name, ts FROM events WHERE event_type = 'view' UNION ALL SELECT 1, event_id, user_id::VARCHAR, ts FROM events WHERE event_type = 'click') ORDER BY ts DESC, feed, pos LIMIT 5""")
+def streaming_ticker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ticker's five newest items of two streams, of which five rows each are kept."""
+    e = inputs.user_events(spark, sf_dir)
+    out, state = (work_path(spark, x) for x in ("ticker", "state"))
+    streams = []
+    for feed, kind in enumerate(("view", "click")):
+        landing = work_path(spark, "landing")
+        items = e.where(F.col("event_type") == kind).select(F.lit(feed).alias("feed"), F.col("event_id").cast("bigint").alias("pos"), F.col("user_id").cast("string").alias("name"), "ts")
+        items.repartition(4, "pos").write.parquet(landing)
+        streams.append(live.read_snapshots(spark, landing, live.ITEM, files=2))
+    live.start(streams[0].unionByName(streams[1]), live.top_batches(out), state, every=None).awaitTermination()
+    return live.top_items(live.last_batch(spark, out, live.ITEM)).select("feed", "pos", "name")
