@@ -197,7 +197,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     """
     cut = cuts(df, id_col, text_col, min_words).select(*(F.col(k).alias(f"cut_{k}") for k in _KEY), "n", "deleted")
     text = F.coalesce(df[text_col].cast("string"), F.lit(""))
-    rows = df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), df[id_col].cast("long").alias("doc"), *_hashes(text))
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), df[id_col].cast("long").alias("doc"), *_hashes(text))
     rows = _filtered(rows, cut.withColumnRenamed("cut_h1", "h1"))
     whole = F.col(f"row.`{text_col}`")
     own = [c for c in df.columns if not (counts and c in ("n_lines", "n_deleted"))]

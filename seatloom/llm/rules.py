@@ -64,7 +64,7 @@ def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     whole input row follows as a struct named row.
     """
     extra = ["row"] * carry
-    rows = df.select(column(df, id_col, "doc_id", "long"), column(df, lang_col, "lang", "string"), column(df, source_col, "source", "string"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"), *[F.struct(*(df[c] for c in df.columns)).alias("row")] * carry)
+    rows = df.select(column(df, id_col, "doc_id", "long"), column(df, lang_col, "lang", "string"), column(df, source_col, "source", "string"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"), *[F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")] * carry)
     rows = rows.withColumn("trimmed", F.btrim("text", F.lit(SPACES)))
     rows = rows.withColumn("words", F.when(F.col("trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("trimmed", r"[\x20\x09-\x0D]+")))
     lined = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")

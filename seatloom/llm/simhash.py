@@ -1,8 +1,8 @@
 """Operator 6, SimHash near-dedup: 64-bit fingerprints of word shingles, linked by exact tiled comparison.
 
-Distinct fingerprints are put in order of their population counts and cut in tiles; tiles are compared
-in full with numpy exclusive-or and bit counts, and tile pairs whose population counts differ beyond
-the radius are skipped. That happens inside buckets of fingerprints that agree on a choice of bit
+Distinct fingerprints are put in order of their population counts and cut in tiles of one count each;
+tiles are compared in full with numpy exclusive-or and bit counts, and tile pairs whose counts differ
+beyond the radius are skipped. That happens inside buckets of fingerprints that agree on a choice of bit
 blocks. Every link lies in one bucket at least, so none is missed, and no bucket is capped. The
 number of blocks follows from the number of fingerprints, so that buckets of random fingerprints stay
 small; within a bucket the work is the square of its size, less what is skipped.
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import column, join_crowded, map_arrow, materialize
 from .components import connected_components
+from .lines import _filtered
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -69,33 +70,40 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return map_arrow(rows, make, ", ".join(f"{name} long" for name in ("doc_id", "fp", *extra)))
 
 
-def tile_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool, tile: int = TILE) -> tuple[list[tuple[int, int]], int]:
-    """Pairs of tiles that must be compared, by their first places, and how many were skipped.
+def tiles(bits: np.ndarray, tile: int = TILE) -> np.ndarray:
+    """Where tiles begin, and the end: a tile has one population count and tile fingerprints at most. bits: population counts in ascending order."""
+    begins = np.nonzero(np.r_[True, bits[1:] != bits[:-1]])[0]
+    sizes = np.diff(np.append(begins, bits.size))
+    more = -(-sizes // tile)
+    nth = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+    return np.append(np.repeat(begins, more) + nth * tile, bits.size)
+
+
+def tile_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool, tile: int = TILE) -> tuple[list[tuple[int, int, int, int]], int]:
+    """Pairs of tiles that must be compared, as their begins and ends in a and b, and how many were skipped.
 
     a, b: population counts in ascending order. same: a and b are one list, of which each pair of
-    tiles comes once.
+    tiles comes once. Tiles have one count each, so those to compare with are neighbours in b's order.
     """
-    low_a, low_b = range(0, a.size, tile), range(0, b.size, tile)
+    cut_a, cut_b = tiles(a, tile), tiles(b, tile)
+    of_b = b[cut_b[:-1]]
     pairs, skipped = [], 0
-    for i in low_a:
-        top = a[min(i + tile, a.size) - 1] + radius
-        for j in low_b:
-            if same and j < i:
-                continue
-            if b[j] > top or a[i] > b[min(j + tile, b.size) - 1] + radius:
-                skipped += 1
-            else:
-                pairs.append((i, j))
+    for i, (low, high) in enumerate(zip(cut_a[:-1].tolist(), cut_a[1:].tolist())):
+        least = i if same else 0
+        first, last = np.searchsorted(of_b, a[low] - radius), np.searchsorted(of_b, a[low] + radius, side="right")
+        near = range(max(least, int(first)), int(last))
+        pairs += [(low, high, int(cut_b[j]), int(cut_b[j + 1])) for j in near]
+        skipped += of_b.size - least - len(near)
     return pairs, skipped
 
 
 def linked(a: np.ndarray, b: np.ndarray, radius: int, same: bool = False, tile: int = TILE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of a and b that differ in at most radius bits, a tile pair at a time."""
-    bits_a, bits_b = np.bitwise_count(a), np.bitwise_count(b)
+    bits_a, bits_b = np.bitwise_count(a).astype(int), np.bitwise_count(b).astype(int)
     order_a, order_b = np.argsort(bits_a, kind="stable"), np.argsort(bits_b, kind="stable")
     sorted_a, sorted_b = a[order_a], b[order_b]
-    for i, j in tile_pairs(bits_a[order_a].astype(int), bits_b[order_b].astype(int), radius, same, tile)[0]:
-        x, y = np.nonzero(np.bitwise_count(sorted_a[i : i + tile, None] ^ sorted_b[None, j : j + tile]) <= radius)
+    for i, i_end, j, j_end in tile_pairs(bits_a[order_a], bits_b[order_b], radius, same, tile)[0]:
+        x, y = np.nonzero(np.bitwise_count(sorted_a[i:i_end, None] ^ sorted_b[None, j:j_end]) <= radius)
         if x.size:
             yield order_a[x + i], order_b[y + j]
 
@@ -235,9 +243,11 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Where several rows of a group have that id, or none has an id, a hash of the whole row decides; of
     rows that are equal throughout one stays. Rows of different groups never replace one another,
-    whatever their ids.
+    whatever their ids. Columns may be of any type and name. Only rows that go, rows that have a copy,
+    and those few that a broadcast filter can't tell from them are shuffled with their texts.
     """
-    whole = [x for c in df.columns for x in (df[c], df[c].isNull())]
+    own = [F.col(f"`{c}`") for c in df.columns]
+    whole = [F.to_json(F.struct(*own), {"ignoreNullFields": "false"})]  # maps have no hash
     keys = {"k1": F.xxhash64(*whole), "k2": F.xxhash64(F.lit(1), *whole)}
     docs = materialize(fingerprints(df, id_col, text_col, carry=keys), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
@@ -245,6 +255,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     each = docs.groupBy("fp").agg(F.min(order).alias("least"))
     first = each.join(groups(docs), F.col("fp") == F.col("f")).groupBy("part").agg(F.min("least").alias("first"))
     kept = materialize(first.select(F.col("first.k1").alias("kept1"), F.col("first.k2").alias("kept2")).distinct(), "kept")
-    rows = df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), *(c.alias(name) for name, c in keys.items()))
-    rows = rows.join(kept, (F.col("k1") == F.col("kept1")) & (F.col("k2") == F.col("kept2")), "left_semi")
-    return rows.dropDuplicates(["k1", "k2"]).select("row.*")
+    each = docs.groupBy(F.col("k1").alias("h1"), F.col("k2").alias("h2")).agg(F.count("*").alias("rows"))
+    suspects = each.join(kept, (F.col("h1") == F.col("kept1")) & (F.col("h2") == F.col("kept2")), "left").where("kept1 is null or rows > 1")
+    rows = _filtered(df.select(F.struct(*own).alias("row"), keys["k1"].alias("h1"), keys["k2"].alias("h2")), materialize(suspects.select("h1"), "suspects"))
+    some = rows.where("hit").join(kept, (F.col("h1") == F.col("kept1")) & (F.col("h2") == F.col("kept2")), "left_semi").dropDuplicates(["h1", "h2"])
+    return rows.where("not hit").select("row.*").union(some.select("row.*"))

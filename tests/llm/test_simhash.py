@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from seatloom.llm import simhash
+from seatloom.llm import lines, rules, simhash
 from seatloom.llm.components import connected_components
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -85,8 +85,9 @@ def test_tile_pairs_beyond_the_radius_are_skipped():
     fps = np.array(sorted({r.getrandbits(64) for _ in range(700)} | {(1 << k) - 1 for k in range(1, 64)}), np.uint64)
     bits = np.sort(np.bitwise_count(fps)).astype(int)
     pairs, skipped = simhash.tile_pairs(bits, bits, 4, True, 16)
-    tiles = -(-fps.size // 16)
-    assert skipped > tiles and len(pairs) + skipped == tiles * (tiles + 1) // 2
+    cut = simhash.tiles(bits, 16)
+    assert (np.diff(cut) <= 16).all() and all(len(set(bits[x:y])) == 1 for x, y in zip(cut, cut[1:]))
+    assert skipped > cut.size and len(pairs) + skipped == (cut.size - 1) * cut.size // 2
     found = {tuple(sorted(x)) for i, j in simhash.linked(fps, fps, 4, True, 16) for x in zip(i.tolist(), j.tolist()) if x[0] != x[1]}
     assert found == {(i, j) for i, j in itertools.combinations(range(fps.size), 2) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 4}
     cross = {x for i, j in simhash.linked(fps[:200], fps[200:], 4, False, 16) for x in zip(i.tolist(), j.tolist())}
@@ -120,3 +121,36 @@ def test_keep_one_of_rows_that_share_an_id(spark):
     assert sorted(map(str, got)) == sorted(map(str, [(1, a), (1, b), (2, c), (None, rows[6][1])]))
     ids = {(r.doc_id, r.fp): r.component_id for r in simhash.near_duplicates(df).collect()}
     assert sorted(str(x) for x in ids.values()) == sorted(map(str, [1, 1, 2, 1, 1, None]))
+
+
+def test_buckets_of_two_skip_pairs(spark):
+    """On a small corpus buckets have a few fingerprints each; those whose counts differ by more than the radius aren't compared."""
+    fps = [r.fp for r in simhash.fingerprints(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("fp").distinct().collect()]
+    values = np.array(fps, np.int64).view(np.uint64)
+    compared = skipped = 0
+    for mask in simhash.block_masks(simhash.block_count(values.size, 4), 4):
+        keys = values & np.uint64(mask)
+        order = np.argsort(keys, kind="stable")
+        for bucket in np.split(values[order], np.nonzero(np.diff(keys[order]))[0] + 1):
+            if bucket.size > 1:
+                bits = np.sort(np.bitwise_count(bucket).astype(int))
+                pairs, left = simhash.tile_pairs(bits, bits, 4, True)
+                compared, skipped = compared + len(pairs), skipped + left
+    assert skipped > 100 and compared > 100
+
+
+def test_keep_one_takes_any_column(spark):
+    rows = [(1, "a b c d e f g", {"k": 1}, 2.5), (2, "a b c d e f g", {"k": 2}, None), (2, "a b c d e f g", {"k": 2}, None), (3, "other words here that differ a lot", None, 1.0), (3, "other words here that differ a lot", None, 1.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, props map<string, int>, `a.b` double")
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id, r.props, r["a.b"]) for r in kept.collect()) == [(1, {"k": 1}, 2.5), (3, None, 1.0)]
+
+
+def test_line_dedup_and_rules_take_any_column(spark):
+    text = "one two three four five six seven eight nine ten eleven"
+    df = spark.createDataFrame([(1, text, {"k": 1}, 1), (2, text + "\nmore", {"k": 2}, 2)], "doc_id long, text string, props map<string, int>, `a.b` int")
+    out = lines.dedup_lines(df)
+    assert sorted((r.doc_id, r.text, r.props["k"], r["a.b"]) for r in out.collect()) == [(1, text, 1, 1), (2, "more", 2, 2)]
+    named = df.withColumns({"lang": F.lit("en"), "source": F.lit("s")})
+    assert rules.keep_passing(named).columns == named.columns
