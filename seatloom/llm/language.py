@@ -12,18 +12,21 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, id_remainder, map_arrow
+from .common import column, id_remainder, map_arrow, materialize
 from .learning import held_out_column
 
-#: The bound of the sample that is learned from: expected documents of each language, and of all together, but for one of each language.
+#: The bound of the sample that is learned from: documents of each language, and of all together, but for one of each language.
 PER_LANGUAGE, TOTAL = 600, 6000
-#: Different n-grams of a document that are learned from at most, its most frequent ones.
-GRAMS = 4096
+#: The bound of the sample's n-grams, each counted once a document; the first document of each language comes on top.
+GRAMS = 1 << 24
+#: Parts of a language's hashes for each document that is wanted of it; each part gives one at most.
+PARTS = 4
 HELD_OUT = (5, 0)
-BUCKET_BITS = 15
+#: Buckets of n-grams, as a power of two, and the bound of buckets times languages, beyond which there are fewer buckets.
+BUCKET_BITS, STATE_BITS = 15, 26
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
 
@@ -35,7 +38,12 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+def bucket_bits(classes: int) -> int:
+    """BUCKET_BITS for up to 2,048 languages; for more as many as keep the training state, 8 bytes for each bucket and language, within 0.5 GB."""
+    return max(1, min(BUCKET_BITS, STATE_BITS - max(0, classes - 1).bit_length()))
+
+
+def ngrams(text: str | None, bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and counts of hashed character 1- to 3-grams. Letters in lower case, anything else a single space."""
     codes = np.frombuffer((" " + (text or "").lower() + " ").encode("utf-32-le", "replace"), np.uint32)
     codes = np.where(_letters()[codes], codes, 32)
@@ -45,8 +53,8 @@ def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     for order in ORDERS:
         if order > 1:
             grams = grams[:-1] * np.uint32(0x01000193) + codes[order - 1 :]
-        found.append((grams * np.uint32(2654435761) + np.uint32(order)) >> np.uint32(32 - BUCKET_BITS))
-    counts = np.bincount(np.concatenate(found), minlength=1 << BUCKET_BITS)
+        found.append((grams * np.uint32(2654435761) + np.uint32(order)) >> np.uint32(32 - bits))
+    counts = np.bincount(np.concatenate(found), minlength=1 << bits)
     at = np.nonzero(counts)[0]
     return at, counts[at]
 
@@ -62,6 +70,7 @@ class LanguageModel:
     value: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
+    bits: int = BUCKET_BITS
 
     def vector(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
         values = np.log1p(counts) * self.idf[at]
@@ -83,7 +92,7 @@ class LanguageModel:
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.languages or text is None or not _LETTER(text):
             return UNKNOWN, 0.0
-        p = self.probabilities(*ngrams(text))
+        p = self.probabilities(*ngrams(text, self.bits))
         best = int(p.argmax())
         return self.languages[best], float(p[best])
 
@@ -128,14 +137,17 @@ def fit_temperature(logits: np.ndarray, label: np.ndarray) -> float:
     return float(min(np.geomspace(0.05, 20, 200), key=loss))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, languages: list[str], epochs: int = 5, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.01, l2: float = 0.01, seed: int = 7) -> LanguageModel:
-    """FTRL over buckets that occur in the sample; every fifth row is kept for the temperature."""
-    size, classes = 1 << BUCKET_BITS, len(languages)
-    held = np.arange(label.size) % 5 == 4
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, languages: list[str], epochs: int = 5, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.01, l2: float = 0.01, seed: int = 7, bits: int = BUCKET_BITS) -> LanguageModel:
+    """FTRL over buckets that occur in the sample; every fifth row of each language is kept for the temperature, so each has one that is trained on."""
+    size, classes = 1 << bits, len(languages)
+    order = np.argsort(label, kind="stable")
+    starts = np.r_[0, np.cumsum(np.bincount(label, minlength=classes))][label[order]] if label.size else order
+    held = np.zeros(label.size, bool)
+    held[order] = (np.arange(label.size) - starts) % 5 == 4
     train = np.nonzero(~held)[0]
     seen = np.bincount(np.concatenate([rows[k][0] for k in train]) if train.size else np.zeros(0, np.int64), minlength=size)
     nothing = np.zeros(0, np.int64)
-    model = LanguageModel(languages, np.log((1 + train.size) / (1 + seen)) + 1, np.zeros(size + 1, np.int64), nothing, np.zeros(0, np.float32), np.zeros(classes))
+    model = LanguageModel(languages, np.log((1 + train.size) / (1 + seen)) + 1, np.zeros(size + 1, np.int64), nothing, np.zeros(0, np.float32), np.zeros(classes), bits=bits)
     if classes < 2:
         return model
     known = np.nonzero(seen)[0]
@@ -153,41 +165,52 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, languages:
     return model
 
 
-def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, total: int = TOTAL) -> LanguageModel:
-    """Learn from a bounded sample of documents with a language whose crc32(doc_id) mod 5 isn't 0.
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, total: int = TOTAL) -> tuple[list[str], DataFrame]:
+    """All languages, and (lang, place, text) of the documents that are learned from, their place in their language from 1.
 
-    A document is taken if the hash of its id falls under its language's share: the smaller of
-    per_language and an equal part of total, of all its documents, so rare languages are taken whole,
-    and at least one document is expected of each. Documents are told apart by id and language; of
-    several texts the least is taken. Every language is learned, however many there are. Empty input
-    gives a model that knows no language.
+    Null texts and languages and ids with the held-out remainder take no part. Documents are told apart
+    by id, text and language, so repeated rows count once and rows that share an id don't. Hashes of a
+    language's documents fall in PARTS times as many parts as documents are wanted (the smaller of
+    per_language and an equal share of total); the least hash of each part is found by an aggregate that
+    is bounded by parts, not documents, and the least of those are taken. Every language has one at least.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (id_remainder(F.col("doc_id"), HELD_OUT[0]) != HELD_OUT[1]))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row a language, each a class of the model
-    languages = sorted(row.lang for row in counts)
+    languages = sorted(row.lang for row in rows.select("lang").distinct().collect())  # one row a language, each a class of the model
     each = min(per_language, max(1, total // max(1, len(languages))))
-    shares = spark.createDataFrame([(row.lang, min(1.0, each / row.n)) for row in counts], "lang string, share double")
-    # One row for each class of the model, which every executor holds anyway.
-    sample = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("doc_id", "text", "lang")
+    rows = rows.withColumn("key", F.xxhash64("doc_id", "text", "lang"))
+    least = rows.groupBy("lang", F.pmod("key", F.lit(each * PARTS)).alias("part")).agg(F.min("key").alias("key"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")  # at most each * PARTS rows a language
+    keys = least.select(F.col("lang").alias("lang_of"), F.col("key").alias("key_of"), F.row_number().over(order).alias("place")).where(F.col("place") <= each)
+    # At most total rows and one for each class of the model.
+    found = rows.join(F.broadcast(keys), (F.col("key") == F.col("key_of")) & (F.col("lang") == F.col("lang_of")))
+    return languages, found.groupBy("lang", "place").agg(F.min("text").alias("text"))
+
+
+def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, total: int = TOTAL, grams: int = GRAMS) -> LanguageModel:
+    """Learn from the documents of sample(), whole texts, in the order of their places while their n-grams number grams at most.
+
+    The first document of each language is always learned from, so every language is, however many
+    there are. Empty input gives a model that knows no language.
+    """
+    languages, chosen = sample(docs, per_language, total)
+    bits = bucket_bits(len(languages))
 
     def make():
         def run(part: pa.RecordBatch) -> dict:
-            found = []
-            for x in part.column(1).to_pylist():
-                at, n = ngrams(x)
-                if at.size > GRAMS:
-                    top = np.sort(np.argsort(-n, kind="stable")[:GRAMS])
-                    at, n = at[top], n[top]
-                found.append((at.astype(np.int32), n.astype(np.int32)))
-            return {"doc_id": part.column(0), "at": [a for a, _ in found], "n": [c for _, c in found], "lang": part.column(2)}
+            found = [ngrams(x, bits) for x in part.column(2).to_pylist()]
+            return {"lang": part.column(0), "place": part.column(1), "size": [at.size for at, _ in found], "at": [at.astype(np.int32) for at, _ in found], "n": [n.astype(np.int32) for _, n in found]}
 
         return run
 
-    table = map_arrow(sample, make, "doc_id long, at array<int>, n array<int>, lang string").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    rows = materialize(map_arrow(chosen.select("lang", "place", "text"), make, "lang string, place int, size long, at array<int>, n array<int>"), "grams")
+    sizes = rows.groupBy("place").agg(F.sum("size").alias("size")).orderBy("place").collect()  # at most per_language rows
+    sums = np.cumsum([row["size"] for row in sizes])
+    last = max([1, *(row.place for row, n in zip(sizes, sums, strict=True) if n <= grams)])
+    table = rows.where(F.col("place") <= last).toArrow().sort_by([("place", "ascending"), ("lang", "ascending")])
     index = {x: k for k, x in enumerate(languages)}
     data = [(np.asarray(a.values), np.asarray(c.values)) for a, c in zip(table.column("at"), table.column("n"), strict=True)]
-    return fit(data, np.array([index[x] for x in table.column("lang").to_pylist()], np.int64), languages)
+    return fit(data, np.array([index[x] for x in table.column("lang").to_pylist()], np.int64), languages, bits=bits)
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -155,7 +155,7 @@ def test_tf_idf_and_sparse_weights():
     rows = [language.ngrams("".join(rng.choice(list("abcde fg"), 40))) for _ in range(50)]
     label = rng.integers(0, 3, 50)
     model = language.fit(rows, label, ["x", "y", "z"])
-    train = [k for k in range(50) if k % 5 != 4]
+    train = [k for k in range(50) if sum(label[:k] == label[k]) % 5 != 4]
     dense = np.zeros((1 << 15, 3))
     for b in range(1 << 15):
         dense[b, model.of[model.start[b] : model.start[b + 1]]] = model.value[model.start[b] : model.start[b + 1]]
@@ -183,6 +183,43 @@ def test_many_languages(spark):
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in found]) > 0.8
 
 
+def test_every_language_is_sampled(spark):
+    """6,944 languages of three documents, all in the sample, and a training state of 0.5 GB at most."""
+    ids = (k for k in itertools.count() if zlib.crc32(str(k).encode()) % 5)
+    df = spark.createDataFrame([(next(ids), f"text {k}", f"l{k % 6944}") for k in range(6944 * 3)], "doc_id bigint, text string, lang string")
+    languages, chosen = language.sample(df)
+    rows = chosen.collect()
+    assert len(languages) == 6944 and {r.lang for r in rows} == set(languages) and len(rows) == 6944
+    assert all((1 << language.bucket_bits(n)) * n * 8 <= 1 << 29 for n in (1, 2, 2048, 2049, 6944, 10**6)) and language.bucket_bits(2048) == language.BUCKET_BITS
+
+
+def test_documents_that_share_an_id(spark):
+    """One id, many texts: a language whose rows share it is learned as well as one whose rows don't; copies count once."""
+    rng = random.Random(10)
+    make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(4)) for _ in range(20))
+    texts = [(make("abcdefgh"), "aa") for _ in range(3000)] + [(make("efghijkl"), "bb") for _ in range(6000)]
+    df = spark.createDataFrame([(k if lang == "aa" else 7, text, lang) for k, (text, lang) in enumerate(texts)], "doc_id bigint, text string, lang string")
+    model = language.learn(df)
+    for letters, lang in (("abcdefgh", "aa"), ("efghijkl", "bb")):
+        assert all(model.predict(make(letters))[0] == lang for _ in range(50))
+    one = df.where("lang = 'aa'").unionByName(spark.range(4000).selectExpr("7L as doc_id", "'klkl ijij klij' as text", "'bb' as lang"))
+    _, chosen = language.sample(one)
+    assert chosen.where("lang = 'bb'").count() == 1 and chosen.where("lang = 'aa'").count() > 500
+    assert language.learn(one).predict("klkl ijij klij")[0] == "bb"
+
+
+def test_whole_texts_are_learned_from(spark):
+    """Long texts lose no n-gram: a bound on all n-grams takes fewer documents, and never the first of a language."""
+    rng = random.Random(11)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(30_000)) for _ in range(8)]
+    df = spark.createDataFrame([(k, t, f"l{k % 2}") for k, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    known = [(set(language.ngrams(t)[0].tolist()), k % 2) for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 5]
+    model = language.learn(df, grams=1)  # one document of each language
+    seen = set(np.nonzero(model.idf < math.log(3) + 1 - 1e-9)[0].tolist())
+    assert seen in [a | b for (a, x), (b, y) in itertools.product(known, known) if (x, y) == (0, 1)]
+    assert model.languages == ["l0", "l1"] and len(seen) > 20_000 and language.sample(df)[1].count() == len(known)
+
+
 def test_coordinate_descent_is_optimal():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(60, 5))
