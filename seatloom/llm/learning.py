@@ -6,16 +6,20 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder
+from .common import id_remainder, materialize
 
+#: Bytes of the texts that are learned from, for each class.
+CLASS_BYTES = 64 << 20
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, modulus: int, held_out: int) -> tuple[DataFrame, dict[int, int]]:
-    """(text, label) of at most per_class rows of each class 0 and 1, and the classes' full counts.
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, modulus: int, held_out: int, class_bytes: int = CLASS_BYTES) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, text, label) of at most per_class rows of each class 0 and 1, and the classes' full counts.
 
     Rows whose id has the held-out remainder, null ids and labels other than 0 and 1 are never used.
     An id with several labels counts once, with the larger; an id with several texts with the least.
     Ids are taken in the order of a hash, so the sample is the same at each run, and at most
-    2 * per_class ids are broadcast.
+    2 * per_class ids are broadcast. Texts are whole: one that doesn't fit in what the texts before it
+    leave of its class's class_bytes isn't learned from. The sample is written once.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & (id_remainder(F.col("doc_id"), modulus) != held_out))
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -24,7 +28,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     ids = docs.sparkSession.createDataFrame(chosen, "doc_id long, label int").withColumnRenamed("doc_id", "chosen_id")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("chosen_id")).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    return found.select("doc_id", "text", "label"), counts
+    found = materialize(found.withColumns({"place": F.xxhash64("doc_id"), "bytes": F.octet_length("text")}), "sample")
+    left, too_long = {0: class_bytes, 1: class_bytes}, []
+    for row in found.select("label", "place", "doc_id", "bytes").orderBy("place", "doc_id").collect():  # at most 2 * per_class rows
+        if row.bytes > left[row.label]:
+            too_long.append(row.doc_id)
+        else:
+            left[row.label] -= row.bytes
+    return found.where(~F.col("doc_id").isin(too_long)).select("doc_id", "text", "label"), counts
 
 
 def held_out_column(col: Column, modulus: int, remainder: int) -> Column:

@@ -14,13 +14,14 @@ import math
 import re
 import zlib
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, map_arrow
+from .common import column, map_arrow, materialize
 from .learning import class_weights, fit_sigmoid, held_out_column, labelled_sample, sigmoid
 
 #: The bound of the sample that is learned from: rows of each class.
@@ -201,8 +202,8 @@ def unit_counts(sample: DataFrame) -> DataFrame:
     """(level, unit, toxic, clean, toxic_0, clean_0, toxic_1, ...): different contexts of each token and prefix, in all and in one fold alone.
 
     sample: text, label, fold. Copies of a text, however many, count once. level: the prefix's length,
-    0 for whole tokens. Units with fewer than three toxic contexts can't be significant: they come
-    summed, as one row a level with a null unit.
+    0 for whole tokens. Units that tell in none of the counts that unit_scores() takes, all or those
+    without a fold, come summed, as one row a level with a null unit.
     """
 
     def make():
@@ -224,7 +225,22 @@ def unit_counts(sample: DataFrame) -> DataFrame:
     sums = [F.sum(x).alias(x) for x in names]
     by_unit = by_token.select(F.explode(F.array_compact(F.array("token", *map(prefix, PREFIXES)))).alias("unit"), *names).groupBy("unit").agg(*sums)
     level = F.when(F.col("unit").endswith("*"), F.length("unit") - 1).otherwise(0)
-    return by_unit.groupBy(level.alias("level"), F.when(F.col("toxic") >= 3, F.col("unit")).alias("unit")).agg(*sums)
+    by_unit = materialize(by_unit.withColumn("level", level), "units")
+    totals = {row["level"]: row.asDict() for row in by_unit.groupBy("level").agg(*sums).collect()}  # a row for each of the levels
+    tells = reduce(lambda a, b: a | b, [_tells(totals[k], f) & (F.col("level") == k) for k in totals for f in (None, *range(FOLDS))], F.lit(False))
+    return by_unit.groupBy("level", F.when(tells, F.col("unit")).alias("unit")).agg(*sums)
+
+
+def _tells(total: dict, without: int | None) -> Column:
+    """Whether a unit's z-score and log-odds reach their limits, given its level's totals, but for rounding. As log_odds()."""
+    toxic, clean = ((F.col(c) - F.col(f"{c}_{without}"), total[c] - total[f"{c}_{without}"]) if without is not None else (F.col(c), total[c]) for c in ("toxic", "clean"))
+    if not toxic[1] or not clean[1]:
+        return F.lit(False)
+    prior = PRIOR * (toxic[1] + clean[1])
+    p = (toxic[0] + clean[0]) * F.lit(PRIOR)
+    a, b = toxic[0] + p, clean[0] + p
+    delta = F.ln(F.try_divide(a, F.lit(toxic[1] + prior) - a)) - F.ln(F.try_divide(b, F.lit(clean[1] + prior) - b))
+    return F.coalesce((delta >= LEAST_ODDS - 1e-9) & (delta / F.sqrt(F.try_divide(F.lit(1.0), a) + F.try_divide(F.lit(1.0), b)) >= LEAST_Z - 1e-9), F.lit(False))
 
 
 def unit_scores(rows: list[dict], without: int | None = None) -> dict[str, float]:

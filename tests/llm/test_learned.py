@@ -292,6 +292,7 @@ def test_sum_statistic_by_definition():
 
 def test_units_count_contexts_of_other_folds(spark):
     rows = [("you bad man", 1, 0), ("you bad man", 1, 0), ("so bad dog", 1, 1), ("a bad cat", 1, 2), ("you bad man", 1, 3), ("a good cat", 0, 0), ("a good cat", 0, 1), ("bad luck here", 0, 4), (None, 0, 1)]
+    rows += [(" ".join(f"w{k}x{j}" for j in range(40)), 0, 3) for k in range(100)]
     df = spark.createDataFrame(rows, "text string, label int, fold int")
     got = {(r.level, r.unit): r for r in toxicity.unit_counts(df).collect()}
     bad = got[0, "bad"]  # contexts: you-man in folds 0 and 3, so-dog in 1, a-cat in 2; clean: start-luck in 4
@@ -299,6 +300,34 @@ def test_units_count_contexts_of_other_folds(spark):
     assert got[0, None].toxic == 6 and all(level in (0, 3, 4, 5, 6) for level, _ in got)
 
 
+def test_units_that_tell_by_their_own_bound(spark):
+    """As log_odds() has it, units of two toxic contexts among them, in all and without a fold."""
+    rng = np.random.default_rng(4)
+    counts = [(2, 1), (2, 0), (1, 0), (3, 0), (3, 9), *((int(a), int(b)) for a, b in rng.integers(0, 12, (80, 2)) // [1, 3])]
+    rows = [(f"u{k}", a, b, int(rng.integers(0, a + 1)), int(rng.integers(0, b + 1))) for k, (a, b) in enumerate(counts)]
+    rows.append(("rest", max(0, 600 - sum(a for a, _ in counts)), 400_000, 10, 1000))
+    df = spark.createDataFrame(rows, "unit string, toxic bigint, clean bigint, toxic_0 bigint, clean_0 bigint")
+    total = {c: sum(r[k] for r in rows) for k, c in enumerate(df.columns) if k}
+    for without in (None, 0):
+        got = {r.unit for r in df.where(toxicity._tells(total, without)).collect()}
+        toxic, clean = (np.array([r[k] - (r[k + 2] if without == 0 else 0) for r in rows], float) for k in (1, 2))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            delta, z, _ = toxicity.log_odds(toxic, clean)
+        want = {r[0] for r, d, x, n in zip(rows, delta, z, toxic + clean) if n and d >= toxicity.LEAST_ODDS and x >= toxicity.LEAST_Z}
+        assert got == want and 10 < len(want) < 80
+    few = spark.createDataFrame([("u", 2, 1)], "unit string, toxic bigint, clean bigint")
+    assert few.where(toxicity._tells({"toxic": 100, "clean": 400_000}, None)).count() == 1
+
+
+def test_a_sample_is_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(k, "x" * (900 if k % 7 == 0 else 10)) for k in range(200)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id bigint, quality int")
+    found, counts = learning.labelled_sample(docs, labels, "quality", 50, 5, 0, 500)
+    rows = found.collect()
+    assert {len(r.text) for r in rows} == {10} and all(0 < sum(len(r.text) for r in rows if r.label == k) <= 500 for k in (0, 1))
+    assert learning.labelled_sample(docs, labels, "quality", 50, 5, 0)[0].count() == 100 and len(rows) > 60
+
+
 def test_toxic_score_by_its_parts(tables):
     """score() against a plain walk: token scores, segments by definition, normalised sums, sigmoid."""
     docs, labels = tables
