@@ -392,6 +392,17 @@ def unpivot_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.build_stats(a, index)
 
 
+@query("""WITH r AS (SELECT event_type, md5(printf('{"event_id":%d,"event_type":"%s","user_id":%d}', event_id, event_type, user_id)) AS d FROM events),
+h AS (SELECT event_type, ('0x' || substr(d, 1, 15))::BIGINT::HUGEINT AS a, ('0x' || substr(d, 16, 15))::BIGINT::HUGEINT AS b FROM r)
+SELECT coalesce(event_type, 'all') AS event_type, count(*) AS n, (sum(a) % 1152921504606846976)::BIGINT AS a, (sum(b) % 1152921504606846976)::BIGINT AS b FROM h GROUP BY GROUPING SETS ((event_type), ())""")
+def table_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of the events of each type, and that of all events as the sum of those."""
+    from ..sources.landing import merge_tags, table_tag
+
+    tags = table_tag(inputs.user_events(spark, sf_dir).select("event_id", "event_type", "user_id"), "event_type")
+    return tags.unionByName(merge_tags(tags).withColumn("event_type", F.lit("all")))
+
+
 @query("SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k, sha1('{\"k\":' || (props::JSON ->> 'k') || '}') AS tag FROM events")
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = inputs.user_events(spark, sf_dir).select("event_id", F.explode(F.from_json("props", "map<string, string>")).alias("name", "value")).where("name = 'k'")

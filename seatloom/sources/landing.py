@@ -9,6 +9,8 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .readers import exists
+
 _own_dir: str | None = None
 _written: list[str] = []
 
@@ -85,3 +87,43 @@ def published(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The newest version, with its number: what every reader of the table sees, whoever wrote it."""
     rows = spark.read.schema(f"{schema}, version bigint").parquet(path)
     return rows.where(F.col("version") == rows.agg(F.max("version")).first()[0])
+
+
+#: Tags are sums modulo this.
+TAG = 1 << 60
+
+
+def table_tag(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n, a, b): a fingerprint of the multiset of rows of each group of keys, or of the whole table without keys.
+
+    n counts rows; a and b are sums, modulo 2^60, of the first and second 15 hexadecimal digits of the
+    MD5 of each row's JSON text, its columns by name. So the order of rows and columns and the
+    partitioning don't matter, repeated rows do, and tags add up (merge_tags). Sums are partial before
+    the shuffle: a group of any size costs a row a task. Entries of maps count in their order. An empty
+    table without keys has the tag 0, 0, 0. Keys take part in the text like other columns.
+    """
+    text = F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(rows.columns))))
+    digest = F.md5(F.coalesce(text, F.lit("")))
+    part = lambda at: F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(28,0)")
+    each = rows.select(*keys, F.lit(1).cast("bigint").alias("n"), part(1).alias("a"), part(16).alias("b"))
+    return merge_tags(each, *keys)
+
+
+def merge_tags(tags: DataFrame, *keys: str) -> DataFrame:
+    """The tags of unions of tables from their own: (keys, n, a, b)."""
+    total = lambda c: F.pmod(F.coalesce(F.sum(F.col(c).cast("decimal(28,0)")), F.lit(0).cast("decimal(38,0)")), F.lit(TAG).cast("decimal(38,0)")).cast("bigint").alias(c)
+    return tags.groupBy(*keys).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"), total("a"), total("b"))
+
+
+def land_tagged(rows: DataFrame, path: str) -> tuple[str, bool]:
+    """Write rows as Parquet into a folder below path that is named by their tag, unless it is there: (folder, whether it was written).
+
+    A folder counts once its job has committed, and isn't written again after that, so readers never
+    see half of one. What an interrupted job has left is replaced. rows are computed twice: for the tag, then to be written.
+    """
+    tag = table_tag(rows).first()
+    folder = f"{path}/{tag.n}-{tag.a:015x}-{tag.b:015x}"
+    if exists(rows.sparkSession, f"{folder}/_SUCCESS"):
+        return folder, False
+    rows.write.mode("overwrite").parquet(folder)
+    return folder, True
