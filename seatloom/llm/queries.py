@@ -108,28 +108,32 @@ def _op1() -> str:
     whole = f"floor({{}} * {rules.BINS})::BIGINT"
     shift = f"greatest(length(bin({whole})) - {rules.BINS.bit_length()}, 0)"
     binned = f"((({whole}) >> {shift}) << {shift}) / {rules.BINS}::DOUBLE"
-    fences = []
-    for m, (least, low, high) in rules.MEASURES.items():
-        one, three = (f"quantile_disc({binned.replace('{}', m)}, {p})" for p in (0.25, 0.75))
-        spread = f"greatest({three} - {one}, {least}::DOUBLE) * {rules.FENCE}::DOUBLE"
-        fences.append(f"{f'{one} - {spread}' if low else 'NULL::DOUBLE'} AS {m}_low, {f'{three} + {spread}' if high else 'NULL::DOUBLE'} AS {m}_high")
-    fence = ", ".join(fences)
-    pick = lambda c: f"CASE WHEN s.n >= {rules.LEAST_ROWS} THEN s.{c} WHEN g.n >= {rules.LEAST_ROWS} THEN g.{c} ELSE a.{c} END"
-    inside = " AND ".join(f"coalesce(m.{m} >= {pick(f'{m}_low')}, true) AND coalesce(m.{m} <= {pick(f'{m}_high')}, true)" for m in rules.MEASURES)
+    quartile = ", ".join(f"quantile_disc({binned.replace('{}', m)}, {p}) AS {m}_{k}" for m in rules.SKETCHED for p, k in ((0.25, 1), (0.75, 3)))
+    lean = lambda own, n, other: ", ".join(f"({n} * {own}.{m}_{k} + {rules.PRIOR_ROWS} * {other}.{m}_{k}) / ({n} + {rules.PRIOR_ROWS}) AS {m}_{k}" for m in rules.SKETCHED for k in (1, 3))
+    # The limits as roots of the quadratic equation n * (q - x)^2 = z^2 * x * (1 - x), or z^2 * x for rates.
+    z2, part = rules.ERRORS**2, {"words": "n_words_1", "lines": "n_lines_1", "windows": f"(n_words_1 / {rules.WINDOW})", "chars": "(n_words_1 * chars_per_word_1)"}
+    inside = []
+    for m, (of, share, low) in rules.MEASURES.items():
+        for end, sign in ((3, "+"), *[(1, "-")] * low):
+            q, n = f"{m}_{end}", part[of]
+            root = f"{rules.ERRORS} * sqrt({z2} + 4 * {n} * {q}{f' * (1 - {q})' if share else ''})"
+            limit = f"(2 * {n} * {q} + {z2} {sign} {root}) / (2 * ({n}{f' + {z2}' if share else ''}))"
+            inside.append(f"m.{m} {'<=' if end == 3 else '>='} {limit} {sign} {rules.FENCE} * ({m}_3 - {m}_1)")
+    inside = " AND ".join(inside)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
-g AS (SELECT rid, i, array_to_string(w[i:i + 7], ' ') AS gram FROM w, unnest(generate_series(1, len(w) - 7)) AS u(i)),
-rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS n FROM g) WHERE n > 1),
+grams AS (SELECT rid, i, array_to_string(w[i:i + 7], ' ') AS gram FROM w, unnest(generate_series(1, len(w) - 7)) AS u(i)),
+rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS n FROM grams) WHERE n > 1),
 cov AS (SELECT rid, count(DISTINCT i + k) AS n FROM rep, generate_series(0, 7) AS u(k) GROUP BY rid),
 c AS (
   SELECT w.rid, doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
-    coalesce(cov.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines,
+    coalesce(cov.n, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines,
     length(regexp_replace(t, '[^!?"''()\\[\\]{{}}=+/\\\\^~_@;:-]+', '', 'g')) AS n_marks, length(regexp_replace(t, '[^A-ZÀ-ÖØ-Þ]+', '', 'g')) AS n_upper
   FROM w LEFT JOIN cov ON cov.rid = w.rid
 ), m AS (
-  SELECT rid, doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  SELECT rid, doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines,
     n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
     CASE WHEN n_words > 0 THEN n_symbols::DOUBLE / n_words ELSE 0 END AS symbols_per_word,
     CASE WHEN n_words > 0 THEN word_chars::DOUBLE / n_words ELSE 0 END AS chars_per_word,
@@ -139,13 +143,14 @@ c AS (
     CASE WHEN word_chars > 0 THEN n_upper::DOUBLE / word_chars ELSE 0 END AS upper_share
   FROM c
 ), p AS (SELECT * FROM m WHERE NOT base_failed),
-s AS (SELECT lang, source, count(*) AS n, {fence} FROM p GROUP BY lang, source),
-g2 AS (SELECT lang, count(*) AS n, {fence} FROM p GROUP BY lang),
-a AS (SELECT count(*) AS n, {fence} FROM p)
-SELECT m.doc_id, m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words, m.base_failed, {", ".join("m." + x for x in rules.MEASURES)},
-  NOT m.base_failed AND {inside} AS kept
-FROM m LEFT JOIN s ON m.lang IS NOT DISTINCT FROM s.lang AND m.source IS NOT DISTINCT FROM s.source
-LEFT JOIN g2 AS g ON m.lang IS NOT DISTINCT FROM g.lang CROSS JOIN a
+a AS (SELECT {quartile} FROM p),
+g AS (SELECT lang, count(*) AS n, {quartile} FROM p GROUP BY lang),
+g2 AS (SELECT lang, {lean("g", "g.n", "a")} FROM g, a),
+s AS (SELECT lang, source, count(*) AS n, {quartile} FROM p GROUP BY lang, source),
+f AS (SELECT s.lang, s.source, {lean("s", "s.n", "g2")} FROM s JOIN g2 ON s.lang IS NOT DISTINCT FROM g2.lang)
+SELECT m.doc_id, m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words, m.base_failed, {", ".join("m." + x for x in rules.MEASURES)}, m.n_lines,
+  coalesce(NOT m.base_failed AND {inside}, false) AS kept
+FROM m LEFT JOIN f ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source
 """
 
 

@@ -4,6 +4,12 @@ Native: DataFrame functions only. Measures are computed within each row. Quantil
 are built per language and source, merged to sketches per language and over all, and read as
 quartiles; a document is then joined with the fences of its group and kept if it lies inside them.
 
+A fence has no constant of its own measure. Beyond the quartile it leaves room for the group's spread
+and for chance: the score limit of a rate or share at the quartile, seen over as many words, lines or
+characters as the group's first quartile of documents has. So fences are tighter where documents are
+longer or vary less. Groups lean on their language, and languages on all rows, by PRIOR_ROWS rows, so
+that small and large groups have fences by the same rule.
+
 A sketch counts values in bins whose width follows the value, BINS to a power of two. Counts add, so
 merging is exact and independent of the order of rows and tasks: each run gives the same fences. A
 quantile has no error in rank and comes as its bin's lower edge, at most 1 / BINS below the true
@@ -12,6 +18,8 @@ value in relative terms (absolute ones below 1).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,19 +31,21 @@ WINDOW = 8
 LEAST_WORDS, MOST_REPEATED = 20, 30
 #: Bins of a sketch in each power of two, a power of two itself.
 BINS = 256
-#: Rows below which a group takes the fences of its language, and a language those of all rows.
-LEAST_ROWS = 30
-#: A fence lies this many spreads beyond a quartile; the spread is the quartiles' distance.
-FENCE = 3.0
-#: Measure: (least spread, lower fence, upper fence). The least spread keeps a fence off the quartile of a measure that hardly varies.
+#: Rows' worth of its language that a group's quartiles have beside its own rows, and a language's of all rows.
+PRIOR_ROWS = 10
+#: A fence lies this many times the quartiles' distance, and the score limit of this many standard errors, beyond a quartile.
+FENCE, ERRORS = 3.0, 4.0
+#: Measure: (what it is a part of, whether it is at most 1, whether it has a lower fence). All have an upper one.
 MEASURES = {
-    "symbols_per_word": (0.1, False, True),
-    "chars_per_word": (1.0, True, True),
-    "dup_line_share": (0.15, False, True),
-    "repeat_word_share": (0.08, False, True),
-    "mark_share": (0.02, False, True),
-    "upper_share": (0.05, False, True),
+    "symbols_per_word": ("words", False, False),
+    "chars_per_word": ("words", False, True),
+    "dup_line_share": ("lines", True, False),
+    "repeat_word_share": ("windows", True, False),
+    "mark_share": ("chars", True, False),
+    "upper_share": ("chars", True, False),
 }
+#: What sketches count: the measures, and the sizes that say how much of them is chance.
+SKETCHED = (*MEASURES, "n_words", "n_lines")
 
 
 def _repeat_words() -> Column:
@@ -58,7 +68,7 @@ def _repeat_words() -> Column:
 
 
 def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: bool = False) -> DataFrame:
-    """(doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, and MEASURES).
+    """(doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, MEASURES and n_lines).
 
     A null text has no words. One row per input row, computed within it: no shuffle. With carry, the
     whole input row follows as a struct named row.
@@ -80,7 +90,7 @@ def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     )
     rows = rows.withColumn("n_repeat_words", _repeat_words()).drop("words")
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    rows = rows.withColumns({"n_words": F.col("n_words").cast("long"), "n_dup_lines": (F.col("line.n") - F.col("line.distinct")).cast("long"), "n_lines": F.col("line.n")})
+    rows = rows.withColumns({"n_words": F.col("n_words").cast("long"), "n_dup_lines": (F.col("line.n") - F.col("line.distinct")).cast("long"), "n_lines": F.col("line.n").cast("long")})
     return rows.select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))).alias("base_failed"),
@@ -89,7 +99,7 @@ def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
         share("n_dup_lines", "n_lines").alias("dup_line_share"),
         share("n_repeat_words", "n_words").alias("repeat_word_share"),
         share("n_marks", "word_chars").alias("mark_share"),
-        share("n_upper", "word_chars").alias("upper_share"), *extra,
+        share("n_upper", "word_chars").alias("upper_share"), "n_lines", *extra,
     )
 
 
@@ -101,8 +111,8 @@ def binned(x: Column | str) -> Column:
 
 
 def sketches(rows: DataFrame, *keys: str) -> DataFrame:
-    """(keys, measure, bin, n): a sketch of each measure for each group of keys, as its bins' counts, summed map-side first."""
-    each = rows.select(*keys, F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), binned(m).alias("bin")) for m in MEASURES))).alias("x"))
+    """(keys, measure, bin, n): a sketch of each of SKETCHED for each group of keys, as its bins' counts, summed map-side first."""
+    each = rows.select(*keys, F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), binned(m).alias("bin")) for m in SKETCHED))).alias("x"))
     return each.groupBy(*keys, "x.measure", "x.bin").agg(F.count("*").alias("n"))
 
 
@@ -112,60 +122,86 @@ def merge_sketches(groups: DataFrame, *keys: str) -> DataFrame:
 
 
 def quartiles(groups: DataFrame, *keys: str) -> DataFrame:
-    """(keys, n, <measure>_1, <measure>_3): rows and the first and third quartile of each measure, the least value with that share of rows at or below it."""
+    """(keys, n, <measure>_1, <measure>_3): rows and the first and third quartile of each of SKETCHED, the least value with that share of rows at or below it."""
     own = Window.partitionBy(*keys, "measure")
     ranked = groups.withColumns({"upto": F.sum("n").over(own.orderBy("bin")), "rows": F.sum("n").over(own)})
     at = lambda m, p: F.min(F.when((F.col("measure") == m) & (F.col("upto") >= F.ceil(F.col("rows") * p)), F.col("bin")))
-    ends = [at(m, p).alias(f"{m}_{name}") for m in MEASURES for p, name in ((0.25, 1), (0.75, 3))]
+    ends = [at(m, p).alias(f"{m}_{name}") for m in SKETCHED for p, name in ((0.25, 1), (0.75, 3))]
     return ranked.groupBy(*keys).agg(F.max("rows").alias("n"), *ends)
 
 
-def _fences(groups: DataFrame, *keys: str) -> DataFrame:
-    """(keys, n, fences): for each measure the lower and upper fence, null where it has none."""
+_QUARTILES = [f"{m}_{k}" for m in SKETCHED for k in (1, 3)]
+
+
+def _lean(own: str, n: str, other: dict[str, Column], rows: int) -> list[Column]:
+    """Quartiles of a group of n rows, moved towards others' as rows of those would move a mean."""
+    return [((F.col(n) * F.col(f"{own}.{q}") + rows * other[q]) / (F.col(n) + rows)).alias(q) for q in _QUARTILES]
+
+
+def _limit(q: Column, n: Column, share: bool, sign: int) -> Column:
+    """The score limit, above (sign 1) or below (-1), of a rate or share q seen over n trials."""
+    square = ERRORS * ERRORS
+    error = F.sqrt((q * (1 - q) if share else q) / n + square / (4 * n * n))
+    limit = q + square / (2 * n) + sign * ERRORS * error
+    return limit / (1 + square / n) if share else limit
+
+
+def _fence(at: Callable[[str], Column]) -> Column:
+    """A struct of <measure>_low (null where there is none) and <measure>_high, from a group's quartiles."""
+    words = at("n_words_1")
+    trials = {"words": words, "lines": at("n_lines_1"), "windows": words / WINDOW, "chars": words * at("chars_per_word_1")}
     ends = []
-    for m, (least, low, high) in MEASURES.items():
-        one, three = F.col(f"{m}_1"), F.col(f"{m}_3")
-        spread = F.greatest(three - one, F.lit(least)) * FENCE
-        none = F.lit(None).cast("double")
-        ends += [(one - spread if low else none).alias(f"{m}_low"), (three + spread if high else none).alias(f"{m}_high")]
-    return quartiles(groups, *keys).select(*keys, "n", F.struct(*ends).alias("fences"))
+    for m, (part, share, low) in MEASURES.items():
+        one, three = at(f"{m}_1"), at(f"{m}_3")
+        spread = (three - one) * FENCE
+        ends.append((_limit(one, trials[part], share, -1) - spread if low else F.lit(None).cast("double")).alias(f"{m}_low"))
+        ends.append((_limit(three, trials[part], share, 1) + spread).alias(f"{m}_high"))
+    return F.struct(*ends)
+
+
+def fences(rows: DataFrame, prior_rows: int = PRIOR_ROWS) -> DataFrame:
+    """(lang_key, source_key, n, fence) for each group of measures() with rows that pass the base rules, n of them."""
+    fine = materialize(sketches(rows.where("not base_failed"), "lang_key", "source_key"), "sketches")
+    coarse = materialize(merge_sketches(fine, "lang_key"), "sketches")
+    overall = quartiles(merge_sketches(coarse)).first()  # one row: quartiles of all rows are constants
+    of_all = {q: F.lit(overall[q] if overall else None).cast("double") for q in _QUARTILES}
+    own = F.struct(*_QUARTILES).alias("own")
+    langs = quartiles(coarse, "lang_key").select("lang_key", "n", own)
+    langs = langs.select("lang_key", F.struct(*_lean("own", "n", of_all, prior_rows)).alias("of_lang"))
+    groups = quartiles(fine, "lang_key", "source_key").select("lang_key", "source_key", "n", own).join(langs, "lang_key")
+    groups = groups.select("lang_key", "source_key", "n", F.struct(*_lean("own", "n", {q: F.col(f"of_lang.{q}") for q in _QUARTILES}, prior_rows)).alias("q"))
+    return groups.select("lang_key", "source_key", "n", _fence(lambda c: F.col(f"q.{c}")).alias("fence"))
 
 
-def apply_rules(rows: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
+def with_keys(rows: DataFrame) -> DataFrame:
+    """Add lang_key and source_key, in which a null is a value of its own."""
+    return rows.withColumns({f"{k}_key": F.concat(F.when(F.col(k).isNull(), "-").otherwise("+"), F.coalesce(k, F.lit(""))) for k in ("lang", "source")})
+
+
+def apply_rules(rows: DataFrame, prior_rows: int = PRIOR_ROWS) -> DataFrame:
     """Add kept to measures().
 
-    Fences come from the rows that pass the base rules. The group of a language and source is used
-    if it has least_rows such rows, else its language, else all rows; nulls are a language or source
-    of their own. Where no row passes the base rules there are no fences, and nothing is kept.
+    Fences come from the rows that pass the base rules. A group is a language and source; nulls are a
+    language or source of their own. A row of a group in which none passes them isn't kept.
     """
-    keys = ["lang", "source"]
-    named = rows.withColumns({f"{k}_key": F.concat(F.when(F.col(k).isNull(), "-").otherwise("+"), F.coalesce(k, F.lit(""))) for k in keys})
-    fine = materialize(sketches(named.where("not base_failed"), "lang_key", "source_key"), "sketches")
-    coarse = materialize(merge_sketches(fine, "lang_key"), "sketches")
-    overall = _fences(merge_sketches(coarse)).first()  # one row: the driver needs the fences of all rows as constants
-    ends = overall.fences.asDict() if overall and overall.n else {}
-    last = F.struct(*(F.lit(ends.get(f"{m}_{side}")).cast("double").alias(f"{m}_{side}") for m in MEASURES for side in ("low", "high")))
-    at_source = _fences(fine, "lang_key", "source_key").select(F.col("lang_key").alias("l"), "source_key", F.when(F.col("n") >= least_rows, F.col("fences")).alias("f1"))
-    at_lang = _fences(coarse, "lang_key").select(F.col("lang_key").alias("l"), F.when(F.col("n") >= least_rows, F.col("fences")).alias("f2"))
-    # One fence for each language and source that has rows: the fallbacks meet there, before the documents do.
-    fences = at_source.join(at_lang, "l", "left")
-    fences = materialize(fences.select(F.col("l").alias("lang_of"), F.col("source_key").alias("source_of"), F.coalesce("f1", "f2", last).alias("fence")), "fences")
-    joined = named.join(fences, (F.col("lang_key") == F.col("lang_of")) & (F.col("source_key") == F.col("source_of")), "left")
+    named = with_keys(rows)
+    ends = materialize(fences(named, prior_rows), "fences").select(F.col("lang_key").alias("lang_of"), F.col("source_key").alias("source_of"), "fence")
+    joined = named.join(ends, (F.col("lang_key") == F.col("lang_of")) & (F.col("source_key") == F.col("source_of")), "left")
     inside = F.lit(True)
-    for m in MEASURES:
-        inside = inside & F.coalesce(F.col(m) >= F.col(f"fence.{m}_low"), F.lit(True)) & F.coalesce(F.col(m) <= F.col(f"fence.{m}_high"), F.lit(True))
-    return joined.withColumn("kept", ~F.col("base_failed") & inside).select(*rows.columns, "kept")
+    for m, (_, _, low) in MEASURES.items():
+        inside = inside & (F.col(m) <= F.col(f"fence.{m}_high")) & ((F.col(m) >= F.col(f"fence.{m}_low")) if low else F.lit(True))
+    return joined.withColumn("kept", F.coalesce(~F.col("base_failed") & inside, F.lit(False))).select(*rows.columns, "kept")
 
 
-def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_rows: int = LEAST_ROWS) -> DataFrame:
+def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", prior_rows: int = PRIOR_ROWS) -> DataFrame:
     """measures() and kept for every row of df. Texts are read once; their measures are written to the shared folder.
 
-    A group of fewer than least_rows rows that pass the base rules takes the fences of its language,
-    and a language of fewer those of all rows. A null or empty text has no words and isn't kept.
+    A group's quartiles lean on its language's by prior_rows rows, and those on all rows'. A null or
+    empty text has no words and isn't kept.
     """
-    return apply_rules(materialize(measures(df, id_col, text_col, lang_col, source_col), "measures"), least_rows)
+    return apply_rules(materialize(measures(df, id_col, text_col, lang_col, source_col), "measures"), prior_rows)
 
 
-def keep_passing(df: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
+def keep_passing(df: DataFrame, prior_rows: int = PRIOR_ROWS) -> DataFrame:
     """The whole rows of df that quality_rules() keeps. They travel with their measures, so texts are measured once."""
-    return apply_rules(materialize(measures(df, carry=True), "measures"), least_rows).where("kept").select("row.*")
+    return apply_rules(materialize(measures(df, carry=True), "measures"), prior_rows).where("kept").select("row.*")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from seatloom.llm import lines, queries, rules
 
+from .conftest import SF
+
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -50,9 +52,45 @@ def test_fences_adapt_to_the_group(spark):
     assert all(got[200 + k] for k in range(60))  # usual in that source
 
 
+FOUR = "doc_id bigint, text string, lang string, source string"
+
+
+def test_fences_tell_mild_differences(spark):
+    """Groups of like rows: only the length of words differs, then only that of texts."""
+    text = lambda k, n, c: " ".join(f"{(k * 7919 + i) % 10**c:0{c}d}" for i in range(n))
+    rows = [(k, text(k, 40, 5), "en", "a") for k in range(50)] + [(100 + k, text(k, 40, 7), "de", "b") for k in range(50)] + [(200 + k, text(k, 1000, 5), "en", "c") for k in range(50)]
+    rows += [(900, text(900, 40, 8), "en", "a"), (901, text(900, 40, 8), "de", "b")]
+    marked = lambda n: " ".join(x + "$" * (i % 5 == 0) for i, x in enumerate(text(950, n, 5).split()))
+    rows += [(902, marked(40), "en", "a"), (903, marked(1000), "en", "c")]
+    got = {r.doc_id: r.kept for r in rules.quality_rules(spark.createDataFrame(rows, FOUR)).collect()}
+    assert not got.pop(900) and got.pop(901)  # words of 8 letters: odd beside 5, not beside 7
+    assert got.pop(902) and not got.pop(903)  # a symbol in five words: chance in 40 words, not in 1,000
+    assert all(got.values())
+
+
+def test_fences_follow_the_rows(spark):
+    """Fences of a group of 29, 30 and 31 rows differ by little, and lean on the language's the more the fewer rows there are."""
+    high = []
+    for n in (1, 10, 29, 30, 31, 300):
+        rows = [(k, "abcde " * 3 + " ".join(f"{k:02d}{i:03d}" for i in range(30)), "en", "a") for k in range(400)]
+        rows += [(1000 + k, " ".join(f"{k:04d}{i:03d}" for i in range(30)), "en", "b") for k in range(n)]
+        ends = rules.fences(rules.with_keys(rules.measures(spark.createDataFrame(rows, FOUR)))).where("source_key = '+b'").first()
+        assert ends.n == n
+        high.append(ends.fence.chars_per_word_high)
+    assert high == sorted(high) and max(high[3] - high[2], high[4] - high[3]) < 0.05 and high[-1] - high[0] > 1
+
+
+def test_fences_differ_at_scale(spark):
+    """In the documents no fence is the same in all groups."""
+    rows = rules.with_keys(rules.measures(spark.read.parquet(SF + "/documents.parquet")))
+    ends = [r.fence.asDict() for r in rules.fences(rows).collect()]
+    for m in rules.MEASURES:
+        assert len({round(e[f"{m}_high"], 4) for e in ends}) > len(ends) / 4
+
+
 def test_sketches_merge(spark):
     """100,000 rows a group: quartiles against exact ones within a bin's width, and the same in any order."""
-    values = {m: (F.pmod(F.xxhash64("id", F.lit(m)), F.lit(1_000_003)) / 1_000_003.0) ** 3 * scale for m, scale in zip(rules.MEASURES, (1, 50, 1, 0.2, 3000, 8))}
+    values = {m: (F.pmod(F.xxhash64("id", F.lit(m)), F.lit(1_000_003)) / 1_000_003.0) ** 3 * scale for m, scale in zip(rules.SKETCHED, (1, 50, 1, 0.2, 3000, 8, 20_000, 90))}
     rows = spark.range(200_000).select(F.lit("x").alias("lang_key"), (F.col("id") % 2).cast("string").alias("source_key"), *(v.alias(m) for m, v in values.items()))
     def found(rows):
         fine = rules.sketches(rows, "lang_key", "source_key")
@@ -63,7 +101,7 @@ def test_sketches_merge(spark):
     assert (fine, merged) == tuple(found(rows.repartition(13).sample(1.0)))
     table = rows.toPandas()
     for r, part in (*((r, table[table.source_key == r.source_key]) for r in fine), (merged[0], table)):
-        for m in rules.MEASURES:
+        for m in rules.SKETCHED:
             for name, p in ((1, 0.25), (3, 0.75)):
                 exact = sorted(part[m])[-(-len(part) * int(100 * p) // 100) - 1]
                 assert 0 <= exact - r[f"{m}_{name}"] <= max(1.0, exact) / rules.BINS
