@@ -20,15 +20,39 @@ def parse_int(x: Column | str) -> Column:
     return F.regexp_extract(col(x).cast("string"), r"^\s*([+-]?\d+)", 1).try_cast("bigint")
 
 
-def number_or_zero(x: Column | str) -> Column:
-    """The whole text as a number, else 0: decimal with a sign and an exponent or without, Infinity, or whole in base 16, 8 or 2 (0x, 0o, 0b; up to 64 bits). White space around it doesn't count."""
+def number_or_null(x: Column | str) -> Column:
+    """The whole text as a number, null if it isn't one, 0 if it is blank: decimal with a sign and an exponent or without, Infinity, or whole in base 16, 8 or 2 (0x, 0o, 0b; up to 64 bits). White space around it doesn't count."""
     text = F.regexp_replace(col(x).cast("string"), r"^[\s\u00A0\uFEFF]+|[\s\u00A0\uFEFF]+$", "")
     based = F.when(F.lit(False), 0.0)
     for mark, base, digits in (("x", 16, "0-9a-f"), ("o", 8, "0-7"), ("b", 2, "01")):
         based = based.when(text.rlike(f"^(?i)0{mark}[{digits}]+$"), F.conv(F.substring(text, 3, 1 << 20), base, 10).try_cast("double"))
     endless = F.when(text.startswith("-"), float("-inf")).otherwise(float("inf"))
     number = based.when(text.rlike(r"^[+-]?Infinity$"), endless).when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast("double"))
-    return F.coalesce(number, F.lit(0.0))
+    return F.when(text == "", 0.0).otherwise(number)
+
+
+def number_or_zero(x: Column | str) -> Column:
+    """number_or_null(), 0 instead of null."""
+    return F.coalesce(number_or_null(x), F.lit(0.0))
+
+
+def json_kind(x: Column | str) -> Column:
+    """What a VARIANT holds: number, text, boolean, null, object or array; null where there is none."""
+    shape = F.schema_of_variant(col(x))
+    named = F.when(shape == "VOID", "null").when(shape == "STRING", "text").when(shape == "BOOLEAN", "boolean")
+    return named.when(shape.startswith("OBJECT"), "object").when(shape.startswith("ARRAY"), "array").when(shape.isNotNull(), "number")
+
+
+def strict_number(x: Column | str) -> Column:
+    """The number that a VARIANT holds, 0 if it holds anything else: a text of digits isn't a number."""
+    return F.when(json_kind(x) == "number", F.try_variant_get(col(x), "$", "double")).otherwise(0.0)
+
+
+def loose_number(x: Column | str) -> Column:
+    """A VARIANT's number: null and blank texts are 0, booleans 0 or 1, texts what they say; null for objects, arrays and what isn't there."""
+    kind = json_kind(x)
+    as_text = number_or_null(F.try_variant_get(col(x), "$", "string"))
+    return F.when(kind == "number", F.try_variant_get(col(x), "$", "double")).when(kind == "null", 0.0).when(kind == "boolean", F.try_variant_get(col(x), "$", "boolean").cast("double")).when(kind == "text", as_text)
 
 
 def parse_decimal_comma(x: Column | str) -> Column:

@@ -537,6 +537,18 @@ def poll_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_poll(_polls(spark, sf_dir))
 
 
+@query("""SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'number' WHEN 1 THEN 'text' WHEN 2 THEN 'null' WHEN 3 THEN 'object' WHEN 4 THEN 'boolean' WHEN 5 THEN 'array' WHEN 6 THEN 'text' END AS kind,
+CASE WHEN c_custkey % 8 = 0 THEN c_acctbal::DOUBLE ELSE 0 END AS strict, CASE c_custkey % 8 WHEN 0 THEN c_acctbal::DOUBLE WHEN 1 THEN c_acctbal::DOUBLE WHEN 2 THEN 0 WHEN 4 THEN (c_nationkey > 9)::INT::DOUBLE END AS loose FROM customer""")
+def typed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One field of a JSON document that holds another kind of value from row to row, told apart as VARIANT."""
+    k, number = F.col("c_custkey") % 8, F.col("c_acctbal").cast("string")
+    values = [number, F.concat(F.lit('" '), number, F.lit('"')), F.lit("null"), F.concat(F.lit('{"n": '), number, F.lit("}")), (F.col("c_nationkey") > 9).cast("string"), F.concat(F.lit("["), number, F.lit("]")), F.concat(F.lit('"'), F.col("c_name"), F.lit('"'))]
+    field = F.get(F.array(*values), k)
+    text = F.when(k < 7, F.concat(F.lit('{"votes": '), field, F.lit("}"))).otherwise("{}")
+    field = F.try_variant_get(F.try_parse_json(text), "$.votes", "variant")
+    return table(spark, sf_dir, "customer").select("c_custkey", fn.json_kind(field).alias("kind"), fn.strict_number(field).alias("strict"), fn.loose_number(field).alias("loose"))
+
+
 @query("SELECT e::VARCHAR AS election, row_number() OVER (PARTITION BY e ORDER BY f)::BIGINT AS place, t AS time FROM (SELECT n_regionkey AS e, t, min(n_nationkey * 3 + p) AS f FROM nation, (VALUES ('21:45', 0), ('21:00', 1), ('23:00', 2)) AS x(t, p) WHERE p < 2 OR n_nationkey % 2 = 1 GROUP BY ALL)")
 def poll_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.readers import poll_times as times
@@ -608,6 +620,15 @@ def streaming_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.replay(spark, replay.daily_snapshots(inputs.user_events(spark, sf_dir))).drop("signature")
 
 
+@query(_REPLAYED.replace("WHERE p.n IS NULL OR p.total", "WHERE t.n > 11 AND (p.total") + ")")
+def streaming_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the twelfth day on: the stream's state begins with the stored snapshots of the days before."""
+    days = once(replay.daily_snapshots(inputs.user_events(spark, sf_dir)), "days").withColumn("_place", F.row_number().over(Window.partitionBy("election").orderBy("seq")))
+    stored, rest = (days.where(c).drop("_place") for c in ("_place <= 11", "_place > 11"))
+    with live.typed_state(spark):
+        return replay.replay(spark, rest, lambda stream: live.changes_after(stream, stored)).drop("signature")
+
+
 @query(_REPLAYED)
 def polling_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by polling each second, stopped once the last snapshot has come."""

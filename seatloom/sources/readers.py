@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions import election_key, falsy_text, from_epoch, from_iso, normal_name, parse_decimal_comma, parse_int
+from ..functions import election_key, falsy_text, from_epoch, from_iso, json_kind, loose_number, normal_name, parse_decimal_comma, parse_int
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -118,14 +118,20 @@ def official_votes(maps: DataFrame) -> DataFrame:
 
 
 def exit_poll(maps: DataFrame) -> DataFrame:
-    """read_map(EXIT_POLL) as rows: election, party_pos, name (normalised), pos, time (null in the flat layout), seats. What isn't a number drops out."""
-    flat = F.from_json("value", "array<struct<party: string, seats: string>>")
-    nested = F.from_json("value", "map<string, map<string, string>>")
-    is_flat = F.ltrim("value").startswith("[")
-    one = maps.where(is_flat).select(F.col("key").alias("election"), F.posexplode(flat).alias("pos", "p")).select("election", F.col("pos").alias("party_pos"), F.col("p.party").alias("name"), "pos", F.lit(None).cast("string").alias("time"), F.col("p.seats").alias("seats"))
-    two = maps.where(~is_flat).select(F.col("key").alias("election"), F.posexplode(F.map_entries(nested)).alias("party_pos", "p")).select("election", "party_pos", F.col("p.key").alias("name"), F.posexplode(F.map_entries("p.value")).alias("pos", "e")).select("election", "party_pos", "name", "pos", F.col("e.key").alias("time"), F.col("e.value").alias("seats"))
-    rows = one.unionByName(two)
-    return rows.select("election", "party_pos", normal_name("name").alias("name"), "pos", "time", F.col("seats").try_cast("int").alias("seats")).where("seats is not null")
+    """read_map(EXIT_POLL) as rows: election, party_pos, name (normalised), pos, time (null in the flat layout), seats.
+
+    The layout follows from the kind of JSON value, and each number from its own, so one odd value costs
+    no other. Parties without a name drop out, and so do values that loose_number() can't take; fractions
+    of seats are cut. VARIANT objects don't keep the order of their fields, so it comes from maps.
+    """
+    kind = json_kind(F.try_parse_json("value"))
+    one = maps.where(kind == "array").select(F.col("key").alias("election"), F.posexplode(F.from_json("value", "array<variant>")).alias("pos", "p"))
+    one = one.select("election", F.col("pos").alias("party_pos"), F.try_variant_get("p", "$.party", "string").alias("name"), "pos", F.lit(None).cast("string").alias("time"), F.try_variant_get("p", "$.seats", "variant").alias("seats"))
+    two = maps.where(kind == "object").select(F.col("key").alias("election"), F.posexplode(F.map_entries(F.from_json("value", "map<string, string>"))).alias("party_pos", "p"))
+    two = two.select("election", "party_pos", F.col("p.key").alias("name"), F.posexplode(F.map_entries(F.from_json("p.value", "map<string, variant>"))).alias("pos", "e"))
+    rows = one.unionByName(two.select("election", "party_pos", "name", "pos", F.col("e.key").alias("time"), F.col("e.value").alias("seats")))
+    rows = rows.select("election", "party_pos", normal_name("name").alias("name"), "pos", "time", loose_number("seats").try_cast("int").alias("seats"))
+    return rows.where("seats is not null and name <> ''")
 
 
 def latest_poll(polls: DataFrame) -> DataFrame:

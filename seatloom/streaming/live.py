@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import threading
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 POLL = "30 seconds"
@@ -21,7 +22,8 @@ SNAPSHOT = "election string, seq bigint, signature string, total bigint, seats m
 EVENT = "election string, seq bigint, signature string, event string"
 PAIR = "election string, seq bigint, signature string, updated bigint, now bigint"
 SINCE = "election string, seq bigint, signature string, since bigint"
-STATE = "seen boolean, signature string, total bigint, seats map<string, bigint>"
+LAST = "signature string, total bigint, seats map<string, bigint>"
+STATE = f"seen boolean, {LAST}"
 PLACE = "place string, seq bigint, status string, population bigint"
 DELTA = "counted bigint, eligible bigint, places_counted bigint, places bigint"
 ITEM = "feed int, pos bigint, name string, ts timestamp"
@@ -35,23 +37,31 @@ def read_snapshots(spark: SparkSession, path: str, schema: str = SNAPSHOT, files
     return reader.parquet(path)
 
 
-def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    seen, signature, total, seats = state.get if state.exists else (False, None, None, None)
-    rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
+def _whole(n) -> int | None:
+    return None if pd.isna(n) else int(n)
+
+
+def _walk(election: str, rows: pd.DataFrame, last: tuple | None) -> tuple[list[tuple], tuple | None]:
+    """Events of an election's snapshots in order of seq, after the last one (signature, total, seats), and the new last one."""
     out = []
-    for row in rows.itertuples():
-        now = dict(row.seats or {})
-        if seen and row.signature == signature:
+    for row in rows.sort_values("seq", kind="stable").itertuples():
+        total, now = _whole(row.total), {p: _whole(n) for p, n in dict(row.seats or {}).items()}
+        if last and row.signature == last[0]:
             continue
-        if not seen:
+        if not last:
             event = "first"
-        elif any(n != dict(seats or {}).get(p, 0) for p, n in now.items()):
+        elif any(n != dict(last[2] or {}).get(p, 0) for p, n in now.items()):
             event = "seats"
         else:
-            event = "votes" if (row.total or 0) > (total or 0) else "none"
-        out.append((key[0], row.seq, row.signature, event))
-        seen, signature, total, seats = True, row.signature, row.total, now
-    state.update((seen, signature, total, seats))
+            event = "votes" if (total or 0) > (last[1] or 0) else "none"
+        out.append((election, row.seq, row.signature, event))
+        last = (row.signature, total, now)
+    return out, last
+
+
+def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    out, last = _walk(key[0], pd.concat(list(batches)), state.get[1:] if state.exists else None)
+    state.update((True, *last))
     yield pd.DataFrame(out, columns=["election", "seq", "signature", "event"])
 
 
@@ -63,6 +73,47 @@ def changes(snapshots: DataFrame) -> DataFrame:
     return snapshots.groupBy("election").applyInPandasWithState(_step, EVENT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+class _ChangesAfter(StatefulProcessor):
+    """changes() whose state begins with a stored snapshot of each election."""
+
+    def init(self, handle) -> None:
+        self.last = handle.getValueState("last", LAST)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        row = next(initialState.itertuples())
+        self.last.update((row.signature, _whole(row.total), dict(row.seats or {})))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        out, last = _walk(key[0], pd.concat(list(rows)), tuple(self.last.get()) if self.last.exists() else None)
+        self.last.update(last)
+        yield pd.DataFrame(out, columns=["election", "seq", "signature", "event"])
+
+    def close(self) -> None: ...
+
+
+def changes_after(snapshots: DataFrame, history: DataFrame) -> DataFrame:
+    """changes() of a stream that goes on where stored snapshots (SNAPSHOT, of any number) end: the events that the whole sequence has from there on.
+
+    Each election's state begins with its newest stored snapshot; elections without one begin at their
+    first. History counts when the stream first starts; a restart goes on from its checkpoint. The stream
+    must run with typed_state() set.
+    """
+    newest = history.groupBy("election").agg(F.max_by(F.struct("signature", "total", "seats"), "seq").alias("x")).select("election", "x.*")
+    return snapshots.groupBy("election").transformWithStateInPandas(_ChangesAfter(), EVENT, "Append", "None", initialState=newest.groupBy("election"))
+
+
+@contextmanager
+def typed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, which typed state needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def _since_step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     signature, began = state.get if state.exists else (None, None)
     out = []

@@ -135,6 +135,9 @@ def test_exit_poll_takes_the_last_in_document_order(spark, tmp_path):
     path.write_text('{"TK1": {"aa ": {"21:45": 5, "21:00": "7", "x": "none"}}, "TK0": [{"party": "b", "seats": 3}]}')
     polls = readers.exit_poll(readers.read_map(spark, str(path), schemas.EXIT_POLL))
     assert {(r.election, r.name, r.expected) for r in readers.latest_poll(polls).collect()} == {("TK1", "AA", 7), ("TK0", "B", 3)}
+    path.write_text('{"TK1": {"aa": {"21:00": null, "x": {}}, "bb": 4, "cc": {"21:00": [], "22:00": "1e1"}, " ": {"21:00": 1}}, "TK0": [{"party": "b", "seats": true}, {"party": "c"}, {"seats": 9}, 5, {"party": "d", "seats": ""}], "TK2": 7, "TK3": null}')
+    polls = readers.exit_poll(readers.read_map(spark, str(path), schemas.EXIT_POLL))
+    assert {(r.election, r.name, r.expected) for r in readers.latest_poll(polls).collect()} == {("TK1", "AA", 0), ("TK1", "CC", 10), ("TK0", "B", 1), ("TK0", "D", 0)}
     path.write_text('{"TK2023": {}, "PS2019": {}, "2021": {}, "TK2021": {}}')
     maps = readers.read_map(spark, str(path), schemas.EXIT_POLL)
     assert [r.year for r in readers.elections(maps).collect()] == [2021, 2023]

@@ -71,3 +71,24 @@ def test_ticker_after_each_batch(spark, tmp_path):
         assert state.groupBy("feed").count().agg(F.max("count")).first()[0] <= 5
         want = sorted(far, key=lambda x: (x[3] is None, -(x[3].timestamp()) if x[3] else 0, x[0], x[1]))[:5]
         assert [tuple(x) for x in live.top_items(state).collect()] == want
+
+
+def test_a_stream_goes_on_where_history_ends(spark, tmp_path):
+    """Cut anywhere, the events are those of the whole sequence; elections without history begin at their first."""
+    r = random.Random(5)
+    rows = [(e, n, r.choice("abc"), r.choice([None, 10, 20]), r.choice([None, {}, {"p": 1}, {"p": 1, "q": None}, {"p": 2}])) for e in "xyz" for n in range(12)]
+    def events(cut):
+        path = tmp_path / f"cut{cut}"
+        land(spark, path / "in", [x for x in rows if x[1] >= cut or x[0] == "z"], live.SNAPSHOT)
+        stored = spark.createDataFrame([x for x in rows if x[1] < cut and x[0] != "z"], live.SNAPSHOT)
+        with live.typed_state(spark):
+            stream = live.changes_after(live.read_snapshots(spark, str(path / "in")), stored)
+            query = live.start(stream, live.write_batches(str(path / "out")), str(path / "state"), every=None)
+            assert query.awaitTermination(100)
+        return {tuple(x) for x in spark.read.parquet(str(path / "out")).select("election", "seq", "signature", "event").collect()}
+
+    land(spark, tmp_path / "in", rows, live.SNAPSHOT)
+    live.start(live.changes(live.read_snapshots(spark, str(tmp_path / "in"))), live.write_batches(str(tmp_path / "out")), str(tmp_path / "state"), every=None).awaitTermination(100)
+    whole = {tuple(x) for x in spark.read.parquet(str(tmp_path / "out")).select("election", "seq", "signature", "event").collect()}
+    for cut in (0, 7):
+        assert events(cut) == {x for x in whole if x[1] >= cut or x[0] == "z"}
