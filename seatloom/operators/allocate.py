@@ -74,7 +74,8 @@ PROBES = 63
 
 def _priced(price: Column) -> Column:
     """Seats that a party wins at a price: those whose rounded average is the price or more, remainder at most; all of them at price 0."""
-    number = F.floor(F.lit(2).cast("decimal(20,0)") * F.col("votes") / F.greatest(F.lit(1), 2 * price - 1)).cast("bigint")
+    # Whole-number division: a quotient of decimals is rounded, and one just below a whole number would reach it.
+    number = F.call_function("div", F.lit(2).cast("decimal(20,0)") * F.col("votes"), F.greatest(F.lit(1), 2 * price - 1).cast("decimal(20,0)"))
     return F.when(price <= 0, F.col("remainder")).otherwise(F.least(F.col("remainder"), F.greatest(F.lit(0).cast("bigint"), number - F.col("full_seats"))))
 
 

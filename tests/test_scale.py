@@ -67,6 +67,16 @@ def test_search_like_the_list_of_averages(spark, house, least):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_an_average_just_below_the_price_wins_nothing(spark):
+    """a's second and b's first average are both 4,280,000; at one more, b has votes for 2.99999965 seats, not for a third."""
+    rows = [("a", 1, 21_400_000), ("b", 2, 12_840_000), ("c", 3, 13_760_000)] + [(f"small{k}", 3 + k, 4_000_000) for k in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "party string, pos int, votes long")
+    found = {r.party: (r.full_seats, r.rest_seats, r.last) for r in al.allocate_by_price(df, [], 10).where("full_seats > 0").collect()}
+    assert found == {"a": (3, 2, True), "b": (2, 0, False), "c": (2, 1, False)}
+    want = {r.party: (r.full_seats, r.rest_seats, r.last_round == r.remainder) for r in al.allocate(df, [], 10).where("full_seats > 0").collect()}
+    assert {k: v[:2] for k, v in want.items()} == {k: v[:2] for k, v in found.items()} and want["a"][2]
+
+
 def test_ten_million_seats_for_a_hundred_thousand_parties(spark):
     house = 10_000_000
     df = spark.range(100_000).select(F.col("id").alias("party"), F.col("id").alias("pos"), (F.pmod(F.xxhash64("id"), F.lit(1_000_003)) + 20_000).alias("votes"))
