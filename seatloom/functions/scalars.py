@@ -129,6 +129,13 @@ def format_fixed_nl(x: Column | str, digits: int = 1) -> Column:
     return F.when(col(x).isNotNull(), text)
 
 
+def round_scaled(x: Column | str, digits: int = 1) -> Column:
+    """A double rounded half away from zero once it is scaled, as SQL's round does: (316174 - 4000) / 4000 * 100 is
+    7804.349999999999 in doubles, but 78043.5 tenths, hence 7804.4. What rounds to 0 keeps its sign."""
+    scaled = col(x).cast("double") * F.lit(10.0**digits)
+    return F.when(F.abs(scaled) < 0.5, scaled * 0).otherwise(F.round(scaled)) / F.lit(10.0**digits)
+
+
 def format_permille(x: Column | str, mark: str = "") -> Column:
     """Permille as a percentage with one decimal; empty for null."""
     return F.coalesce(F.concat(format_fixed_nl(col(x) / 10), F.lit(mark)), F.lit(""))
@@ -137,7 +144,7 @@ def format_permille(x: Column | str, mark: str = "") -> Column:
 def format_change(now: Column | str, before: Column | str) -> Column:
     """Change against before in percent with one decimal, a dash where there was nothing before."""
     a, b = col(now), F.coalesce(col(before), F.lit(0))
-    return F.when(b == 0, "-").otherwise(format_fixed_nl((a - b) / F.nullif(b, F.lit(0)) * 100))
+    return F.when(b == 0, "-").otherwise(format_fixed_nl(round_scaled((a - b) / F.nullif(b, F.lit(0)) * 100)))
 
 
 def format_datetime_nl(x: Column | str) -> Column:

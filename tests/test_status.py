@@ -43,6 +43,13 @@ def test_numbers_have_three_decimals_at_most(spark):
     assert {r.x: r.t for r in rows} == want
 
 
+def test_changes_are_rounded_once_scaled(spark):
+    """Halves that doubles miss by a bit before the scale of ten; the sign of what rounds to 0; nothing before."""
+    want = {(316174, 4000): "7804,4", (493227, 14000): "3423,1", (1139, 8000): "-85,8", (8009, 8000): "0,1", (9996, 10000): "-0,0", (10004, 10000): "0,0", (9995, 10000): "-0,1", (5, 5): "0,0", (5, 0): "-", (5, None): "-"}
+    rows = spark.createDataFrame(list(want), "a long, b long").select("a", "b", fn.format_change("a", "b").alias("t")).collect()
+    assert {(r.a, r.b): r.t for r in rows} == want
+
+
 def test_locale_order(spark):
     names = ["a1", "a1b9", "a1b10", "A1b10", "B1", "é1", "f1", "f01", "f2", "x", "x12345678901234567890", "x12345678901234567891"]
     rows = spark.createDataFrame([(n, k) for k, n in enumerate(names)], "name string, pos int").repartition(3)
