@@ -5,10 +5,13 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
+from unittest.mock import MagicMock
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -94,6 +97,28 @@ def test_tasks_that_pass_counts_on_early(spark):
     assert counts[0] == counts[1] and len(counts[0]) > 100
 
 
+def test_a_task_takes_little_more_memory_than_it_counts(spark):
+    """What a counting task holds at once over 1.5 million different pairs of 24 bytes, and what it passes on."""
+    r = np.random.default_rng(5)
+    texts = [" ".join(map(str, r.integers(0, 40_000, 300).tolist())) for _ in range(5000)]
+    batches = [pa.RecordBatch.from_pydict({"lang": ["en"] * 500, "text": texts[a : a + 500]}) for a in range(0, 5000, 500)]
+    docs = MagicMock()
+    docs.sparkSession.sparkContext.broadcast.return_value.value = all_pass()
+    docs.sparkSession.conf.get.return_value = "51"
+    phrases.count_grams(docs, 2, docs.sparkSession.sparkContext.broadcast().value, 100)
+    run = docs.select.return_value.mapInArrow.call_args.args[0]
+    different = occurrences = 0
+    tracemalloc.start()
+    for batch in run(iter(batches)):
+        for block in batch.column(1):
+            rows = np.frombuffer(block.as_buffer(), np.int64).reshape(-1, 3)
+            different, occurrences = different + len(rows), occurrences + int(rows[:, 2].sum())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert occurrences == 299 * 5000 and different > 1_400_000
+    assert peak < 120e6
+
+
 def test_filter_tells_frequent_phrases():
     r = np.random.default_rng(1)
     keys = r.integers(0, 1 << 63, (5000, 2), np.uint64)
