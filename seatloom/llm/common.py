@@ -5,12 +5,14 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows that a Python worker turns into Python objects at once.
 SLICE_ROWS = 512
@@ -22,6 +24,8 @@ CROWDED = 1000
 
 _own_dir: str | None = None
 _written: list[str] = []
+#: What tasks in this process keep for those after them, by their module and a name.
+_kept: dict[tuple[str, str], Any] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -110,15 +114,40 @@ def give_back() -> None:
         trim(0)
 
 
+def keep(owner: str, name: str, make: Callable[[], Any]) -> Any:
+    """make(), kept in this process for further tasks of a module, its owner. What tasks of other modules keep goes first."""
+    forget(owner)
+    if (owner, name) not in _kept:
+        _kept[owner, name] = make()
+    return _kept[owner, name]
+
+
+def forget(owner: str) -> None:
+    """Drop what tasks of modules other than owner keep in this process: a worker that has packed would hold its tokenizer through every stage after."""
+    for key in [k for k in _kept if k[0] != owner]:
+        del _kept[key]
+
+
+def local_rows(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
+    """A DataFrame of a few rows in the driver, which the JVM holds. One made of a Python list is computed by further Python workers on the executors."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    struct = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(struct)
+    columns = list(zip(*rows)) or [()] * len(arrow)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(columns, arrow, strict=True)], schema=arrow), struct)
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
     """mapInArrow over bounded slices. make() runs once per task and returns the function of a slice."""
-    struct = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(struct)
+    struct = StructType.fromDDL(schema)
+    arrow, owner = to_arrow_schema(struct), make.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = out = None
+        forget(owner)
         for part in slices(batches):
             f = f or make()
             out = f(part)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder, materialize
+from .common import id_remainder, local_rows, materialize
 
 #: Bytes of the texts that are learned from, for each class.
 CLASS_BYTES = 64 << 20
@@ -25,7 +25,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     counts = {row.label: row.n for row in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     chosen = [row for k in (0, 1) for row in known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()]
-    ids = docs.sparkSession.createDataFrame(chosen, "doc_id long, label int").withColumnRenamed("doc_id", "chosen_id")
+    ids = local_rows(docs.sparkSession, chosen, "doc_id long, label int").withColumnRenamed("doc_id", "chosen_id")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("chosen_id")).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     found = materialize(found.withColumns({"place": F.xxhash64("doc_id"), "bytes": F.octet_length("text")}), "sample")

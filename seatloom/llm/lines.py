@@ -120,7 +120,8 @@ def later_copies(sequences: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = explode(F.posexplode("lines").alias("q", "line")).select(*_KEY, "q", "line.a", "line.b")
     levels = suffix_ranks(lines)
     place = F.struct(F.col("doc").isNull().alias("none"), "doc", "h1", "h2", "q").alias("place")
-    nothing = sequences.sparkSession.createDataFrame([], "len int, r1 long, r2 long, place struct<none: boolean, doc: bigint, h1: bigint, h2: bigint, q: int>")
+    kinds = {"len": "int", "r1": "long", "r2": "long", "place": "struct<none: boolean, doc: bigint, h1: bigint, h2: bigint, q: int>"}
+    nothing = sequences.sparkSession.range(0).select(*(F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()))
     found = []
     if levels:
         windows = explode(F.explode(_windows(min_words)).alias("x")).select(*_KEY, "x.q", "x.len")

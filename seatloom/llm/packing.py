@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, map_arrow, materialize
+from .common import column, keep, local_rows, map_arrow, materialize
 
 SEQUENCE_TOKENS = 2048
 #: Lengths are rounded up to multiples of this for the linear program.
@@ -226,13 +226,8 @@ class WordTokenizer:
         return b"".join([found[x] for x in parts])
 
 
-_loaded: dict[str, WordTokenizer] = {}
-
-
 def load(path: str) -> WordTokenizer:
-    if path not in _loaded:
-        _loaded[path] = WordTokenizer(path)
-    return _loaded[path]
+    return keep(__name__, path, lambda: WordTokenizer(path))
 
 
 def token_pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most: int = SEQUENCE_TOKENS, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -361,9 +356,9 @@ def pack(pieces: DataFrame, most: int = SEQUENCE_TOKENS, grain: int = GRAIN) ->
                 slots.append((size, taken[size], taken[size] + each * n, each, base))
                 taken[size] += each * n
         base += n
-    plan = spark.createDataFrame(slots, "bin int, low long, high long, each long, base long")
+    plan = local_rows(spark, slots, "bin int, low long, high long, each long, base long")
     # Ranks within a bin: a hash deals its pieces to parts of bounded size, and the parts' counts give where each begins.
-    deal = spark.createDataFrame([(size, -(-n // RANKED_ROWS)) for size, n in zip(sizes.tolist(), demand.tolist(), strict=True)], "bin int, parts long")
+    deal = local_rows(spark, [(size, -(-n // RANKED_ROWS)) for size, n in zip(sizes.tolist(), demand.tolist(), strict=True)], "bin int, parts long")
     own = [c for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens") if c in pieces.columns]  # rows equal in these are interchangeable
     dealt = pieces.join(F.broadcast(deal), "bin").withColumn("part", F.pmod(F.xxhash64(*own), F.col("parts"))).drop("parts")
     begins = dealt.groupBy("bin", "part").agg(F.count("*").alias("n"))

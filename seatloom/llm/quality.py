@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, give_back, map_arrow, slices
+from .common import column, give_back, keep, map_arrow, slices
 from .learning import class_weights, fit_sigmoid, held_out_column, labelled_sample, sigmoid
 
 #: The bound of the sample that is learned from: rows of each class.
@@ -31,21 +31,20 @@ KNOWN_TOKENS = 100_000
 
 _TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+").findall
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_known: dict[str, int] = {}
 
 
-def _token_hash(token: str) -> int:
+def _token_hash(token: str, known: dict[str, int]) -> int:
     found = zlib.crc32(token.encode("utf-8", "replace"))
-    if len(_known) < KNOWN_TOKENS:
-        _known[token] = found
+    if len(known) < KNOWN_TOKENS:
+        known[token] = found
     return found
 
 
 def features(text: str | None) -> np.ndarray:
     """Sorted 64-bit ids of the different tokens and token pairs. Tokens are runs of letters, digits or other marks, case kept."""
     tokens = _TOKENS(text or "")
-    known = _known.get
-    h = np.fromiter([known(t) or _token_hash(t) for t in tokens], np.uint64, len(tokens))
+    known = keep(__name__, "tokens", dict)
+    h = np.fromiter([known.get(t) or _token_hash(t, known) for t in tokens], np.uint64, len(tokens))
     pairs = (h[:-1] * _MIX + h[1:]) * _MIX if h.size > 1 else h[:0]
     return np.unique(np.concatenate([np.unique(h), pairs]))
 

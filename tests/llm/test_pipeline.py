@@ -3,6 +3,7 @@
 import collections
 
 import corpus_pipeline
+from pyspark import SparkContext
 from seatloom.llm import quality
 from seatloom.llm.common import documents
 
@@ -79,3 +80,13 @@ def test_odd_rows_go_through(spark, tmp_path, edge_rows):
 def test_an_empty_table(spark, tmp_path):
     write_tables(spark, [], tmp_path)
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_stages_make_no_tables_by_further_workers(spark, monkeypatch):
+    """A table made of a Python list has a daemon and workers of its own on every executor, beside those of the operators."""
+
+    def refuse(*_, **__):
+        raise AssertionError("a Python list became a distributed table")
+
+    monkeypatch.setattr(SparkContext, "parallelize", refuse)
+    assert corpus_pipeline.run(spark, SF).count()
