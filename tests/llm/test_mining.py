@@ -130,6 +130,39 @@ def test_filter_tells_frequent_phrases():
     assert f(phrases.gram_hashes(keys[:, ::-1])).mean() < 0.05
 
 
+def test_driver_takes_the_filter_in_pieces(spark, monkeypatch):
+    """The driver holds little more than the filter itself, and the number of jobs follows from its size, not from the partitions."""
+    monkeypatch.setattr(phrases, "LEAST_BITS", 27)
+    count = 200_000
+    grams = spark.range(count).select(F.array(F.xxhash64("id"), F.xxhash64("id", F.lit(1))).alias("key"))
+    was = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for coalesced, group in (("true", "filter-whole"), ("false", "filter-dealt")):
+            spark.conf.set("spark.sql.shuffle.partitions", "40")
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
+            spark.sparkContext.setJobGroup(group, group)
+            tracemalloc.start()
+            f = phrases.frequent_filter(grams, count)
+            peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            assert f.octets.size == 1 << 24 and peak < 1.6 * f.octets.size
+            assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) < 12
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for c, x in was.items():
+            spark.conf.set(c, x)
+    keys = np.array([x.key for x in grams.where("id % 100 = 0").collect()], np.int64).view(np.uint64)
+    assert f(phrases.gram_hashes(keys)).all() and np.unpackbits(f.octets).sum() <= count
+
+
+def test_filters_go_once_their_level_is_written(spark, monkeypatch):
+    made, broadcast = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: made.append(broadcast(self, x)) or made[-1])
+    _, grams = phrases.phrase_levels(spark.createDataFrame([("en", "a b c d e f. " * 20)], "lang string, text string"), 10, 5)
+    assert grams.groupBy(F.size("key")).count().count() == 5
+    assert len(made) == 4 and not any(x._jbroadcast.isValid() for x in made)
+
+
 def test_collocations_of_nothing(spark, nothing, edges):
     assert phrases.collocations(nothing).count() == 0
     assert phrases.collocations(edges).columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
